@@ -36,14 +36,17 @@ def exact_quantile(
         F.count("v").alias("n"),
         F.percentile_approx("v", levels, accuracy).alias("bracket"),
     )
+    side = F.when(F.col("v") < F.col("bracket")[0], -1).when(F.col("v") > F.col("bracket")[1], 1).otherwise(0)
     counted = (
-        long.join(brackets, group)
-        .filter(F.col("v") <= F.col("bracket")[1])
-        .withColumn("v", F.when(F.col("v") >= F.col("bracket")[0], F.col("v")))
-        .groupBy(*group, "n", "v")
-        .agg(F.count(F.lit(1)).alias("m"))
+        long.filter(F.col("v").isNotNull())
+        .join(brackets, group)
+        .withColumn("side", side)
+        .withColumn("inside", F.when(F.col("side") == 0, F.col("v")))
+        .groupBy(*group, "n", "side", "inside")
+        .agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("least"), F.max("v").alias("most"))
+        .withColumn("v", F.when(F.col("side") < 0, F.col("most")).otherwise(F.col("least")))
     )
-    running = Window.partitionBy(*group).orderBy(F.col("v").asc_nulls_first())
+    running = Window.partitionBy(*group).orderBy("side", "v")
     place = (F.col("n") - 1) * F.lit(float(q))
     reached = counted.withColumn("upto", F.sum("m").over(running)).withColumn("place", place)
     ends = reached.groupBy(*group, "n").agg(
