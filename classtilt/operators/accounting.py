@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from classtilt import rules
 
-ONE = F.lit(1)
 KEYS = list(rules.CELL_KEYS)
 
 
@@ -108,7 +107,7 @@ def acc_finite(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def acc_status_values(df: DataFrame, allowed: Sequence[str]) -> DataFrame:
     return df.filter(~F.coalesce(F.col("status").isin(list(allowed)), F.lit(False))).groupBy("status").agg(
-        F.count(ONE).alias("n")
+        F.count("*").alias("n")
     )
 
 
@@ -173,7 +172,7 @@ def acc_failure_summary(valid: DataFrame, failures: DataFrame) -> DataFrame:
 
     grouped = records.groupingSets([[], axes], *axes).agg(
         F.grouping_id().alias("_g"),
-        F.count(ONE).alias("enumerated_records"),
+        F.count("*").alias("enumerated_records"),
         of("unsupported").alias("unsupported_records"),
         of("valid").alias("valid_records"),
         of("sampler_specific_failure").alias("sampler_specific_failures"),
@@ -203,7 +202,7 @@ def acc_failure_summary(valid: DataFrame, failures: DataFrame) -> DataFrame:
 def acc_failure_reasons(failures: DataFrame) -> DataFrame:
     return failures.groupBy(
         "feature_type", "classifier", "condition", "record_category", "error_type", "error"
-    ).agg(F.count(ONE).alias("records"))
+    ).agg(F.count("*").alias("records"))
 
 
 def acc_gate_totals(counts: DataFrame, manifest: DataFrame, total: int | None = None) -> DataFrame:
@@ -278,7 +277,7 @@ def acc_plan(expected: DataFrame, violations: DataFrame, trials: int = rules.TRI
     listed = violations.agg(F.array_sort(F.collect_set("problem")).alias("blockers"))
     return expected.agg(
         F.countDistinct("dataset").alias("dataset_count"),
-        F.count(ONE).alias("expected_cells"),
+        F.count("*").alias("expected_cells"),
         F.countDistinct("fold").alias("folds"),
         F.lit(trials).cast("bigint").alias("trials"),
     ).select(
@@ -306,9 +305,9 @@ def acc_run_evidence(results: DataFrame, failures: DataFrame, budget: float, exp
 
     memory = F.max("rss_after_mb") if "rss_after_mb" in results.columns else F.lit(None).cast("double")
     ok = results.groupBy("dataset").agg(
-        F.count(ONE).alias("valid_cells"), F.sum("fit_predict_seconds").alias("wall_seconds"), memory.alias("peak_mb")
+        F.count("*").alias("valid_cells"), F.sum("fit_predict_seconds").alias("wall_seconds"), memory.alias("peak_mb")
     )
-    bad = failures.groupBy("dataset").agg(F.count(ONE).alias("failure_cells"))
+    bad = failures.groupBy("dataset").agg(F.count("*").alias("failure_cells"))
     return (
         ok.join(bad, "dataset", "full")
         .na.fill(0, ["valid_cells", "failure_cells"])
@@ -399,7 +398,7 @@ def acc_table_digest(df: DataFrame) -> DataFrame:
     def part(start):
         return F.sum(F.conv(F.substring(digest, start, 13), 16, 10).cast("decimal(20,0)"))
 
-    sums = df.agg(F.count(ONE).alias("rows"), *[part(s).alias(f"_{s}") for s in (1, 14, 27, 40)])
+    sums = df.agg(F.count("*").alias("rows"), *[part(s).alias(f"_{s}") for s in (1, 14, 27, 40)])
     return sums.select(
         "rows", F.sha2(F.concat_ws(":", "rows", *[F.col(f"_{s}").cast("string") for s in (1, 14, 27, 40)]), 256).alias("digest")
     )
@@ -449,7 +448,7 @@ def shard_validate(plan: DataFrame, ids: DataFrame, cells_per_dataset: int) -> D
             )
         ).alias("problem")
     )
-    planned = plan.select(F.explode("dataset_ids").alias("dataset")).groupBy("dataset").agg(F.count(ONE).alias("_n"))
+    planned = plan.select(F.explode("dataset_ids").alias("dataset")).groupBy("dataset").agg(F.count("*").alias("_n"))
     locked = ids.select("dataset").distinct().withColumn("_l", F.lit(True))
     coverage = planned.join(locked, "dataset", "full").select(
         F.concat(

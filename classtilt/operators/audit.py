@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from classtilt import rules
 from classtilt.operators.prepare import prep_layout
 
-ONE = F.lit(1)
 
 
 # ---- tables ------------------------------------------------------------------------------------
@@ -21,7 +20,7 @@ def aud_profile(df: DataFrame, keys: Sequence[str], target: str) -> DataFrame:
     """``DF[keys, n_rows, n_classes, n_min, n_max, ir, d_raw, has_missing]``; null labels belong to no class."""
 
     counts = df.groupBy(*keys, target).agg(
-        F.count(ONE).alias("n"),
+        F.count("*").alias("n"),
         F.bool_or(_any_null(df.columns)).alias("_gap"),
     )
     labelled = F.when(F.col(target).isNotNull(), F.col("n"))
@@ -49,7 +48,7 @@ def aud_class_counts(df: DataFrame, keys: Sequence[str], target: str) -> DataFra
     counts = (
         df.filter(F.col(target).isNotNull())
         .groupBy(*keys, F.col(target).cast("string").alias("label"))
-        .agg(F.count(ONE).alias("n"))
+        .agg(F.count("*").alias("n"))
     )
     items = F.transform(
         F.array_sort(F.collect_list(F.struct("label", "n"))), lambda c: F.concat_ws(":", c["label"], c["n"].cast("string"))
@@ -92,7 +91,7 @@ def aud_duplicates(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> D
 
     return (
         df.groupBy(*dict.fromkeys([*keys, *cols]))
-        .agg((F.count(ONE) - 1).alias("_copies"))
+        .agg((F.count("*") - 1).alias("_copies"))
         .groupBy(*keys)
         .agg(F.sum("_copies").alias("duplicate_rows"))
     )
@@ -143,7 +142,7 @@ def aud_normalise(column: str | Column, kind: str) -> Column:
     """Lenient readers of registry cells: text, bool, hash, number, timestamp, path."""
 
     raw = F.col(column) if isinstance(column, str) else column
-    text = F.coalesce(F.trim(raw.cast("string")), F.lit(""))
+    text = F.coalesce(F.trim(raw.cast("string"), F.lit(" \t\n\r\x0b\x0c")), F.lit(""))
     if kind == "text":
         return text
     if kind == "bool":
@@ -246,7 +245,7 @@ def aud_quota(registry: DataFrame, quotas: dict | None = None) -> DataFrame:
     counts = (
         eligible.select(F.explode(pairs).alias("_p"))
         .groupBy("_p.dimension", "_p.value")
-        .agg(F.count(ONE).alias("n"))
+        .agg(F.count("*").alias("n"))
     )
     checked = (
         wanted.join(counts, ["dimension", "value"], "left")
@@ -254,7 +253,7 @@ def aud_quota(registry: DataFrame, quotas: dict | None = None) -> DataFrame:
         .select("dimension", "value", "n", "minimum", (F.col("n") >= F.col("minimum")).alias("ok"))
     )
     low, high = rules.DATASET_RANGE
-    total = eligible.agg(F.count(ONE).alias("n")).select(
+    total = eligible.agg(F.count("*").alias("n")).select(
         F.lit("datasets").alias("dimension"),
         F.lit(f"{low}-{high}").alias("value"),
         "n",
@@ -269,7 +268,7 @@ def aud_unique_nonempty(df: DataFrame, column: str) -> DataFrame:
 
     return (
         df.groupBy(aud_normalise(column, "text").alias("value"))
-        .agg(F.count(ONE).alias("n"))
+        .agg(F.count("*").alias("n"))
         .withColumn("problem", F.when(F.col("value") == "", "empty").when(F.col("n") > 1, "duplicate"))
         .filter(F.col("problem").isNotNull())
     )
@@ -426,7 +425,7 @@ def aud_pilot_evidence(evidence: DataFrame, results: DataFrame, failures: DataFr
     both = results.select(*keys, F.lit(1).alias("_v")).unionByName(failures.select(*keys, F.lit(0).alias("_v")))
     counted = (
         both.groupBy(*keys)
-        .agg(F.count(ONE).alias("_n"), F.sum("_v").alias("_valid"))
+        .agg(F.count("*").alias("_n"), F.sum("_v").alias("_valid"))
         .groupBy(F.col("dataset").alias("dataset_id"))
         .agg(
             F.sum("_valid").alias("_valid"),
@@ -487,14 +486,13 @@ def sel_quota(
     """
 
     pool = sel_dedupe(catalog).select("data_id", "name", "feature_type", "band")
-    order = ["band", "feature_type", "data_id"]
     fixed = [*retained, *reserve]
     chosen = {r["data_id"]: r for r in pool.filter(F.col("data_id").isin(fixed)).collect()}
 
-    def free(condition, n):
+    def free(candidates, condition, n, order):
         if n <= 0:
             return []
-        rest = pool.filter(condition)
+        rest = candidates.filter(condition)
         if chosen:
             names = [r["name"].lower() for r in chosen.values()]
             rest = rest.filter(~F.col("data_id").isin(list(chosen)) & ~F.lower("name").isin(names))
@@ -506,7 +504,8 @@ def sel_quota(
     for band, minimum in band_quotas.items():
         need = minimum - sum(r["band"] == band for r in chosen.values())
         options = {
-            kind: free((F.col("band") == band) & (F.col("feature_type") == kind), need) for kind in ("numeric", "mixed")
+            kind: free(pool, (F.col("band") == band) & (F.col("feature_type") == kind), need, ["data_id"])
+            for kind in ("numeric", "mixed")
         }
         for _ in range(max(0, need)):
             wanted = "numeric" if missing("numeric") >= missing("mixed") else "mixed"
@@ -518,11 +517,14 @@ def sel_quota(
             chosen[row["data_id"]] = row
     for kind in feature_quotas:
         need = missing(kind)
-        rows = free(F.col("feature_type") == kind, need)
+        rows = free(pool, F.col("feature_type") == kind, need, ["data_id"])
         if len(rows) < need:
             raise ValueError(f"the catalogue cannot meet the {kind} quota")
         chosen.update({r["data_id"]: r for r in rows})
-    rows = free(F.lit(True), target - len(chosen))
+    order = ["band", "feature_type", "data_id"]
+    first = Window.partitionBy(F.lower("name")).orderBy(*order)
+    named = catalog.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
+    rows = free(named, F.lit(True), target - len(chosen), order)
     chosen.update({r["data_id"]: r for r in rows})
     if len(chosen) < target:
         raise ValueError(f"the catalogue has only {len(chosen)} candidates")

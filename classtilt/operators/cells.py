@@ -13,18 +13,17 @@ from classtilt.functions import fn_avg_rank
 CELL = ["dataset", "classifier", "condition", "feature_type"]
 GROUP = ["family", "classifier", "metric"]
 TIE = 1e-12
-ONE = F.lit(1)
 
 
 def _complete() -> Column:
     """All 3 seeds and 5 folds, 15 records. Two bit masks replace distinct counts, so one shuffle is enough."""
 
-    seeds = F.bit_or(F.shiftleft(F.lit(1), F.col("seed")))
-    folds = F.bit_or(F.shiftleft(F.lit(1), F.col("fold")))
+    seeds = F.bit_or(F.expr("shiftleft(1, seed)"))
+    folds = F.bit_or(F.expr("shiftleft(1, fold)"))
     inside = (F.max("seed") == len(rules.SEEDS) - 1) & (F.max("fold") == rules.FOLDS - 1)
     records = len(rules.SEEDS) * rules.FOLDS
     return (
-        (F.count(ONE) == records)
+        (F.count("*") == records)
         & inside
         & (seeds == 2 ** len(rules.SEEDS) - 1)
         & (folds == 2**rules.FOLDS - 1)
@@ -37,7 +36,7 @@ def st_cell_means(rec: DataFrame) -> DataFrame:
     return (
         rec.groupBy(*CELL)
         .agg(
-            F.count(ONE).alias("complete_records"),
+            F.count("*").alias("complete_records"),
             *[F.avg(m).alias(m) for m in rules.METRICS],
             _complete().alias("_ok"),
         )
@@ -52,7 +51,7 @@ def st_class_means(rec: DataFrame) -> DataFrame:
     return (
         rec.select(*CELL, "seed", "fold", F.posexplode("per_class_recall").alias("class_index", "r"))
         .groupBy(*CELL, "class_index")
-        .agg(F.avg("r").alias("recall"), F.count(ONE).alias("complete_records"), _complete().alias("_ok"))
+        .agg(F.avg("r").alias("recall"), F.count("*").alias("complete_records"), _complete().alias("_ok"))
         .filter("_ok")
         .drop("_ok")
     )
@@ -67,7 +66,7 @@ def st_efficiency(rec: DataFrame) -> DataFrame:
     ]
     return (
         rec.groupBy(*CELL)
-        .agg(F.count(ONE).alias("complete_records"), *measures, _complete().alias("_ok"))
+        .agg(F.count("*").alias("complete_records"), *measures, _complete().alias("_ok"))
         .filter("_ok")
         .drop("_ok")
     )
@@ -117,7 +116,7 @@ def family_blocks(cell: DataFrame) -> DataFrame:
 
     long = in_families(cell_long(cell))
     available = long.groupBy(*GROUP).agg(F.countDistinct("condition").alias("n_conditions"))
-    own = F.count(ONE).over(Window.partitionBy(*GROUP, "dataset"))
+    own = F.count("*").over(Window.partitionBy(*GROUP, "dataset"))
     return (
         long.withColumn("_own", own)
         .join(available, GROUP)
@@ -133,7 +132,7 @@ def st_complete_blocks(cell: DataFrame, family: str | None = None) -> DataFrame:
     long = in_families(cell_long(cell))
     if family:
         long = long.filter(F.col("family") == family)
-    own = F.count(ONE).over(Window.partitionBy(*GROUP, "dataset"))
+    own = F.count("*").over(Window.partitionBy(*GROUP, "dataset"))
     return (
         long.withColumn("_own", own)
         .filter(F.col("_own") == sizes[F.col("family")])
@@ -178,7 +177,7 @@ def outcome_counts(d: str = "delta") -> list[Column]:
 
 def st_class_summary(delta: DataFrame) -> DataFrame:
     return delta.groupBy("family", "classifier", "condition", "class_index").agg(
-        F.count(ONE).alias("n_pairs"),
+        F.count("*").alias("n_pairs"),
         F.avg("delta").alias("mean_delta"),
         F.percentile("delta", 0.5).alias("median_delta"),
         *outcome_counts(),
@@ -198,7 +197,7 @@ def st_effects(delta: DataFrame, grid: DataFrame | None = None) -> DataFrame:
 
     keys = [*GROUP, "condition"]
     measured = delta.groupBy(*keys).agg(
-        F.count(ONE).alias("n_pairs"),
+        F.count("*").alias("n_pairs"),
         F.avg("delta").alias("mean_delta"),
         F.percentile("delta", 0.5).alias("median_delta"),
         *outcome_counts(),
@@ -231,7 +230,7 @@ def st_stratified(delta: DataFrame, registry: DataFrame) -> DataFrame:
         .groupBy("classifier", "condition", "metric", "stratum")
         .agg(
             F.array_join(F.array_sort(F.collect_set("dataset")), ";").alias("dataset_ids"),
-            F.count(ONE).alias("n_datasets"),
+            F.count("*").alias("n_datasets"),
             F.avg("delta").alias("mean_paired_delta"),
             F.percentile("delta", 0.5).alias("median_paired_delta"),
             *outcome_counts(),

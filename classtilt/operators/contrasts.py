@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from classtilt import rules
 
 CONTRAST = ["left_condition", "right_condition", "classifier"]
-ONE = F.lit(1)
 
 
 def declared_pairs() -> list[tuple[str, str]]:
@@ -56,7 +55,7 @@ def st_contrast_blocks(rec: DataFrame, contrasts: DataFrame, metric: str, folds:
         .filter(F.col("left").isNotNull() & F.col("right").isNotNull())
         .withColumn("delta", F.col("left") - F.col("right"))
     )
-    whole = F.count(ONE).over(Window.partitionBy(*CONTRAST, "dataset"))
+    whole = F.count("*").over(Window.partitionBy(*CONTRAST, "dataset"))
     return paired.withColumn("_n", whole).filter(F.col("_n") == folds).drop("_n")
 
 
@@ -90,9 +89,9 @@ def st_posterior(
     sums = (
         per_dataset.groupBy(*CONTRAST)
         .agg(
-            F.count(ONE).alias("n"),
+            F.count("*").alias("n"),
             F.avg("m").alias("centre"),
-            (F.var_pop("m") * F.count(ONE)).alias("between"),
+            (F.var_pop("m") * F.count("*")).alias("between"),
             F.sum("w").alias("within"),
         )
         .filter(F.col("n") >= rules.MIN_BLOCKS)

@@ -239,6 +239,10 @@ def prep_ordinal(df: DataFrame, cols: Sequence[str], fold: str = "fold", k: int
     return coded, vocab
 
 
+def _is(code: Column):
+    return lambda i: (i == code).cast("double")
+
+
 def prep_onehot(coded: DataFrame, cols: Sequence[str], vocab: DataFrame, fold: str = "fold") -> DataFrame:
     """Indicator arrays ``<c>_hot`` from ordinal codes; unseen categories give all zeros."""
 
@@ -247,9 +251,8 @@ def prep_onehot(coded: DataFrame, cols: Sequence[str], vocab: DataFrame, fold: s
     )
     hot = coded.join(widths, fold)
     for c in cols:
-        indicator = F.transform(
-            F.sequence(F.lit(0), F.col(f"_{c}") - 1), lambda i, c=c: (i == F.col(f"{c}_code")).cast("double")
-        )
+        code = F.col(f"{c}_code")
+        indicator = F.transform(F.sequence(F.lit(0), F.col(f"_{c}") - 1), _is(code))
         hot = hot.withColumn(f"{c}_hot", indicator).drop(f"_{c}")
     return hot
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from classtilt import rules
 
-ONE = F.lit(1)
 
 
 def txt_identity_scan(df: DataFrame, id: str, text: str, terms: Sequence[str] = ()) -> DataFrame:
@@ -104,7 +103,7 @@ def prov_path_rules(df: DataFrame, path: str) -> DataFrame:
     )
     # Copies are counted per lower-cased name with a combiner; only names that collide are joined back.
     clashing = (
-        df.groupBy(F.lower(p).alias("_low")).agg(F.count(ONE).alias("_n")).filter("_n > 1").select("_low")
+        df.groupBy(F.lower(p).alias("_low")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_low")
     )
     collisions = (
         df.withColumn("_low", F.lower(p))

@@ -20,7 +20,7 @@ from classtilt.functions import (
 )
 from classtilt.operators.cells import (
     GROUP,
-    ONE,
+
     cell_long,
     comparison_grid,
     family_blocks,
@@ -39,7 +39,7 @@ def _ranked(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     block = [*keys, "dataset"]
     return blocks.withColumn("rank", fn_avg_rank(F.col("value"), block)).withColumn(
-        "_tied", F.count(ONE).over(Window.partitionBy(*block, "value"))
+        "_tied", F.count("*").over(Window.partitionBy(*block, "value"))
     )
 
 
@@ -48,12 +48,12 @@ def _friedman(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     sums = ranked.groupBy(*keys, "condition").agg(
         F.sum("rank").alias("_sum"),
-        F.count(ONE).alias("_n"),
+        F.count("*").alias("_n"),
         F.sum(F.col("_tied") * F.col("_tied") - 1).alias("_ties"),
     )
     facts = sums.groupBy(*keys).agg(
         F.max("_n").alias("n_blocks"),
-        F.count(ONE).alias("n_conditions"),
+        F.count("*").alias("n_conditions"),
         F.sum(F.col("_sum") * F.col("_sum")).alias("_squares"),
         F.sum("_ties").alias("_ties"),
     )
@@ -145,7 +145,7 @@ def st_mean_ranks(cell: DataFrame) -> DataFrame:
     """``DF[group, condition, mean_rank, n_blocks]`` over family-complete blocks."""
 
     ranked = _ranked(family_blocks(cell), GROUP)
-    return ranked.groupBy(*GROUP, "condition").agg(F.avg("rank").alias("mean_rank"), F.count(ONE).alias("n_blocks"))
+    return ranked.groupBy(*GROUP, "condition").agg(F.avg("rank").alias("mean_rank"), F.count("*").alias("n_blocks"))
 
 
 def st_nemenyi(ranks: DataFrame, friedman: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -187,7 +187,7 @@ def _signed(delta: DataFrame, keys: Sequence[str]) -> DataFrame:
         delta.withColumn("_n", F.count(F.when(size, 1)).over(whole))
         .withColumn("_abs", nonzero)
         .withColumn("_rank", F.when(F.col("_abs").isNotNull(), fn_avg_rank(F.col("_abs"), [*keys, F.col("_abs").isNotNull()])))
-        .withColumn("_tied", F.count(ONE).over(Window.partitionBy(*keys, "_abs")))
+        .withColumn("_tied", F.count("*").over(Window.partitionBy(*keys, "_abs")))
     )
     live = F.col("_abs").isNotNull()
     return ranked.groupBy(*keys).agg(
@@ -354,7 +354,7 @@ def _permutation(blocks: DataFrame, n: int, seed: int, keys: Sequence[str]) -> D
     return (
         runs.withColumn("_hit", statistic >= F.col("stat") - 1e-12)
         .groupBy(*keys, "n_blocks", "n_conditions", "stat", "tie_correction")
-        .agg(F.count_if("_hit").alias("permutation_exceedances"), F.count(ONE).alias("permutation_resamples"))
+        .agg(F.count_if("_hit").alias("permutation_exceedances"), F.count("*").alias("permutation_resamples"))
         .withColumn(
             "permutation_p_value", (F.col("permutation_exceedances") + 1) / (F.col("permutation_resamples") + 1)
         )
@@ -402,7 +402,7 @@ def st_sign_flip(cell: DataFrame) -> DataFrame:
         .withColumn("mean", F.aggregate("_d", F.lit(0.0), lambda s, v: s + v) / F.col("n_blocks"))
         .withColumn(
             "sign_patterns",
-            F.when(F.col("n_blocks") <= MAX_PATTERN_BLOCKS, F.shiftleft(F.lit(1).cast("bigint"), F.col("n_blocks").cast("int"))),
+            F.when(F.col("n_blocks") <= MAX_PATTERN_BLOCKS, F.expr("shiftleft(1L, cast(n_blocks AS int))")),
         )
     )
     flips = explode_counts(pairs, "sign_patterns", "_s")
@@ -475,7 +475,7 @@ def reduced_blocks(cell: DataFrame, dropped: str = "adasyn", metric: str = "macr
         "condition",
         F.col(metric).alias("value"),
     )
-    own = F.count(ONE).over(Window.partitionBy(*GROUP, "dataset"))
+    own = F.count("*").over(Window.partitionBy(*GROUP, "dataset"))
     return rows.withColumn("_own", own).filter(F.col("_own") == len(conditions)).drop("_own")
 
 
@@ -489,13 +489,13 @@ def st_complete_gate(cell: DataFrame, conditions: Sequence[str] = rules.POSTHOC_
     facts = (
         wanted.groupBy("classifier", "dataset", "condition")
         .agg(
-            F.count(ONE).alias("_n"),
+            F.count("*").alias("_n"),
             F.count_if(score.isNull() | F.isnan(score) | (F.abs(score) == float("inf"))).alias("_odd"),
             F.count_if(F.col("complete_records") != 15).alias("_short"),
         )
         .groupBy("classifier")
         .agg(
-            F.count(ONE).alias("_cells"),
+            F.count("*").alias("_cells"),
             F.max("_n").alias("_most"),
             F.sum("_odd").alias("_odd"),
             F.sum("_short").alias("_short"),
@@ -525,7 +525,7 @@ def st_reduced_pairwise(cell: DataFrame, dropped: str = "adasyn") -> DataFrame:
     raw = F.max(F.when(F.col("condition") == "raw", F.col("value"))).over(Window.partitionBy(*GROUP, "dataset"))
     delta = blocks.withColumn("delta", F.col("value") - raw).filter("condition <> 'raw'")
     described = delta.groupBy(*PAIR).agg(
-        F.count(ONE).alias("n_pairs"),
+        F.count("*").alias("n_pairs"),
         F.avg("delta").alias("mean_delta"),
         F.percentile("delta", 0.5).alias("median_delta"),
         *outcome_counts(),

@@ -2,7 +2,8 @@
 
 Samplers grow all classes to the majority count, except random under-sampling (down to the smallest class) and
 balanced bootstraps (every class to the smallest). Synthetic rows get the id ``s:<class>:<number>``, so ids are
-text after sampling; ``synthetic`` tells the two kinds apart.
+text after sampling; ``synthetic`` tells the two kinds apart. A neighbour table that several later steps read is
+checkpointed, so the distance work runs once.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from classtilt import rules
 from classtilt.functions import explode_counts, fn_hash_uniform, hash_key, number_by_hash, order_hash
 from classtilt.operators.knn import rs_knn
+from classtilt.session import cut
 
 
 def class_deficits(train: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -208,7 +210,7 @@ def rs_adasyn(train: DataFrame, keys: Sequence[str], k: int, seed: int):
     A class without any other-class neighbour, or whose shares all round to zero, is a failure row.
     """
 
-    plan = adasyn_allocation(train, keys, k)
+    plan = cut(adasyn_allocation(train, keys, k))
     failures = (
         plan.select(*keys, "y", "total", "planned")
         .distinct()
@@ -244,7 +246,7 @@ def danger_rows(train: DataFrame, keys: Sequence[str], m: int) -> DataFrame:
 def rs_borderline(train: DataFrame, keys: Sequence[str], k: int, m: int, seed: int) -> DataFrame:
     """Borderline SMOTE, kind 1: only danger rows start a synthetic row; a class without any stays as it is."""
 
-    danger = danger_rows(train, keys, m)
+    danger = cut(danger_rows(train, keys, m))
     sizes = danger.groupBy(*keys, "y").agg(F.count(F.lit(1)).alias("n"))
     wanted = class_deficits(train, keys).select(*keys, "y", "deficit").join(sizes, [*keys, "y"])
     draws = _draw(_numbered(danger, keys, seed, "borderline"), wanted, keys, k, seed, "borderline")
@@ -269,7 +271,7 @@ def rs_smotenc(train: DataFrame, keys: Sequence[str], k: int, seed: int) -> Data
 
     group = [*keys, "y"]
     wanted = class_deficits(train, keys).select(*group, "n", "deficit")
-    pairs = rs_knn(class_penalty(train, keys), keys, k, True, penalty="penalty")
+    pairs = cut(rs_knn(class_penalty(train, keys), keys, k, True, penalty="penalty"))
     draws = _draw(_numbered(train, keys, seed, "smotenc"), wanted, keys, k, seed, "smotenc")
     numeric = _interpolate(draws, train, pairs, keys)
     first = Window.partitionBy(*group, "base", "_i").orderBy(F.desc("_n"), F.asc("_v"))
@@ -319,7 +321,7 @@ def rs_tomek(train: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _grown(train: DataFrame, keys: Sequence[str], k: int, seed: int) -> DataFrame:
-    return (rs_smotenc if "cats" in train.columns else rs_smote)(train, keys, k, seed)
+    return cut((rs_smotenc if "cats" in train.columns else rs_smote)(train, keys, k, seed))
 
 
 def category_codes(train: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -33,6 +33,21 @@ def offset_levels(classes: int, step: float | None = None, budget: int = 20_000)
     return [i * step for i in range(-per_side, per_side + 1)]
 
 
+def _edges_below(low, high, edges, reach: int, width: float):
+    """How many of the grid ratios ``e`` satisfy ``high > low * e``; the logarithm is only a first guess."""
+
+    ratio = F.ln(F.try_divide(high, low))
+    guess = F.when(high <= 0, -reach - 1).when(low <= 0, reach).otherwise(F.floor(ratio / width))
+    at = F.greatest(F.lit(-reach - 1), F.least(F.lit(reach), guess)).cast("int")
+
+    def holds(s):
+        inside = F.element_at(edges, (F.least(F.lit(reach), F.greatest(F.lit(-reach), s)) + reach + 1).cast("int"))
+        return F.when(s < -reach, True).when(s > reach, False).otherwise(high > low * inside)
+
+    best = F.when(holds(at + 1), at + 1).when(holds(at), at).otherwise(at - 1)
+    return (best + reach + 1).cast("int")
+
+
 def thr_fit(pred: DataFrame, keys: Sequence[str], classes: int, step: float | None = None) -> DataFrame:
     """``DF[keys, offsets, score, status, reason]``: grid of offset vectors, class 0 fixed at 0.
 
@@ -44,23 +59,24 @@ def thr_fit(pred: DataFrame, keys: Sequence[str], classes: int, step: float | No
     levels = offset_levels(classes, step)
     width = levels[1] - levels[0]
     reach = len(levels) - 1
+    half = reach // 2
     pairs = list(itertools.combinations(range(classes), 2))
     # Class j beats class i (i < j) under offsets o exactly when p_j > p_i * exp(o_j - o_i).
     edges = F.array(*[F.lit(math.exp(s * width)) for s in range(-reach, reach + 1)])
-
-    def steps_won(i: int, j: int):
-        return F.size(F.filter(edges, lambda e: F.col("p")[j] > F.col("p")[i] * e))
-
-    won = F.array(*[steps_won(i, j).cast("int") for i, j in pairs])
-    counted = pred.groupBy(*keys, F.col("y").cast("int").alias("y"), won.alias("won")).agg(F.count(F.lit(1)).alias("n"))
-    vectors = F.array(
-        *[F.array(F.lit(0), *[F.lit(v) for v in vector]) for vector in itertools.product(range(-reach // 2, reach // 2 + 1), repeat=classes - 1)]
-    )
-    grid = counted.withColumn("vector", F.explode(vectors))
+    rows = pred.select(*keys, F.col("y").cast("int").alias("y"), *[F.col("p")[c].alias(f"_p{c}") for c in range(classes)])
+    won = [_edges_below(F.col(f"_p{i}"), F.col(f"_p{j}"), edges, reach, width).alias(f"_w{i}_{j}") for i, j in pairs]
+    counted = rows.groupBy(*keys, "y", *won).agg(F.count("*").alias("n"))
+    size = len(levels)
+    grid = counted.withColumn("_vector", F.explode(F.sequence(F.lit(0), F.lit(size ** (classes - 1) - 1))))
+
+    def offset(c: int):
+        """Steps of class c in the numbered vector; the first free class is the leading digit."""
+        if c == 0:
+            return F.lit(0)
+        return F.expr(f"cast(_vector div {size ** (classes - 1 - c)} AS int)") % size - half
 
     def beats(i: int, j: int):
-        place = pairs.index((i, j))
-        return F.col("won")[place] > F.col("vector")[j] - F.col("vector")[i] + reach
+        return F.col(f"_w{i}_{j}") > offset(j) - offset(i) + reach
 
     yhat = F.lit(0)
     for j in range(classes - 1, 0, -1):
@@ -71,7 +87,6 @@ def thr_fit(pred: DataFrame, keys: Sequence[str], classes: int, step: float | No
             best = best & ~beats(j, i)
         yhat = F.when(best, F.lit(j)).otherwise(yhat)
     hits = grid.withColumn("yhat", yhat)
-    labels = F.sequence(F.lit(0), F.lit(classes - 1))
     tallies = []
     for c in range(classes):
         tp = F.sum(F.when((F.col("y") == c) & (F.col("yhat") == c), F.col("n")).otherwise(0))
@@ -82,12 +97,14 @@ def thr_fit(pred: DataFrame, keys: Sequence[str], classes: int, step: float | No
     score = tallies[0]
     for tally in tallies[1:]:
         score = score + tally
-    seen = F.size(F.array_intersect(F.collect_set("y"), labels))
-    scored = hits.groupBy(*keys, "vector").agg((score / classes).alias("score"), seen.alias("_seen"))
-    first = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 12)), F.asc("vector"))
+    seen = F.lit(0)
+    for c in range(classes):
+        seen = seen + F.max(F.when(F.col("y") == c, 1).otherwise(0))
+    scored = hits.groupBy(*keys, "_vector").agg((score / classes).alias("score"), seen.alias("_seen"))
+    first = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 12)), F.asc("_vector"))
     best = scored.withColumn("_r", F.row_number().over(first)).filter("_r = 1")
     whole = F.col("_seen") == classes
-    offsets = F.transform("vector", lambda v: v * F.lit(width))
+    offsets = F.array(*[offset(c) * F.lit(width) for c in range(classes)])
     return best.select(
         *keys,
         F.when(whole, offsets).otherwise(F.array_repeat(F.lit(0.0), classes)).alias("offsets"),

@@ -53,7 +53,7 @@ def fit_boosted(train: DataFrame, params: dict | None = None, weight: str | None
 
     trees = GBTClassifier(seed=0, maxIter=20)
     trees = trees.copy({trees.getParam(k): v for k, v in (params or {}).items()})
-    model = OneVsRest(classifier=trees)
+    model = OneVsRest(classifier=trees, parallelism=4)
     if weight:
         model = model.setWeightCol(weight)
     return model.fit(_features(train))

@@ -11,7 +11,6 @@ from classtilt import rules
 from classtilt.functions import fn_hash_uniform
 from classtilt.operators.metrics import met_ap, met_macro_ap
 
-ONE = F.lit(1)
 
 
 def space_table(spark: SparkSession, spaces: dict = rules.SEARCH_SPACES) -> DataFrame:
@@ -48,7 +47,7 @@ def tune_trials(space: DataFrame, n: int = rules.TRIALS, seed: int = rules.SEARC
     value = (
         F.when(F.col("kind") == "randint", whole)
         .when(F.col("kind").isin("categorical", "constant"), choice)
-        .otherwise(F.format_number(number, "0.000000000000"))
+        .otherwise(F.call_function("format_number", number, F.lit("0.000000000000")))
     )
     return trials.select(*keys, "classifier", "trial", "param", value.alias("value"))
 
@@ -90,7 +89,7 @@ def tune_inner_score(pred: DataFrame, keys: Sequence[str], folds: int = rules.IN
 def tune_oof(pred: DataFrame, rows: DataFrame, keys: Sequence[str], id: str = "id") -> tuple[DataFrame, DataFrame]:
     """(out-of-fold predictions, DF[keys, missing, doubled]); the second must be empty for a complete table."""
 
-    counts = pred.groupBy(*keys, id).agg(F.count(ONE).alias("_n"))
+    counts = pred.groupBy(*keys, id).agg(F.count("*").alias("_n"))
     gaps = (
         rows.select(*keys, id)
         .join(counts, [*keys, id], "left")
