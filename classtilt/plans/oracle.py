@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from classtilt import rules
+from classtilt.operators.contrasts import declared_pairs
 from classtilt.plans.views import PREDICTIONS_SQL, RECORDS_SQL
 
 ORACLE: dict[str, str] = {}
@@ -316,9 +317,11 @@ votes AS (SELECT base, c FROM (SELECT base, c, row_number() OVER (PARTITION BY b
   FROM near GROUP BY base, c) WHERE r = 1)
 SELECT concat_ws(':', 's', b.y, b.j) AS id, b.y, [{r6("b.x + b.gap * (n.x - b.x)")}] AS x, [v.c] AS cats, true AS synthetic
 FROM based b JOIN near n ON n.base = b.base AND n.rank = b.rank JOIN votes v ON v.base = b.base"""
-ORACLE["rs_enn"] = f"""
-WITH {TRAIN}, {PAIRS}
-SELECT id, CAST(y AS BIGINT) AS y FROM near_all WHERE rank <= 3 GROUP BY 1, 2 HAVING count(*) FILTER (ny <> y) = 0"""
+ORACLE["rs_enn"] = """
+WITH train AS (SELECT c_custkey AS id, c_mktsegment AS y, c_acctbal AS x FROM customer),
+near AS (SELECT a.id, a.y, b.y AS ny, row_number() OVER (PARTITION BY a.id ORDER BY (a.x - b.x) * (a.x - b.x), b.id) AS rank
+  FROM train a JOIN train b ON a.id <> b.id)
+SELECT id, y FROM near WHERE rank <= 3 GROUP BY 1, 2 HAVING count(*) FILTER (ny <> y) = 0"""
 ORACLE["rs_tomek"] = f"""
 WITH {TRAIN}, {PAIRS}, one AS (SELECT * FROM near_all WHERE rank = 1)
 SELECT id, CAST(y AS BIGINT) AS y FROM one a WHERE NOT (y <> ny AND EXISTS
@@ -351,3 +354,501 @@ ORACLE["rs_gate"] = f"""
 WITH {RECORDS}, m AS (SELECT *, {UNSUPPORTED} AS message FROM records)
 SELECT dataset, CAST(seed AS BIGINT) AS seed, CAST(fold AS BIGINT) AS fold, feature_type, classifier, condition,
   message AS error, 'applicability' AS stage, 'ValueError' AS error_type FROM m WHERE message IS NOT NULL"""
+
+# ---- metrics and thresholds --------------------------------------------------------------------
+FOLD = "CAST(fold AS BIGINT) AS fold"
+ORACLE["met_confusion"] = f"""
+WITH {CONFUSION} SELECT {FOLD}, CAST(y AS BIGINT) AS y, CAST(yhat AS BIGINT) AS yhat, n FROM conf"""
+F1 = "avg(CASE WHEN support + predicted = 0 THEN 0 ELSE 2 * tp / (support + predicted) END)"
+GMEAN = "CASE WHEN min(recall) = 0 THEN 0 ELSE power(product(recall), 1.0 / count(*)) END"
+MCC = """(sum(tp) * sum(support) - sum(predicted * support))
+  / sqrt((sum(support) * sum(support) - sum(predicted * predicted)) * (sum(support) * sum(support) - sum(support * support)))"""
+BALANCED = "avg(recall) FILTER (support > 0)"
+ORACLE["met_macro_f1"] = f"WITH {CONFUSION} SELECT {FOLD}, {r6(F1, 'value')} FROM margins GROUP BY fold"
+RECALL_LIST = r6l("list(recall ORDER BY class)", "per_class_recall")
+ORACLE["met_recall"] = f"WITH {CONFUSION} SELECT {FOLD}, {RECALL_LIST} FROM recalls GROUP BY fold"
+ORACLE["met_gmean"] = f"WITH {CONFUSION} SELECT {FOLD}, {r6(GMEAN, 'value')} FROM recalls GROUP BY fold"
+ORACLE["met_mcc"] = f"WITH {CONFUSION} SELECT {FOLD}, {r6(MCC, 'value')} FROM margins GROUP BY fold"
+ORACLE["met_balanced_acc"] = f"WITH {CONFUSION} SELECT {FOLD}, {r6(BALANCED, 'value')} FROM recalls GROUP BY fold"
+LONG = """
+long AS (SELECT fold, y, 0 AS class, p0 AS p FROM predictions UNION ALL SELECT fold, y, 1, p1 FROM predictions
+  UNION ALL SELECT fold, y, 2, p2 FROM predictions)"""
+AP = f"""{LONG},
+steps AS (SELECT fold, class, p, count(*) AS n, count(*) FILTER (y = class) AS tp FROM long GROUP BY 1, 2, 3),
+curve AS (SELECT *, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn FROM steps
+  WINDOW w AS (PARTITION BY fold, class ORDER BY p DESC)),
+ap AS (SELECT fold, class, sum(tp * (ctp / cn)) / sum(tp) AS ap, CAST(sum(tp) AS BIGINT) AS positives,
+  CAST(sum(n) - sum(tp) AS BIGINT) AS negatives FROM curve GROUP BY 1, 2)"""
+ORACLE["met_ap"] = f"""
+WITH {PREDICTIONS}, {AP}
+SELECT {FOLD}, CAST(class AS BIGINT) AS class, {r6("ap", "ap")}, positives, negatives FROM ap"""
+ORACLE["met_macro_ap"] = f"""
+WITH {PREDICTIONS}, {AP}
+SELECT {FOLD}, {r6("avg(ap)", "value")}, CASE WHEN min(positives) > 0 AND min(negatives) > 0 THEN 'VALID'
+  ELSE 'NOT APPLICABLE' END AS status FROM ap GROUP BY fold"""
+BRIER = "avg(power(p - CASE WHEN y = class THEN 1 ELSE 0 END, 2))"
+LOSS = "avg(-ln(greatest(p, 2.220446049250313e-16))) FILTER (y = class)"
+ORACLE["met_brier"] = f"WITH {PREDICTIONS}, {LONG} SELECT {FOLD}, {r6(BRIER, 'value')} FROM long GROUP BY fold"
+ORACLE["met_log_loss"] = f"WITH {PREDICTIONS}, {LONG} SELECT {FOLD}, {r6(LOSS, 'value')} FROM long GROUP BY fold"
+ORACLE["met_validate_proba"] = f"""
+WITH {PREDICTIONS}
+SELECT {FOLD}, CAST(y AS BIGINT) AS y, 'probabilities have the wrong shape' AS problem, count(*) AS n
+FROM predictions WHERE y = 1 GROUP BY fold, y"""
+SHIFTED = """
+shifted AS (SELECT fold, y, p0 AS s0, p1 / exp(-0.5::DOUBLE) AS s1, p2 / exp(0.25::DOUBLE) AS s2 FROM predictions),
+applied AS (SELECT fold, y, CASE WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END AS yhat FROM shifted)"""
+ORACLE["thr_apply"] = f"""
+WITH {PREDICTIONS}, {SHIFTED}
+SELECT {FOLD}, CAST(y AS BIGINT) AS y, CAST(yhat AS BIGINT) AS yhat, count(*) AS n FROM applied GROUP BY fold, y, yhat"""
+F1_BY = """avg(CASE WHEN total = 0 THEN 0 ELSE 2 * tp / total END)"""
+ORACLE["met_bundle"] = f"""
+WITH {CONFUSION}, {AP}, {SHIFTED},
+cal AS (SELECT fold, c, CAST(count(*) FILTER (y = c AND yhat = c) AS DOUBLE) AS tp,
+  count(*) FILTER (y = c) + count(*) FILTER (yhat = c) AS total
+  FROM applied, (SELECT unnest([0, 1, 2]) AS c) GROUP BY 1, 2),
+a AS (SELECT fold, {r6(F1, "macro_f1_argmax")}, {r6(GMEAN, "g_mean_argmax")}, {r6(MCC, "mcc_argmax")},
+  {r6(BALANCED, "balanced_accuracy_argmax")}, {r6l("list(recall ORDER BY class)", "per_class_recall_argmax")}
+  FROM recalls GROUP BY 1),
+b AS (SELECT fold, {r6(F1_BY, "macro_f1_calibrated")} FROM cal GROUP BY 1),
+c AS (SELECT fold, {r6("avg(ap)", "macro_average_precision")}, 'VALID' AS status,
+  {r6l("list(ap ORDER BY class)", "per_class_average_precision")} FROM ap GROUP BY 1),
+d AS (SELECT fold, {r6(BRIER, "multiclass_brier")}, {r6(LOSS, "multiclass_log_loss")} FROM long GROUP BY 1)
+SELECT CAST(fold AS BIGINT) AS fold, * EXCLUDE (fold) FROM a JOIN b USING (fold) JOIN c USING (fold) JOIN d USING (fold)"""
+ORACLE["thr_fit"] = f"""
+WITH {PREDICTIONS},
+grid AS (SELECT a.o * 0.25::DOUBLE AS o1, b.o * 0.25::DOUBLE AS o2
+  FROM (SELECT unnest(range(-8, 9)) AS o) a, (SELECT unnest(range(-8, 9)) AS o) b),
+s AS (SELECT fold, y, o1, o2, p0 AS s0, p1 / exp(o1) AS s1, p2 / exp(o2) AS s2 FROM predictions, grid),
+hits AS (SELECT fold, o1, o2, y, CASE WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END AS yhat FROM s),
+n AS (SELECT fold, o1, o2, y, yhat, count(*) AS n FROM hits GROUP BY ALL),
+per AS (SELECT fold, o1, o2, c, CAST(sum(CASE WHEN y = c AND yhat = c THEN n ELSE 0 END) AS DOUBLE) AS tp,
+  sum(CASE WHEN y = c THEN n ELSE 0 END) + sum(CASE WHEN yhat = c THEN n ELSE 0 END) AS total
+  FROM n, (SELECT unnest([0, 1, 2]) AS c) GROUP BY ALL),
+f AS (SELECT fold, o1, o2, {F1_BY} AS score FROM per GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY round(score, 12) DESC, o1, o2) AS r FROM f)
+SELECT {FOLD}, [0.0::DOUBLE, o1, o2] AS offsets, {r6("score", "score")}, 'VALID' AS status, CAST(NULL AS VARCHAR) AS reason
+FROM r WHERE r = 1"""
+
+# ---- accounting --------------------------------------------------------------------------------
+KEYS = "dataset, CAST(seed AS BIGINT) AS seed, CAST(fold AS BIGINT) AS fold, classifier, condition"
+GRID = f"""
+expected AS (SELECT dataset, s AS seed, f AS fold, c AS classifier, k AS condition
+  FROM (SELECT DISTINCT dataset FROM records), (SELECT unnest(range(3)) AS s), (SELECT unnest(range(5)) AS f),
+  (SELECT unnest([{listed(rules.CLASSIFIERS)}]) AS c), (SELECT unnest([{listed(rules.CONDITIONS)}]) AS k)),
+observed AS (SELECT dataset, seed, fold, classifier, condition, count(*) FILTER (status = 'VALID') AS v,
+  count(*) FILTER (status = 'FAILED') AS f FROM records GROUP BY ALL),
+validated AS (SELECT dataset, seed, fold, classifier, condition, coalesce(o.v, 0) AS valid_records,
+  coalesce(o.f, 0) AS failure_records, CASE WHEN e.seen IS NULL THEN 'extra' WHEN o.v IS NULL THEN 'missing'
+    WHEN v > 0 AND f > 0 THEN 'valid and failed' WHEN v + f > 1 THEN 'duplicate' WHEN v = 1 THEN 'valid'
+    ELSE 'failed' END AS state
+  FROM (SELECT *, true AS seen FROM expected) e FULL JOIN observed o USING (dataset, seed, fold, classifier, condition))"""
+ORACLE["acc_expected"] = f"WITH {RECORDS}, {GRID} SELECT {KEYS} FROM expected"
+ORACLE["acc_validate"] = f"WITH {RECORDS}, {GRID} SELECT {KEYS}, valid_records, failure_records, state FROM validated"
+ORACLE["acc_counts"] = f"""
+WITH {RECORDS}, {GRID}
+SELECT dataset, count(*) FILTER (state <> 'extra') AS expected_cells, count(*) FILTER (state = 'valid') AS valid_cells,
+  count(*) FILTER (state = 'failed') AS failure_cells, count(*) FILTER (state NOT IN ('valid', 'failed')) AS violations
+FROM validated GROUP BY 1"""
+CATEGORY = f"""
+failures AS (SELECT *, CASE WHEN error = 'fewer than six rows' THEN 'RuntimeError' ELSE 'ValueError' END AS error_type,
+  CASE WHEN {UNSUPPORTED} = error THEN 'unsupported' WHEN {UNSUPPORTED} IS NOT NULL THEN 'unexpected_message'
+    WHEN condition IN ({listed(rules.SAMPLER_CONDITIONS)}) AND (error = '{rules.NO_SAMPLES_MESSAGE}'
+      OR contains(error, '{rules.NO_BORDER_MESSAGE}')) THEN 'sampler_specific_failure'
+    ELSE 'other_applicable_failure' END AS record_category
+  FROM records WHERE status = 'FAILED')"""
+ORACLE["acc_failure_category"] = f"""
+WITH {RECORDS}, {CATEGORY} SELECT {KEYS}, feature_type, error, record_category FROM failures"""
+ORACLE["acc_failure_summary"] = f"""
+WITH {RECORDS}, {CATEGORY},
+r AS (SELECT feature_type, classifier, condition, 'valid' AS c FROM records WHERE status = 'VALID'
+  UNION ALL SELECT feature_type, classifier, condition, record_category FROM failures),
+g AS (SELECT 'overall' AS aggregation_level, 'all' AS feature_type, 'all' AS classifier, 'all' AS condition, c FROM r
+  UNION ALL SELECT 'feature_classifier_condition', * FROM r),
+s AS (SELECT aggregation_level, feature_type, classifier, condition, count(*) AS enumerated_records,
+  count(*) FILTER (c = 'unsupported') AS unsupported_records, count(*) FILTER (c = 'valid') AS valid_records,
+  count(*) FILTER (c = 'sampler_specific_failure') AS sampler_specific_failures,
+  count(*) FILTER (c = 'other_applicable_failure') AS other_applicable_failures FROM g GROUP BY ALL)
+SELECT *, enumerated_records - unsupported_records AS applicable_records,
+  valid_records + sampler_specific_failures + other_applicable_failures AS attempted_evaluations,
+  {r6("sampler_specific_failures / nullif(enumerated_records - unsupported_records, 0)", "sampler_failure_rate")} FROM s"""
+ORACLE["acc_failure_reasons"] = f"""
+WITH {RECORDS}, {CATEGORY}
+SELECT feature_type, classifier, condition, record_category, error_type, error, count(*) AS records FROM failures GROUP BY ALL"""
+ORACLE["acc_finite"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL OR NOT isfinite(CAST({c} AS DOUBLE))) AS n FROM events"
+    for c in ("event_id", "user_id", "value")
+)
+ORACLE["acc_replay_match"] = f"""
+WITH {RESULTS}, a AS (SELECT dataset, seed, fold, classifier, condition, train_rows_before_sampling AS n FROM results),
+b AS (SELECT dataset, seed, fold, classifier, condition, CASE WHEN seed = 2 THEN n + 1 ELSE n END AS n FROM a)
+SELECT side, {KEYS}, n AS train_rows_before_sampling, CAST(1 AS BIGINT) AS surplus FROM (
+  SELECT 'first' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
+  UNION ALL SELECT 'replay', * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))"""
+ORACLE["acc_run_evidence"] = f"""
+WITH {RECORDS}
+SELECT dataset, count(*) FILTER (status = 'VALID') AS valid_cells, count(*) FILTER (status = 'FAILED') AS failure_cells,
+  {r6("sum(fit_predict_seconds) FILTER (status = 'VALID')", "wall_seconds")}, CAST(NULL AS DOUBLE) AS peak_mb,
+  sum(fit_predict_seconds) FILTER (status = 'VALID') <= 10000 AS within_budget, count(*) = 405 AS complete
+FROM records GROUP BY 1"""
+ORACLE["shard_plan"] = """
+WITH i AS (SELECT DISTINCT 's' || s_suppkey AS dataset FROM supplier),
+d AS (SELECT dataset, (row_number() OVER (ORDER BY dataset) - 1) % 4 AS s FROM i)
+SELECT 'shard-' || lpad(CAST(s + 1 AS VARCHAR), 2, '0') AS shard_id, list(dataset ORDER BY dataset) AS dataset_ids,
+  count(*) * 495 AS expected_cells FROM d GROUP BY s"""
+
+# ---- cells and statistics ----------------------------------------------------------------------
+FAMILY_ROWS = ", ".join(
+    f"('{family}', '{kind}', '{classifier}', '{condition}', {position}, {len(conditions)})"
+    for family, (kind, conditions) in rules.FAMILIES.items()
+    for classifier in rules.family_classifiers(family)
+    for position, condition in enumerate(conditions)
+)
+DONE = "HAVING count(*) = 15 AND count(DISTINCT seed) = 3 AND count(DISTINCT fold) = 5"
+CELLS = f"""{RESULTS},
+cells AS (SELECT dataset, classifier, condition, feature_type, count(*) AS complete_records, avg(macro_f1) AS macro_f1,
+  avg(g_mean) AS g_mean, avg(mcc) AS mcc, avg(balanced_accuracy) AS balanced_accuracy
+  FROM results GROUP BY dataset, classifier, condition, feature_type {DONE}),
+long AS (SELECT dataset, classifier, condition, feature_type, metric, value FROM cells
+  UNPIVOT (value FOR metric IN (macro_f1, g_mean, mcc, balanced_accuracy))),
+families(family, feature_type, classifier, condition, position, size) AS (VALUES {FAMILY_ROWS}),
+fam AS (SELECT f.family, f.position, f.size, l.* FROM long l JOIN families f USING (feature_type, classifier, condition))"""
+BLOCKS = f"""{CELLS},
+avail AS (SELECT family, classifier, metric, count(DISTINCT condition) AS k FROM fam GROUP BY ALL),
+blocks AS (SELECT * FROM (SELECT fam.*, k, count(*) OVER (PARTITION BY family, classifier, metric, dataset) AS own
+  FROM fam JOIN avail USING (family, classifier, metric)) WHERE own = k),
+ranked AS (SELECT *, rank() OVER (PARTITION BY family, classifier, metric, dataset ORDER BY value)
+  + (count(*) OVER (PARTITION BY family, classifier, metric, dataset, value) - 1) / 2.0::DOUBLE AS rk,
+  count(*) OVER (PARTITION BY family, classifier, metric, dataset, value) AS tied FROM blocks),
+sums AS (SELECT family, classifier, metric, condition, sum(rk) AS s, count(*) AS n, sum(tied * tied - 1) AS ties
+  FROM ranked GROUP BY ALL),
+fried AS (SELECT family, classifier, metric, max(n)::DOUBLE AS n, count(*)::DOUBLE AS k, sum(s * s) AS sq, sum(ties) AS ties
+  FROM sums GROUP BY ALL),
+stat AS (SELECT *, 1 - ties / (n * (k * k * k - k)) AS tie_correction,
+  (12 / (n * k * (k + 1)) * sq - 3 * n * (k + 1)) / (1 - ties / (n * (k * k * k - k))) AS stat FROM fried)"""
+
+
+def chi2(x: str, df: str) -> str:
+    return (
+        f"CASE WHEN {x} <= 0 THEN 1.0 ELSE greatest(0, 1 - list_sum(list_transform(range(0, 600), lambda i: "
+        f"exp(({df}) / 2.0 * ln(({x}) / 2.0) - ({x}) / 2.0 + i * ln(({x}) / 2.0) - lgamma(({df}) / 2.0 + i + 1))))) END"
+    )
+
+
+DELTAS = f"""{CELLS},
+deltas AS (SELECT a.family, a.classifier, a.metric, a.dataset, a.condition, r.value AS raw_mean, a.value AS alternative_mean,
+  a.value - r.value AS delta FROM fam a JOIN fam r ON r.family = a.family AND r.classifier = a.classifier
+  AND r.metric = a.metric AND r.dataset = a.dataset AND r.condition = 'raw' WHERE a.condition <> 'raw')"""
+WTL = """count(*) FILTER (delta > 1e-12) AS wins, count(*) FILTER (abs(delta) <= 1e-12) AS ties,
+  count(*) FILTER (delta < -1e-12) AS losses"""
+ORACLE["st_cell_means"] = f"""
+WITH {CELLS} SELECT dataset, classifier, condition, feature_type, complete_records, {r6("macro_f1", "macro_f1")},
+  {r6("g_mean", "g_mean")}, {r6("mcc", "mcc")}, {r6("balanced_accuracy", "balanced_accuracy")} FROM cells"""
+CLASS_MEANS = f"""{RESULTS},
+u AS (SELECT dataset, classifier, condition, feature_type, seed, fold, unnest(per_class_recall) AS r,
+  generate_subscripts(per_class_recall, 1) - 1 AS class_index FROM results),
+class_means AS (SELECT dataset, classifier, condition, feature_type, class_index, avg(r) AS recall, count(*) AS complete_records
+  FROM u GROUP BY dataset, classifier, condition, feature_type, class_index {DONE})"""
+ORACLE["st_class_means"] = f"WITH {CLASS_MEANS} SELECT * REPLACE ({r6('recall')} AS recall) FROM class_means"
+ORACLE["st_efficiency"] = f"""
+WITH {RESULTS}
+SELECT dataset, classifier, condition, feature_type, count(*) AS complete_records,
+  {r6("avg(fit_predict_seconds)", "fit_predict_seconds_mean")}, {r6("median(fit_predict_seconds)", "fit_predict_seconds_median")},
+  {r6("avg(train_rows_before_sampling)", "train_rows_before_sampling_mean")},
+  {r6("median(train_rows_before_sampling)", "train_rows_before_sampling_median")}
+FROM results GROUP BY dataset, classifier, condition, feature_type {DONE}"""
+MEANS = f"""{RESULTS},
+means AS (SELECT dataset, feature_type, classifier, condition, avg(macro_f1) AS macro_f1, avg(g_mean) AS g_mean, avg(mcc) AS mcc,
+  avg(balanced_accuracy) AS balanced_accuracy FROM results GROUP BY ALL),
+ml AS (SELECT * FROM means UNPIVOT (score FOR metric IN (macro_f1, g_mean, mcc, balanced_accuracy)))"""
+ORACLE["st_rankings"] = f"""
+WITH {MEANS}
+SELECT dataset, feature_type, classifier, condition, metric, {r6("score", "score")},
+  {r6("rank() OVER (PARTITION BY dataset, feature_type, classifier, metric ORDER BY score DESC) + (count(*) OVER (PARTITION BY dataset, feature_type, classifier, metric, score) - 1) / 2.0", "rank")}
+FROM ml"""
+ORACLE["st_family_matrix"] = f"""
+WITH {CELLS} SELECT dataset, {", ".join(r6(f"max(macro_f1) FILTER (condition = '{c}')", c) for c in rules.FAMILIES["numeric_core"][1])}
+FROM cells WHERE feature_type = 'numeric' AND classifier = 'xgboost' GROUP BY 1"""
+ORACLE["st_complete_blocks"] = f"""
+WITH {CELLS} SELECT family, classifier, metric, dataset, condition, {r6("value", "value")}
+FROM (SELECT *, count(*) OVER (PARTITION BY family, classifier, metric, dataset) AS own FROM fam) WHERE own = size"""
+ORACLE["st_baseline_deltas"] = f"""
+WITH {DELTAS} SELECT family, classifier, metric, dataset, condition, {r6("raw_mean", "raw_mean")},
+  {r6("alternative_mean", "alternative_mean")}, {r6("delta", "delta")} FROM deltas"""
+ORACLE["st_class_summary"] = f"""
+WITH {CLASS_MEANS}, families(family, feature_type, classifier, condition, position, size) AS (VALUES {FAMILY_ROWS}),
+fam AS (SELECT f.family, c.* FROM class_means c JOIN families f USING (feature_type, classifier, condition)),
+d AS (SELECT a.family, a.classifier, a.condition, a.class_index, a.recall - r.recall AS delta FROM fam a JOIN fam r
+  ON r.family = a.family AND r.classifier = a.classifier AND r.dataset = a.dataset AND r.class_index = a.class_index
+  AND r.condition = 'raw' WHERE a.condition <> 'raw')
+SELECT family, classifier, condition, class_index, count(*) AS n_pairs, {r6("avg(delta)", "mean_delta")},
+  {r6("median(delta)", "median_delta")}, {WTL} FROM d GROUP BY 1, 2, 3, 4"""
+ORACLE["st_effects"] = f"""
+WITH {DELTAS},
+g AS (SELECT DISTINCT family, classifier, metric, condition FROM fam a WHERE condition <> 'raw' AND EXISTS (SELECT 1 FROM fam r
+  WHERE r.family = a.family AND r.classifier = a.classifier AND r.metric = a.metric AND r.condition = 'raw')),
+m AS (SELECT family, classifier, metric, condition, count(*) AS n_pairs, avg(delta) AS mean_delta, median(delta) AS median_delta, {WTL}
+  FROM deltas GROUP BY 1, 2, 3, 4)
+SELECT family, classifier, metric, condition, coalesce(n_pairs, 0) AS n_pairs, {r6("mean_delta", "mean_delta")},
+  {r6("median_delta", "median_delta")}, coalesce(wins, 0) AS wins, coalesce(ties, 0) AS ties, coalesce(losses, 0) AS losses,
+  CASE WHEN n_pairs IS NULL THEN 'skipped' WHEN n_pairs < 3 THEN 'descriptive' ELSE 'computed' END AS status,
+  CASE WHEN n_pairs IS NULL THEN 'no complete paired blocks' WHEN n_pairs < 3 THEN
+    'fewer than three complete dataset blocks; inferential test skipped per frozen rule' END AS reason
+FROM g LEFT JOIN m USING (family, classifier, metric, condition)"""
+SIGNED = f"""{DELTAS},
+sr AS (SELECT *, count(*) OVER (PARTITION BY family, classifier, metric, condition) AS n_pairs,
+  CASE WHEN delta <> 0 THEN rank() OVER (PARTITION BY family, classifier, metric, condition, delta <> 0 ORDER BY abs(delta))
+    + (count(*) OVER (PARTITION BY family, classifier, metric, condition, abs(delta)) - 1) / 2.0::DOUBLE END AS rk,
+  count(*) OVER (PARTITION BY family, classifier, metric, condition, abs(delta)) AS tied FROM deltas),
+wil AS (SELECT family, classifier, metric, condition, max(n_pairs) AS n_pairs, count(rk) AS n,
+  coalesce(sum(rk) FILTER (delta > 0), 0) AS wp, coalesce(sum(rk) FILTER (delta < 0), 0) AS wm,
+  coalesce(max(tied) FILTER (delta <> 0), 1) > 1 AS tied, list(rk) FILTER (delta <> 0) AS rks FROM sr GROUP BY 1, 2, 3, 4),
+pat AS (SELECT family, classifier, metric, condition, n, wp, wm, rks, unnest(range(0, CAST(power(2, n) AS BIGINT))) AS s FROM wil),
+tail AS (SELECT family, classifier, metric, condition, avg(CASE WHEN abs(list_sum(list_transform(rks, lambda r, i:
+  CASE WHEN (s >> (i - 1)) & 1 = 1 THEN r ELSE -r END))) >= abs(wp - wm) - 1e-12 THEN 1 ELSE 0 END) AS p
+  FROM pat GROUP BY 1, 2, 3, 4)"""
+WP = "CASE WHEN n_pairs >= 3 THEN CASE WHEN n = 0 THEN 1 ELSE p END END"
+PAIR_KEYS = "family, classifier, metric, condition"
+ORACLE["st_rank_biserial"] = f"""
+WITH {SIGNED} SELECT {PAIR_KEYS}, {r6("CASE WHEN n = 0 THEN 0 ELSE (wp - wm) / (n * (n + 1) / 2.0) END", "rank_biserial")} FROM wil"""
+ORACLE["st_wilcoxon"] = f"""
+WITH {SIGNED} SELECT {PAIR_KEYS}, {r6("CASE WHEN n_pairs >= 3 THEN least(wp, wm) END", "wilcoxon_statistic")},
+  {r6(WP, "wilcoxon_p_value")} FROM wil LEFT JOIN tail USING ({PAIR_KEYS})"""
+ORACLE["st_wilcoxon_calibration"] = f"""
+WITH {SIGNED}, c AS (SELECT *, CASE WHEN n_pairs < 3 THEN 'not_run_below_three_pairs' WHEN n = 0 THEN 'degenerate_all_zero_p_one'
+  WHEN NOT tied AND n = n_pairs THEN 'exact_no_ties_or_zeros' WHEN n_pairs <= 13 THEN 'exhaustive_sign_permutation'
+  ELSE 'asymptotic' END AS label FROM wil)
+SELECT {PAIR_KEYS}, label AS wilcoxon_calibration, n AS wilcoxon_effective_n,
+  {r6("CASE WHEN n_pairs >= 3 THEN CASE WHEN n = 0 THEN 1 ELSE 2 / power(2, n) END END", "wilcoxon_min_attainable_p")} FROM c"""
+ORACLE["st_holm"] = f"""
+WITH {SIGNED}, t AS (SELECT {PAIR_KEYS}, {WP} AS p FROM wil LEFT JOIN tail USING ({PAIR_KEYS})),
+m AS (SELECT *, count(p) OVER (PARTITION BY family, classifier, metric) AS m,
+  row_number() OVER (PARTITION BY family, classifier, metric ORDER BY p NULLS LAST) AS r FROM t)
+SELECT {PAIR_KEYS}, {r6("p", "wilcoxon_p_value")}, {r6("CASE WHEN p IS NOT NULL THEN least(1, max((m - r + 1) * p) OVER (PARTITION BY family, classifier, metric ORDER BY r)) END", "holm_p_value")},
+  m AS holm_family_size FROM m"""
+ORACLE["st_signed_rank_exact"] = f"""
+WITH {SIGNED} SELECT {PAIR_KEYS}, {r6("least(wp, wm)", "wilcoxon_statistic")}, {r6("CASE WHEN n = 0 THEN 1 ELSE p END", "exact_p_value")},
+  n AS n_nonzero_pairs, CAST(power(2, n) AS BIGINT) AS sign_patterns,
+  {r6("CASE WHEN n = 0 THEN 1 ELSE 2 / power(2, n) END", "minimum_attainable_p")} FROM wil LEFT JOIN tail USING ({PAIR_KEYS})"""
+ORACLE["st_coverage_grid"] = f"""
+WITH {CELLS}, t AS (SELECT feature_type, classifier, condition, avg(macro_f1) AS m, count(DISTINCT dataset) AS n FROM cells GROUP BY ALL)
+SELECT f.feature_type, c.classifier, k.condition, {r6("t.m", "mean_macro_f1")}, coalesce(t.n, 0) AS n_datasets
+FROM (SELECT DISTINCT feature_type FROM cells) f CROSS JOIN (SELECT DISTINCT classifier FROM cells) c
+CROSS JOIN (SELECT DISTINCT condition FROM cells) k LEFT JOIN t ON t.feature_type = f.feature_type
+AND t.classifier = c.classifier AND t.condition = k.condition"""
+ORACLE["st_stratified"] = f"""
+WITH {DELTAS}, s AS (SELECT dataset, classifier, count(*) AS n FROM records GROUP BY 1, 2),
+ratio AS (SELECT dataset, max(n) / min(n) AS ir FROM s GROUP BY 1),
+j AS (SELECT d.*, CASE WHEN abs(ir - 1) <= 1e-12 THEN 'exactly_balanced_ir_1.0' WHEN ir > 1 THEN 'imbalanced_ir_gt_1.0' END AS stratum
+  FROM deltas d JOIN ratio USING (dataset))
+SELECT classifier, condition, metric, stratum, string_agg(DISTINCT dataset, ';' ORDER BY dataset) AS dataset_ids,
+  count(*) AS n_datasets, {r6("avg(delta)", "mean_paired_delta")}, {r6("median(delta)", "median_paired_delta")}, {WTL},
+  'descriptive_only_no_tests' AS inferential_status FROM j WHERE stratum IS NOT NULL GROUP BY 1, 2, 3, 4"""
+ORACLE["st_box_stats"] = f"""
+WITH {DELTAS}, q AS (SELECT {PAIR_KEYS}, quantile_cont(delta, 0.25) AS q1, quantile_cont(delta, 0.5) AS q2,
+  quantile_cont(delta, 0.75) AS q3 FROM deltas GROUP BY ALL),
+j AS (SELECT *, delta BETWEEN q1 - (q3 - q1) * 1.5 AND q3 + (q3 - q1) * 1.5 AS inside FROM deltas JOIN q USING ({PAIR_KEYS}))
+SELECT {PAIR_KEYS}, {r6("q1", "q1")}, {r6("q2", "median")}, {r6("q3", "q3")}, {r6("min(delta) FILTER (inside)", "whisker_low")},
+  {r6("max(delta) FILTER (inside)", "whisker_high")}, count(*) FILTER (NOT inside) AS outliers
+FROM j GROUP BY {PAIR_KEYS}, q1, q2, q3"""
+ORACLE["st_figure_means"] = f"""
+WITH {CELLS} SELECT feature_type, condition, {", ".join(r6(f"avg(macro_f1) FILTER (classifier = '{c}')", c) for c in rules.ANALYSIS_CLASSIFIERS)}
+FROM cells GROUP BY 1, 2"""
+ORACLE["st_friedman"] = f"""
+WITH {BLOCKS},
+base AS (SELECT family, classifier, metric, list(condition ORDER BY condition) AS all_c
+  FROM families, (SELECT unnest([{listed(rules.METRICS)}]) AS metric) GROUP BY ALL),
+have AS (SELECT family, classifier, metric, list(DISTINCT condition) AS have FROM fam GROUP BY ALL),
+j AS (SELECT b.*, coalesce(h.have, []) AS have, coalesce(CAST(s.n AS BIGINT), 0) AS n_blocks, s.stat, s.k,
+  array_to_string(list_filter(all_c, lambda c: NOT list_contains(coalesce(h.have, []), c)), ', ') AS missing
+  FROM base b LEFT JOIN have h USING (family, classifier, metric) LEFT JOIN stat s USING (family, classifier, metric)),
+r AS (SELECT *, CASE WHEN len(have) < 3 THEN 'fewer than three complete conditions'
+  WHEN n_blocks < 3 THEN 'fewer than three complete dataset blocks'
+  WHEN missing <> '' THEN 'incomplete condition matrix: ' || missing END AS reason FROM j)
+SELECT family, classifier, metric, n_blocks, len(have) AS n_conditions, {r6("CASE WHEN reason IS NULL THEN stat END", "stat")},
+  {r6("CASE WHEN reason IS NULL THEN " + chi2("stat", "k - 1") + " END", "p")},
+  CASE WHEN reason IS NULL THEN 'computed' ELSE 'skipped' END AS status, reason FROM r"""
+ORACLE["st_friedman_pilot"] = f"""
+WITH {MEANS},
+shape AS (SELECT feature_type, classifier, metric, count(DISTINCT dataset) AS n_blocks, count(DISTINCT condition) AS n_conditions,
+  count(*) AS cells FROM ml GROUP BY ALL),
+rk AS (SELECT *, rank() OVER (PARTITION BY feature_type, classifier, metric, dataset ORDER BY score)
+  + (count(*) OVER (PARTITION BY feature_type, classifier, metric, dataset, score) - 1) / 2.0::DOUBLE AS rk,
+  count(*) OVER (PARTITION BY feature_type, classifier, metric, dataset, score) AS tied FROM ml),
+s AS (SELECT feature_type, classifier, metric, condition, sum(rk) AS s, count(*) AS n, sum(tied * tied - 1) AS ties FROM rk GROUP BY ALL),
+f AS (SELECT feature_type, classifier, metric, max(n)::DOUBLE AS n, count(*)::DOUBLE AS k, sum(s * s) AS sq, sum(ties) AS ties FROM s GROUP BY ALL),
+j AS (SELECT *, (12 / (n * k * (k + 1)) * sq - 3 * n * (k + 1)) / (1 - ties / (n * (k * k * k - k))) AS stat,
+  CASE WHEN n_blocks < 3 THEN 'fewer than three dataset blocks' WHEN n_conditions < 3 THEN 'fewer than three conditions for Friedman test'
+    WHEN cells <> n_blocks * n_conditions THEN 'incomplete dataset-by-condition block' END AS reason
+  FROM shape JOIN f USING (feature_type, classifier, metric))
+SELECT feature_type, classifier, metric, n_blocks, n_conditions, {r6("CASE WHEN reason IS NULL THEN stat END", "stat")},
+  {r6("CASE WHEN reason IS NULL THEN " + chi2("stat", "k - 1") + " END", "p")},
+  CASE WHEN reason IS NULL THEN 'computed' ELSE 'skipped' END AS status, reason FROM j"""
+ORACLE["st_mean_ranks"] = f"""
+WITH {BLOCKS} SELECT family, classifier, metric, condition, {r6("avg(rk)", "mean_rank")}, count(*) AS n_blocks FROM ranked GROUP BY 1, 2, 3, 4"""
+ORACLE["st_nemenyi"] = f"""
+WITH {BLOCKS},
+ok AS (SELECT s.* FROM stat s JOIN (SELECT DISTINCT family, classifier, size FROM families) f USING (family, classifier)
+  WHERE s.n >= 3 AND s.k = f.size),
+mr AS (SELECT family, classifier, metric, condition, avg(rk) AS m FROM ranked GROUP BY ALL),
+pr AS (SELECT a.family, a.classifier, a.metric, a.condition AS a, b.condition AS b, o.k,
+  abs(a.m - b.m) / sqrt(o.k * (o.k + 1) / (6 * o.n)) * sqrt(2) AS q
+  FROM mr a JOIN mr b USING (family, classifier, metric) JOIN ok o USING (family, classifier, metric) WHERE a.condition < b.condition),
+z AS (SELECT i * 0.1::DOUBLE AS z FROM (SELECT unnest(range(-80, 81)) AS i)),
+phi AS (SELECT family, classifier, metric, a, b, k, q, z, z - q AS w FROM pr, z),
+cdf AS (SELECT *,
+  CASE WHEN abs(z) > 8 THEN CASE WHEN z > 0 THEN 1 ELSE 0 END ELSE 0.5 + z / sqrt(2 * pi()) * list_sum(list_transform(range(0, 200), lambda n:
+    exp(n * ln(greatest(z * z, 1e-300)) - z * z / 2 + n * ln(2) + lgamma(n + 1) - lgamma(2 * n + 2)))) END AS fz,
+  CASE WHEN abs(w) > 8 THEN CASE WHEN w > 0 THEN 1 ELSE 0 END ELSE 0.5 + w / sqrt(2 * pi()) * list_sum(list_transform(range(0, 200), lambda n:
+    exp(n * ln(greatest(w * w, 1e-300)) - w * w / 2 + n * ln(2) + lgamma(n + 1) - lgamma(2 * n + 2)))) END AS fw FROM phi)
+SELECT family, classifier, metric, a, b, {r6("least(1, greatest(0, 1 - k * 0.1 * sum(exp(-z * z / 2) / sqrt(2 * pi()) * power(greatest(0, fz - fw), k - 1))))", "p")}
+FROM cdf GROUP BY family, classifier, metric, a, b, k"""
+ORACLE["st_sign_flip"] = f"""
+WITH {BLOCKS},
+pr AS (SELECT a.family, a.classifier, a.metric, a.condition AS a, b.condition AS b, list(a.value - b.value ORDER BY a.dataset) AS d
+  FROM blocks a JOIN blocks b USING (family, classifier, metric, dataset) WHERE a.position < b.position GROUP BY ALL),
+e AS (SELECT *, len(d) AS n, list_sum(d) / len(d) AS mean, unnest(range(0, CAST(power(2, len(d)) AS BIGINT))) AS s FROM pr WHERE len(d) >= 3)
+SELECT family, classifier, metric, a, b, {r6("mean", "mean")}, n AS n_blocks, count(*) AS sign_patterns,
+  {r6("avg(CASE WHEN abs(list_sum(list_transform(d, lambda v, i: CASE WHEN (s >> (i - 1)) & 1 = 1 THEN v ELSE -v END)) / n) >= abs(mean) - 1e-12 THEN 1 ELSE 0 END)", "exact_p_value")}
+FROM e GROUP BY family, classifier, metric, a, b, mean, n"""
+ORACLE["st_bootstrap_ci"] = f"""
+WITH {DELTAS},
+g AS (SELECT {PAIR_KEYS}, list(delta ORDER BY dataset) AS d FROM deltas GROUP BY ALL),
+r AS (SELECT *, unnest(range(1, 501)) AS r FROM g),
+s AS (SELECT *, unnest(range(1, len(d) + 1)) AS s FROM r),
+m AS (SELECT {PAIR_KEYS}, r, avg(d[{draw("'0'", "r", "s")} % len(d) + 1]) AS m FROM s GROUP BY {PAIR_KEYS}, r)
+SELECT {PAIR_KEYS}, {r6("quantile_cont(m, 0.025)", "bootstrap_low")}, {r6("quantile_cont(m, 0.975)", "bootstrap_high")} FROM m GROUP BY ALL"""
+
+
+def permutation(ranked: str, stat: str, seed: int) -> str:
+    return f"""
+perm AS (SELECT r.family, r.classifier, r.metric, r.dataset, x.r, r.rk, row_number() OVER (PARTITION BY r.family, r.classifier, r.metric, r.dataset, x.r
+    ORDER BY md5(concat_ws(':', '{seed}', x.r, r.dataset, r.condition))) AS slot
+  FROM {ranked} r JOIN {stat} s USING (family, classifier, metric), (SELECT unnest(range(1, 2001)) AS r) x WHERE s.n >= 3 AND s.k >= 3),
+psum AS (SELECT family, classifier, metric, r, slot, sum(rk) AS s FROM perm GROUP BY ALL),
+pstat AS (SELECT family, classifier, metric, r, sum(s * s) AS sq FROM psum GROUP BY ALL),
+hits AS (SELECT family, classifier, metric, max(n) AS n, max(k) AS k, max(stat) AS stat, max(tie_correction) AS tie_correction,
+  count(*) AS m, count(*) FILTER ((12 / (n * k * (k + 1)) * p.sq - 3 * n * (k + 1)) / tie_correction >= stat - 1e-12) AS e
+  FROM pstat p JOIN {stat} USING (family, classifier, metric) GROUP BY ALL)
+SELECT family, classifier, metric, CAST(n AS BIGINT) AS n_blocks, CAST(k AS BIGINT) AS n_conditions, {r6("stat", "stat")},
+  {r6("tie_correction", "tie_correction")}, e AS permutation_exceedances, m AS permutation_resamples,
+  {r6("(e + 1) / (m + 1)", "permutation_p_value")},
+  {r6("sqrt((e + 1) / (m + 1) * (1 - (e + 1) / (m + 1)) / (m + 1))", "permutation_monte_carlo_se")},
+  {r6(chi2("stat", "k - 1"), "asymptotic_p_value")} FROM hits"""
+
+
+ORACLE["st_friedman_permutation"] = f"WITH {BLOCKS}, {permutation('ranked', 'stat', 0)}"
+REDUCED = f"""{CELLS},
+rc AS (SELECT 'numeric_core_without_adasyn' AS family, classifier, 'macro_f1' AS metric, dataset, condition, macro_f1 AS value,
+  count(*) OVER (PARTITION BY classifier, dataset) AS own FROM cells WHERE feature_type = 'numeric'
+  AND condition IN ({listed(rules.POSTHOC_CONDITIONS)})),
+rb AS (SELECT * FROM rc WHERE own = {len(rules.POSTHOC_CONDITIONS)})"""
+ORACLE["st_reduced_omnibus"] = f"""
+WITH {REDUCED},
+rr AS (SELECT *, rank() OVER (PARTITION BY classifier, dataset ORDER BY value)
+  + (count(*) OVER (PARTITION BY classifier, dataset, value) - 1) / 2.0::DOUBLE AS rk,
+  count(*) OVER (PARTITION BY classifier, dataset, value) AS tied FROM rb),
+rs AS (SELECT family, classifier, metric, condition, sum(rk) AS s, count(*) AS n, sum(tied * tied - 1) AS ties FROM rr GROUP BY ALL),
+rf AS (SELECT family, classifier, metric, max(n)::DOUBLE AS n, count(*)::DOUBLE AS k, sum(s * s) AS sq, sum(ties) AS ties FROM rs GROUP BY ALL),
+rt AS (SELECT *, 1 - ties / (n * (k * k * k - k)) AS tie_correction,
+  (12 / (n * k * (k + 1)) * sq - 3 * n * (k + 1)) / (1 - ties / (n * (k * k * k - k))) AS stat FROM rf),
+{permutation("rr", "rt", rules.POSTHOC_SEED)}"""
+ORACLE["st_reduced_pairwise"] = f"""
+WITH {REDUCED},
+deltas AS (SELECT a.family, a.classifier, a.metric, a.dataset, a.condition, a.value - r.value AS delta FROM rb a JOIN rb r
+  ON r.classifier = a.classifier AND r.dataset = a.dataset AND r.condition = 'raw' WHERE a.condition <> 'raw'),
+{SIGNED[len(DELTAS) + 1:]},
+d AS (SELECT {PAIR_KEYS}, count(*) AS n_pairs, avg(delta) AS mean_delta, median(delta) AS median_delta, {WTL} FROM deltas GROUP BY ALL),
+t AS (SELECT d.*, wil.n, least(wp, wm) AS w, CASE WHEN wil.n = 0 THEN 1 ELSE p END AS p FROM d JOIN wil USING ({PAIR_KEYS}) LEFT JOIN tail USING ({PAIR_KEYS})),
+h AS (SELECT *, count(p) OVER (PARTITION BY classifier) AS m, row_number() OVER (PARTITION BY classifier ORDER BY p) AS r FROM t)
+SELECT {PAIR_KEYS}, n_pairs, {r6("mean_delta", "mean_delta")}, {r6("median_delta", "median_delta")}, wins, ties, losses,
+  {r6("w", "wilcoxon_statistic")}, {r6("p", "exact_p_value")}, n AS n_nonzero_pairs, CAST(power(2, n) AS BIGINT) AS sign_patterns,
+  {r6("CASE WHEN n = 0 THEN 1 ELSE 2 / power(2, n) END", "minimum_attainable_p")},
+  {r6("least(1, max((m - r + 1) * p) OVER (PARTITION BY classifier ORDER BY r))", "holm_p_value")}, m AS holm_family_size FROM h"""
+CONTRAST_ROWS = ", ".join(
+    f"({pos}, '{left}', '{right}', '{classifier}')"
+    for pos, (left, right) in enumerate(declared_pairs())
+    for classifier in rules.ANALYSIS_CLASSIFIERS
+    if classifier == "random_forest" or "balanced_random_forest" not in (left, right)
+)
+CONTRASTS = f"""{RESULTS},
+contrasts(pos, left_condition, right_condition, classifier) AS (VALUES {CONTRAST_ROWS}),
+rec AS (SELECT dataset || '-' || seed AS dataset, feature_type, fold, classifier, condition, macro_f1 FROM results),
+paired AS (SELECT c.left_condition, c.right_condition, c.classifier, l.dataset, l.feature_type, l.fold, l.macro_f1 AS "left",
+  r.macro_f1 AS "right", l.macro_f1 - r.macro_f1 AS delta,
+  count(*) OVER (PARTITION BY c.left_condition, c.right_condition, c.classifier, l.dataset) AS n
+  FROM contrasts c JOIN rec l ON l.classifier = c.classifier AND l.condition = c.left_condition
+  JOIN rec r ON r.classifier = c.classifier AND r.condition = c.right_condition AND r.dataset = l.dataset AND r.fold = l.fold),
+cb AS (SELECT * FROM paired WHERE n = 5)"""
+CKEYS = "left_condition, right_condition, classifier"
+ORACLE["st_contrast_blocks"] = f"""
+WITH {CONTRASTS} SELECT {CKEYS}, dataset, feature_type, {FOLD}, {r6('"left"', '"left"')}, {r6('"right"', '"right"')}, {r6("delta", "delta")} FROM cb"""
+ORACLE["st_contrast_table"] = f"""
+WITH {CONTRASTS}, k AS (SELECT {CKEYS}, count(DISTINCT dataset) AS n FROM cb GROUP BY ALL)
+SELECT CAST(pos AS BIGINT) AS pos, {CKEYS}, coalesce(n, 0) AS complete_dataset_blocks,
+  CASE WHEN coalesce(n, 0) < 3 THEN 'SKIPPED' ELSE 'VALID' END AS status,
+  CASE WHEN coalesce(n, 0) < 3 THEN 'fewer than three complete dataset blocks' END AS reason
+FROM contrasts LEFT JOIN k USING ({CKEYS})"""
+POSTERIOR = f"""{CONTRASTS},
+pd AS (SELECT {CKEYS}, dataset, avg(delta) AS m, var_pop(delta) * 5 AS w FROM cb GROUP BY ALL),
+ps AS (SELECT {CKEYS}, count(*) AS n, avg(m) AS centre, var_pop(m) * count(*) AS between_ss, sum(w) AS within_ss FROM pd GROUP BY ALL HAVING count(*) >= 3),
+pz AS (SELECT *, greatest(sqrt(between_ss / (n - 1)), 1e-6) AS sd_m, greatest(sqrt(within_ss / (n * 4)), 1e-6) AS sd_w FROM ps),
+pg AS (SELECT pz.*, sd_m * (a - 0.5::DOUBLE) * 0.5::DOUBLE AS tau, sd_w * (0.4::DOUBLE + (b - 0.5::DOUBLE) * (2.6::DOUBLE / 8)) AS sigma,
+  (c - 0.5::DOUBLE) / 5 AS rho FROM pz, (SELECT unnest(range(1, 9)) AS a), (SELECT unnest(range(1, 9)) AS b), (SELECT unnest(range(1, 6)) AS c)),
+pv AS (SELECT *, tau * tau + sigma * sigma * (1 + rho * 4) / 5 AS v, sigma * sigma * (1 - rho) AS s FROM pg),
+pm AS (SELECT *, centre + sd_m / sqrt(n) * (i * 0.2::DOUBLE) AS mu FROM pv, (SELECT unnest(range(-40, 41)) AS i)),
+pl AS (SELECT *, -0.5 * n * ln(v) - 2 * n * ln(s) - 0.5 * within_ss / s - 0.5 * (between_ss + n * (mu - centre) * (mu - centre)) / v
+  - mu * mu / 0.5 - tau * tau / 0.5 - sigma * sigma / 0.125 + ln(rho) + ln(1 - rho) AS l FROM pm),
+pt AS (SELECT {CKEYS}, max(l) AS top FROM pl GROUP BY ALL),
+pw AS (SELECT {CKEYS}, n, i, mu, sum(exp(l - top)) AS d FROM pl JOIN pt USING ({CKEYS}) GROUP BY ALL),
+post AS (SELECT *, d / sum(d) OVER (PARTITION BY {CKEYS}) AS weight FROM pw)"""
+ORACLE["st_posterior"] = f"WITH {POSTERIOR} SELECT {CKEYS}, n, i AS i_mu, {r6('weight', 'weight')} FROM post"
+ORACLE["st_rope"] = f"""
+WITH {POSTERIOR}, m AS (SELECT {CKEYS}, coalesce(sum(weight) FILTER (mu < -0.01), 0) AS w,
+  coalesce(sum(weight) FILTER (mu BETWEEN -0.01 AND 0.01), 0) AS e, coalesce(sum(weight) FILTER (mu > 0.01), 0) AS b FROM post GROUP BY ALL)
+SELECT {CKEYS}, {r6("w", "p_practically_worse")}, {r6("e", "p_practically_equivalent")}, {r6("b", "p_practically_better")},
+  CASE WHEN w >= e AND w >= b THEN 'practically_worse' WHEN e >= b THEN 'practically_equivalent' ELSE 'practically_better' END AS posterior_category
+FROM m"""
+ORACLE["st_credible"] = f"""
+WITH {POSTERIOR}, c AS (SELECT *, sum(weight) OVER (PARTITION BY {CKEYS} ORDER BY mu ROWS UNBOUNDED PRECEDING) AS c FROM post)
+SELECT {CKEYS}, {r6("sum(mu * weight)", "posterior_mean_mu")}, {r6("min(mu) FILTER (c >= 0.5)", "posterior_median_mu")},
+  {r6("min(mu) FILTER (c >= 0.025)", "credible_low")}, {r6("min(mu) FILTER (c >= 0.975)", "credible_high")},
+  {r6("sum(weight) FILTER (abs(i) = 40)", "edge_mass")} FROM c GROUP BY {CKEYS}"""
+
+# ---- text and provenance -----------------------------------------------------------------------
+EMAIL, REVISION, LOCAL = (p.replace("'", "''") for p in (rules.EMAIL, rules.REVISION, rules.LOCAL_PATH))
+ORACLE["txt_identity_scan"] = f"""
+SELECT doc_id, 'email' AS kind FROM documents WHERE regexp_matches(text, '{EMAIL}')
+UNION ALL SELECT doc_id, 'local_path' FROM documents WHERE regexp_matches(text, '{LOCAL}')
+UNION ALL SELECT doc_id, 'revision' FROM documents WHERE regexp_matches(text, '{REVISION}')
+UNION ALL SELECT doc_id, 'term:license' FROM documents WHERE contains(lower(text), 'license')
+UNION ALL SELECT doc_id, 'term:Copyright' FROM documents WHERE contains(lower(text), 'copyright')"""
+ORACLE["txt_redact"] = f"""
+SELECT doc_id, len(regexp_extract_all(text, '{LOCAL}')) AS local_paths, len(regexp_extract_all(text, '{REVISION}')) AS revisions,
+  len(regexp_extract_all(text, '{EMAIL}')) AS emails,
+  md5(regexp_replace(regexp_replace(regexp_replace(text, '{LOCAL}', '<local-path>', 'g'), '{REVISION}', '<revision>', 'g'),
+    '{EMAIL}', '<email>', 'g')) AS text_md5 FROM documents"""
+ORACLE["txt_json_redact"] = """
+SELECT conv_id, turn, '{"git_head":null,"inner":{"source_commit":null,"size":' || length(text) || '}}' AS body FROM conversations"""
+ORACLE["txt_hash_rebind"] = """
+WITH m AS (SELECT url, min(CASE WHEN length(html) % 2 = 0 THEN sha256(html) END) AS h FROM pages GROUP BY 1)
+SELECT page_id, p.url AS path, coalesce(m.h, sha256(p.url)) AS sha256 FROM pages p LEFT JOIN m ON m.url = p.url"""
+ORACLE["prov_set_digest"] = """
+SELECT count(*) AS paths, sha256(string_agg(url, chr(0) ORDER BY url)) AS digest FROM (SELECT DISTINCT url FROM pages)"""
+ORACLE["prov_path_rules"] = r"""
+WITH p AS (SELECT regexp_replace(url, '^[a-z]+://[^/]*/?', '') AS path FROM pages),
+u AS (SELECT path, CASE WHEN path = '' THEN 'empty' WHEN contains(path, '\') THEN 'backslash' WHEN starts_with(path, '/') THEN 'absolute'
+  WHEN regexp_matches(path, '^[A-Za-z]:') THEN 'drive'
+  WHEN list_has_any(string_split(path, '/'), ['', '.', '..']) THEN 'empty or dot segment' END AS problem FROM p)
+SELECT path, problem FROM u WHERE problem IS NOT NULL
+UNION ALL SELECT path, 'duplicate or case collision' FROM (SELECT path, count(*) OVER (PARTITION BY lower(path)) AS n FROM p) WHERE n > 1"""
+ORACLE["prov_generated_paths"] = f"""
+WITH p AS (SELECT doc_id, [{listed((*rules.GENERATED_PREFIXES, "src/"))}][length(text) % 6 + 1] || source
+  || CASE WHEN lang = 'en' THEN '.gitkeep' ELSE '.csv' END AS path FROM documents)
+SELECT doc_id, path FROM p WHERE list_bool_or([{", ".join(f"starts_with(path, '{g}')" for g in rules.GENERATED_PREFIXES)}])
+AND NOT ends_with(path, '.gitkeep') AND path NOT IN ({listed(rules.TRACKED_PROVENANCE)})"""
+ORACLE["tune_select"] = f"""
+WITH {RECORDS}, s AS (SELECT dataset, seed, fold, classifier, list_position([{listed(rules.CONDITIONS)}], condition) AS trial,
+  CASE WHEN status = 'VALID' THEN round(macro_f1, 9) END AS score FROM records),
+r AS (SELECT *, row_number() OVER (PARTITION BY dataset, seed, fold, classifier ORDER BY score DESC NULLS LAST, trial) AS r FROM s)
+SELECT dataset, CAST(seed AS BIGINT) AS seed, CAST(fold AS BIGINT) AS fold, classifier, CAST(trial AS BIGINT) AS trial, {r6("score", "score")}
+FROM r WHERE r = 1 AND score IS NOT NULL"""

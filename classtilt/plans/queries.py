@@ -372,7 +372,12 @@ def rs_smotenc(spark, sf):
 
 @query
 def rs_enn(spark, sf):
-    return rs.rs_enn(views.numeric_train(spark, sf), []).select("id", "y")
+    """Customers by account balance; segments are the classes."""
+
+    rows = t(spark, sf, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("y"), F.array("c_acctbal").alias("x")
+    )
+    return rs.rs_enn(rows, []).select("id", "y")
 
 
 @query
