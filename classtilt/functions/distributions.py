@@ -47,11 +47,12 @@ def fn_norm_cdf(z: Column) -> Column:
     """Standard normal distribution function."""
 
     first = z * F.exp(-z * z / _d(2)) / _d(math.sqrt(2 * math.pi))
-    body = _series(first, lambda n: z * z / (_d(2) * n + _d(1)), F.lit(130))
+    terms = F.least(F.lit(130), F.ceil(z * z * 1.2).cast("int") + 30)
+    body = _series(first, lambda n: z * z / (_d(2) * n + _d(1)), terms)
     return F.when(z > 8, _d(1)).when(z < -8, _d(0)).otherwise(_d(0.5) + body)
 
 
-def fn_range_sf(q: Column, k: Column, step: float = 0.1) -> Column:
+def fn_range_sf(q: Column, k: Column, step: float = 0.25) -> Column:
     """P(studentised range of ``k`` normals > q), infinite degrees of freedom."""
 
     points = [i * step for i in range(-int(8 / step), int(8 / step) + 1)]

@@ -2,6 +2,7 @@
 
 Fitted statistics are small tables keyed by fold; they are joined back to the rows, so a test row never takes
 part in a fit. Columns of a fold table: ``fold`` is the fold whose *training* part the statistics describe.
+Only tables with one row per fold are broadcast by hint; they have at most ``k`` rows whatever the data.
 """
 
 from __future__ import annotations
@@ -133,7 +134,7 @@ def prep_impute_median(df: DataFrame, cols: Sequence[str], fold: str = "fold", k
     wide = fitted.groupBy(fold).agg(
         *[F.max(F.when(F.col("column") == c, F.col("median"))).alias(f"_{c}") for c in cols]
     )
-    filled = used.join(wide, fold, "left")
+    filled = used.join(F.broadcast(wide), fold, "left")
     for c in cols:
         filled = filled.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"_{c}"))).drop(f"_{c}")
     return filled, fitted
@@ -177,7 +178,7 @@ def prep_impute_mode(df: DataFrame, cols: Sequence[str], fold: str = "fold", k:
     wide = fitted.groupBy(fold).agg(
         *[F.max(F.when(F.col("column") == c, F.col("mode"))).alias(f"_{c}") for c in cols]
     )
-    filled = used.join(wide, fold, "left")
+    filled = used.join(F.broadcast(wide), fold, "left")
     for c in cols:
         filled = filled.withColumn(c, F.coalesce(F.col(c).cast("string"), F.col(f"_{c}"))).drop(f"_{c}")
     return filled, fitted
@@ -198,7 +199,7 @@ def prep_scale(df: DataFrame, cols: Sequence[str], fold: str = "fold", k: int =
     fitted = fitted.withColumns(
         {f"{c}_std": F.when(F.col(f"{c}_std") == 0, 1.0).otherwise(F.col(f"{c}_std")) for c in cols}
     )
-    scaled = used.join(fitted, fold)
+    scaled = used.join(F.broadcast(fitted), fold)
     for c in cols:
         scaled = scaled.withColumn(c, (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_std"))
     return scaled.drop(*[f"{c}_{s}" for c in cols for s in ("mean", "std")]), fitted
@@ -249,7 +250,7 @@ def prep_onehot(coded: DataFrame, cols: Sequence[str], vocab: DataFrame, fold: s
     widths = vocab.groupBy(fold).agg(
         *[F.count(F.when(F.col("column") == c, 1)).cast("int").alias(f"_{c}") for c in cols]
     )
-    hot = coded.join(widths, fold)
+    hot = coded.join(F.broadcast(widths), fold)
     for c in cols:
         code = F.col(f"{c}_code")
         indicator = F.transform(F.sequence(F.lit(0), F.col(f"_{c}") - 1), _is(code))
@@ -290,7 +291,7 @@ def prep_native_vocab(df: DataFrame, cols: Sequence[str], fold: str = "fold", k:
         *[F.max(F.when(F.col("column") == c, F.col("category"))).alias(f"_{c}") for c in cols]
     )
     coded, _ = prep_ordinal(used, cols, fold, k)
-    out = coded.join(wide, fold, "left")
+    out = coded.join(F.broadcast(wide), fold, "left")
     for c in cols:
         out = out.withColumn(
             c, F.when(F.col(f"{c}_code") >= 0, F.col(c).cast("string")).otherwise(F.col(f"_{c}"))
@@ -304,7 +305,7 @@ def prep_code_to_label(df: DataFrame, cols: Sequence[str], vocab: DataFrame, fol
     last = vocab.groupBy(fold).agg(
         *[F.max(F.when(F.col("column") == c, F.col("code"))).alias(f"_{c}_last") for c in cols]
     )
-    out = df.join(last, fold)
+    out = df.join(F.broadcast(last), fold)
     for c in cols:
         code = F.rint(F.col(f"{c}_code")).cast("int")
         inside = F.when(code.between(0, F.col(f"_{c}_last")), code).otherwise(F.col(f"_{c}_last"))

@@ -329,14 +329,15 @@ def category_codes(train: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     seen = train.select(*keys, F.posexplode("cats").alias("_i", "_v")).distinct()
     order = Window.partitionBy(*keys, "_i").orderBy("_v")
-    codes = (
-        seen.withColumn("_c", F.row_number().over(order) - 1.0)
-        .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct(F.struct("_i", "_v"), "_c"))).alias("_codes"))
+    codes = seen.withColumn("_c", F.row_number().over(order) - 1.0)
+    coded = (
+        train.select(*keys, "id", F.posexplode("cats").alias("_i", "_v"))
+        .join(codes, [*keys, "_i", "_v"])
+        .groupBy(*keys, "id")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_c"))), lambda c: c["_c"]).alias("_codes"))
     )
-    coded = F.transform("cats", lambda v, i: F.element_at("_codes", F.struct(i.alias("_i"), v.alias("_v"))))
-    joined = train.join(codes, list(keys)) if keys else train.withColumn("_codes", codes.scalar())
-    return joined.withColumn("_x", F.col("x")).withColumn("x", F.concat("x", coded)).drop("_codes")
+    joined = train.join(coded, [*keys, "id"])
+    return joined.withColumn("_x", F.col("x")).withColumn("x", F.concat("x", "_codes")).drop("_codes")
 
 
 def _cleaned(train: DataFrame, keys: Sequence[str], clean) -> DataFrame:

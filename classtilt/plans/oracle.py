@@ -833,7 +833,8 @@ ORACLE["txt_hash_rebind"] = """
 WITH m AS (SELECT url, min(CASE WHEN length(html) % 2 = 0 THEN sha256(html) END) AS h FROM pages GROUP BY 1)
 SELECT page_id, p.url AS path, coalesce(m.h, sha256(p.url)) AS sha256 FROM pages p LEFT JOIN m ON m.url = p.url"""
 ORACLE["prov_set_digest"] = """
-SELECT count(*) AS paths, sha256(string_agg(url, chr(0) ORDER BY url)) AS digest FROM (SELECT DISTINCT url FROM pages)"""
+SELECT count(*) AS paths, sha256(string_agg(p, chr(0) ORDER BY p)) AS digest
+FROM (SELECT DISTINCT concat_ws('/', source, lang) AS p FROM documents)"""
 ORACLE["prov_path_rules"] = r"""
 WITH p AS (SELECT regexp_replace(url, '^[a-z]+://[^/]*/?', '') AS path FROM pages),
 u AS (SELECT path, CASE WHEN path = '' THEN 'empty' WHEN contains(path, '\') THEN 'backslash' WHEN starts_with(path, '/') THEN 'absolute'

@@ -71,7 +71,7 @@ def centroid_scores(folds: DataFrame, rows: DataFrame) -> DataFrame:
     )
     gap = lambda c: F.aggregate(F.zip_with("x", c["m"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
     nearest = F.array_min(F.transform("centroids", lambda c: F.struct(F.round(gap(c), 9).alias("d"), c["c"].alias("c"))))
-    return rows.join(centroids, "fold").withColumn("yhat", nearest["c"])
+    return rows.join(F.broadcast(centroids), "fold").withColumn("yhat", nearest["c"])
 
 
 @query
@@ -817,7 +817,10 @@ def txt_hash_rebind(spark, sf):
 
 @query
 def prov_set_digest(spark, sf):
-    return prov.prov_set_digest(t(spark, sf, "pages"), "url")
+    """The list of file names that the documents fall into; the list is small, the table is not."""
+
+    files = t(spark, sf, "documents").select(F.concat_ws("/", "source", "lang").alias("path"))
+    return prov.prov_set_digest(files, "path")
 
 
 def page_paths(spark, sf):
