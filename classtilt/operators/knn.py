@@ -45,11 +45,13 @@ def rs_knn(
     cell_rows: int = 1024,
     block_rows: int = 8192,
     max_pivots: int = 1024,
+    ask: DataFrame | None = None,
 ) -> DataFrame:
     """``DF[keys, (y), id, nb_id, rank, distance]``: the ``k`` nearest other rows of every row.
 
     Neighbours come from the same ``keys`` group and, with ``within_class``, the same class. ``penalty`` names a
-    column with the distance added per mismatch of the categories in ``cats``.
+    column with the distance added per mismatch of the categories in ``cats``. ``ask`` (DF[keys, (y), id]) names
+    the rows whose neighbours are wanted; every row can still be a neighbour.
     """
 
     mixed = penalty is not None
@@ -69,6 +71,15 @@ def rs_knn(
         .agg(F.array_sort(F.collect_list("id")).alias("ids"))
         .withColumn("vid", F.col("ids")[0])
     )
+    asking = rows
+    if ask is None:
+        distinct = distinct.withColumn("_asked", F.lit(True))
+    else:
+        on = [*[g for g in groups if g != "_all"], "id"]
+        asking = rows.join(ask.select(*on[:-1], F.col(id).alias("id")).distinct(), on, "left_semi")
+        flagged = asking.select(*groups, *features).distinct().withColumn("_asked", F.lit(True))
+        distinct = distinct.join(flagged, [*groups, *features], "left").na.fill(False, ["_asked"])
+    named = distinct
     if mixed:
         distinct = distinct.withColumnRenamed(penalty, "penalty")
 
@@ -103,7 +114,8 @@ def rs_knn(
         placed.groupBy(*groups, "cell")
         .agg(
             F.max("_near").alias("far"),
-            F.count(F.lit(1)).alias("n"),
+            F.count("*").alias("n"),
+            F.count_if("_asked").alias("asked"),
             F.min_by("_gaps", "_near").alias("gaps"),
             closest.alias("_closest"),
         )
@@ -115,7 +127,7 @@ def rs_knn(
             ).otherwise(F.lit(float("inf"))),
         )
         .groupBy(*groups)
-        .agg(F.collect_list(F.struct("cell", "reach", "far", "n", "gaps")).alias("_cells"))
+        .agg(F.collect_list(F.struct("cell", "reach", "far", "n", "asked", "gaps")).alias("_cells"))
     )
 
     # 4. block pairs of bounded size. Rows that ask are the rows of the cell; rows that answer are all within reach.
@@ -129,11 +141,11 @@ def rs_knn(
     plan = reach.select(
         *groups,
         F.transform(
-            "_cells",
+            F.filter("_cells", lambda c: c["asked"] > 0),
             lambda c: F.struct(
                 c["cell"].alias("cell"),
                 c["reach"].alias("reach"),
-                blocks(c["n"]).alias("lefts"),
+                blocks(c["asked"]).alias("lefts"),
                 F.greatest(F.lit(1).cast("bigint"), blocks(offered(c))).alias("rights"),
             ),
         ).alias("_cells"),
@@ -152,7 +164,7 @@ def rs_knn(
         )
         empty = F.slice(answers, 1, 0)
         return F.concat(
-            F.when(c["cell"] == F.col("cell"), asked).otherwise(empty),
+            F.when((c["cell"] == F.col("cell")) & F.col("_asked"), asked).otherwise(empty),
             answers,
         )
 
@@ -188,12 +200,11 @@ def rs_knn(
         .groupBy(*groups, "vid")
         .agg(F.array_sort(F.collect_list(F.struct("d2", "nb_id"))).alias("_list"))
     )
-    named = distinct.withColumnRenamed("penalty", penalty) if mixed else distinct
     by_vector = named.select(*groups, *features, "vid").join(lists, [*groups, "vid"]).drop("vid")
     others = F.slice(F.filter("_list", lambda c: c["nb_id"] != F.col("id")), 1, k)
     out = [c for c in groups if c != "_all"]
     return (
-        rows.join(by_vector, [*groups, *features])
+        asking.join(by_vector, [*groups, *features])
         .select(*out, "id", F.posexplode(others).alias("rank", "_c"))
         .select(
             *out,

@@ -17,20 +17,37 @@ def txt_identity_scan(df: DataFrame, id: str, text: str, terms: Sequence[str] =
     body = F.col(text)
     low = F.lower(body)
     kinds = [
-        F.when(body.rlike(rules.EMAIL), "email"),
-        F.when(body.rlike(rules.LOCAL_PATH), "local_path"),
+        F.when(_may_have_email(body) & body.rlike(rules.EMAIL), "email"),
+        F.when(_may_have_path(body) & body.rlike(rules.LOCAL_PATH), "local_path"),
         F.when(body.rlike(rules.REVISION), "revision"),
     ]
     kinds += [F.when(F.contains(low, F.lit(t.lower())), f"term:{t}") for t in terms if t]
     return df.select(id, F.explode(F.array_compact(F.array(*kinds))).alias("kind"))
 
 
+def _may_have_email(body: Column) -> Column:
+    return F.contains(body, F.lit("@"))
+
+
+def _may_have_path(body: Column) -> Column:
+    low = F.lower(body)
+    return F.contains(low, F.lit("/home/")) | F.contains(low, F.lit("users"))
+
+
 def redacted(body: Column) -> Column:
-    """Local paths first, then revisions, then e-mail addresses."""
+    """Local paths first, then revisions, then e-mail addresses.
 
-    out = F.regexp_replace(body, rules.LOCAL_PATH, "<local-path>")
+    A plain substring test keeps the costly patterns off the many texts that cannot match.
+    """
+
+    out = F.when(_may_have_path(body), F.regexp_replace(body, rules.LOCAL_PATH, "<local-path>")).otherwise(body)
     out = F.regexp_replace(out, rules.REVISION, "<revision>")
-    return F.regexp_replace(out, rules.EMAIL, "<email>")
+    return F.when(_may_have_email(body), F.regexp_replace(out, rules.EMAIL, "<email>")).otherwise(out)
+
+
+def _count(body: Column, pattern: str, possible: Column) -> Column:
+    n = F.regexp_count(body, F.lit(pattern)).cast("bigint")
+    return F.when(body.isNotNull(), F.when(possible, n).otherwise(F.lit(0).cast("bigint")))
 
 
 def txt_redact(df: DataFrame, text: str) -> DataFrame:
@@ -42,9 +59,9 @@ def txt_redact(df: DataFrame, text: str) -> DataFrame:
     body = F.col(text)
     return df.withColumns(
         {
-            "local_paths": F.regexp_count(body, F.lit(rules.LOCAL_PATH)).cast("bigint"),
-            "revisions": F.regexp_count(body, F.lit(rules.REVISION)).cast("bigint"),
-            "emails": F.regexp_count(body, F.lit(rules.EMAIL)).cast("bigint"),
+            "local_paths": _count(body, rules.LOCAL_PATH, _may_have_path(body)),
+            "revisions": _count(body, rules.REVISION, F.lit(True)),
+            "emails": _count(body, rules.EMAIL, _may_have_email(body)),
             text: redacted(body),
         }
     )

@@ -174,16 +174,30 @@ def rs_smote(train: DataFrame, keys: Sequence[str], k: int, seed: int) -> DataFr
 
     wanted = class_deficits(train, keys).select(*keys, "y", "n", "deficit")
     draws = _draw(_numbered(train, keys, seed, "smote"), wanted, keys, k, seed, "smote")
-    return _append(train, _interpolate(draws, train, rs_knn(train, keys, k, True), keys), keys)
+    return _append(train, _interpolate(draws, train, _class_pairs(train, keys, k, draws), keys), keys)
 
 
-def other_class_neighbours(train: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+def _growing(train: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of the classes that a sampler enlarges; the majority class never needs neighbours of its own."""
+
+    wanted = class_deficits(train, keys).filter("deficit > 0").select(*keys, "y")
+    return train.join(wanted, [*keys, "y"], "left_semi")
+
+
+def _class_pairs(train: DataFrame, keys: Sequence[str], k: int, bases: DataFrame, **how) -> DataFrame:
+    """In-class neighbours of the drawn ``bases`` only: DF[keys, y, id, nb_id, rank, distance]."""
+
+    ask = bases.select(*keys, "y", F.col("base").alias("id"))
+    return rs_knn(_growing(train, keys), keys, k, True, ask=ask, **how)
+
+
+def other_class_neighbours(train: DataFrame, keys: Sequence[str], k: int, ask: DataFrame | None = None) -> DataFrame:
     """DF[keys, id, y, others]: rows of another class among the ``k`` nearest rows of any class."""
 
     labels = train.select(*keys, F.col("id").alias("nb_id"), F.col("y").alias("_ny"))
     own = train.select(*keys, "id", "y")
     return (
-        rs_knn(train, keys, k, False)
+        rs_knn(train, keys, k, False, ask=ask)
         .join(labels, [*keys, "nb_id"])
         .join(own, [*keys, "id"])
         .groupBy(*keys, "id", "y")
@@ -195,7 +209,7 @@ def adasyn_allocation(train: DataFrame, keys: Sequence[str], k: int) -> DataFram
     """DF[keys, y, id, share, rows, total, planned] for every row of a growing class."""
 
     wanted = class_deficits(train, keys).filter("deficit > 0").select(*keys, "y", "deficit")
-    near = other_class_neighbours(train, keys, k).join(wanted, [*keys, "y"])
+    near = other_class_neighbours(train, keys, k, _growing(train, keys).select(*keys, "id")).join(wanted, [*keys, "y"])
     near = near.withColumn("share", F.col("others") / F.lit(float(k)))
     totals = near.groupBy(*keys, "y").agg((F.sum("others") / F.lit(float(k))).alias("total"))
     rows = F.rint(F.col("share") / F.col("total") * F.col("deficit")).cast("bigint")
@@ -231,7 +245,7 @@ def rs_adasyn(train: DataFrame, keys: Sequence[str], k: int, seed: int):
         .withColumn("rank", (hash_key(*named, "neighbour") % k + 1).cast("int"))
         .withColumn("gap", fn_hash_uniform(*named, "gap"))
     )
-    made = _interpolate(draws, train, rs_knn(train, keys, k, True), keys)
+    made = _interpolate(draws, train, _class_pairs(train, keys, k, draws), keys)
     made = made.withColumn("j", F.concat_ws(":", F.col("base").cast("string"), F.col("j").cast("string")))
     return _append(train, made, keys), failures
 
@@ -239,7 +253,7 @@ def rs_adasyn(train: DataFrame, keys: Sequence[str], k: int, seed: int):
 def danger_rows(train: DataFrame, keys: Sequence[str], m: int) -> DataFrame:
     """Rows with at least half but not all of their ``m`` neighbours in other classes."""
 
-    near = other_class_neighbours(train, keys, m)
+    near = other_class_neighbours(train, keys, m, _growing(train, keys).select(*keys, "id"))
     return near.filter((F.col("others") >= F.lit(m / 2.0)) & (F.col("others") < m)).select(*keys, "id", "y")
 
 
@@ -250,7 +264,7 @@ def rs_borderline(train: DataFrame, keys: Sequence[str], k: int, m: int, seed: i
     sizes = danger.groupBy(*keys, "y").agg(F.count(F.lit(1)).alias("n"))
     wanted = class_deficits(train, keys).select(*keys, "y", "deficit").join(sizes, [*keys, "y"])
     draws = _draw(_numbered(danger, keys, seed, "borderline"), wanted, keys, k, seed, "borderline")
-    return _append(train, _interpolate(draws, train, rs_knn(train, keys, k, True), keys), keys)
+    return _append(train, _interpolate(draws, train, _class_pairs(train, keys, k, draws), keys), keys)
 
 
 def class_penalty(train: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -271,13 +285,12 @@ def rs_smotenc(train: DataFrame, keys: Sequence[str], k: int, seed: int) -> Data
 
     group = [*keys, "y"]
     wanted = class_deficits(train, keys).select(*group, "n", "deficit")
-    pairs = cut(rs_knn(class_penalty(train, keys), keys, k, True, penalty="penalty"))
     draws = _draw(_numbered(train, keys, seed, "smotenc"), wanted, keys, k, seed, "smotenc")
+    pairs = cut(_class_pairs(class_penalty(train, keys), keys, k, draws, penalty="penalty"))
     numeric = _interpolate(draws, train, pairs, keys)
     first = Window.partitionBy(*group, "base", "_i").orderBy(F.desc("_n"), F.asc("_v"))
     votes = (
         pairs.withColumnRenamed("id", "base")
-        .join(draws.select(*group, "base").distinct(), [*group, "base"], "left_semi")
         .join(train.select(*group, F.col("id").alias("nb_id"), "cats"), [*group, "nb_id"])
         .select(*group, "base", F.posexplode("cats").alias("_i", "_v"))
         .groupBy(*group, "base", "_i", "_v")

@@ -69,8 +69,8 @@ def block_join(groups: Sequence[str], k: int, mixed: bool):
 
     def join(block: pa.Table) -> pa.Table:
         names = [*groups, "vid", "nb_id", "d2"]
-        asks = pc.field("asks")
-        left, right = block.filter(asks), block.filter(~asks)
+        asks = block["asks"]
+        left, right = block.filter(asks), block.filter(pc.invert(asks))
         if not len(left) or not len(right):
             kinds = [left.schema.field(g).type for g in groups] + [left.schema.field("vid").type] * 2 + [pa.float64()]
             return pa.table([pa.array([], t) for t in kinds], names=names)

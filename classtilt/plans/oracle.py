@@ -159,6 +159,43 @@ SELECT dataset_id, CASE WHEN feature_type = 'categorical' THEN CAST([] AS VARCHA
   CASE WHEN feature_type = 'categorical' THEN 'applicable_families contains an empty semicolon-delimited value' END AS errors
 FROM registry"""
 
+PROBLEMS = f"""
+problems AS (
+  SELECT dataset_id, 'eligible must be true or false' AS problem FROM registry WHERE flag IS NULL
+  UNION ALL SELECT dataset_id, 'eligible row does not have passing leakage status' FROM registry WHERE flag AND NOT passed
+  UNION ALL SELECT dataset_id, 'eligible row has incomplete source_url provenance' FROM registry WHERE flag AND n % 4 = 0)"""
+ORACLE["aud_eligible_provenance"] = f"WITH {REGISTRY}, {PROBLEMS} SELECT * FROM problems"
+ORACLE["aud_scope_summary"] = f"""
+WITH {REGISTRY}, {PROBLEMS},
+b AS (SELECT coalesce(list(DISTINCT dataset_id || ': ' || problem ORDER BY dataset_id || ': ' || problem), []) AS blockers FROM problems),
+i AS (SELECT list(dataset_id ORDER BY dataset_id) AS dataset_ids, count(*) AS n FROM registry WHERE flag),
+c AS (SELECT list(DISTINCT c ORDER BY c) AS f FROM (SELECT unnest(list_prepend(feature_type, string_split(conditions, ';'))) AS c
+  FROM registry WHERE feature_type <> 'categorical'))
+SELECT dataset_ids, n AS dataset_count, f AS applicable_families, n AS matrix_rows, blockers,
+  CASE WHEN len(blockers) = 0 AND n > 0 THEN 'ready' ELSE 'pending' END AS status FROM i, c, b"""
+ORACLE["aud_pilot_evidence"] = f"""
+WITH {RECORDS}, e AS (SELECT dataset AS dataset_id, feature_type, count(*) AS n, count(*) FILTER (status = 'VALID') AS v,
+  count(*) FILTER (status = 'FAILED') AS f, sum(fit_predict_seconds) AS s FROM records GROUP BY 1, 2)
+SELECT dataset_id, 'expected_cells must equal 405' AS problem FROM e WHERE n <> 405
+UNION ALL SELECT dataset_id, 'valid and failure cells do not cover expected cells' FROM e WHERE feature_type = 'mixed'
+UNION ALL SELECT dataset_id, 'valid_cells does not match the results' FROM e WHERE feature_type = 'mixed'
+UNION ALL SELECT dataset_id, 'runtime exceeds the budget' FROM e WHERE s > 25000
+UNION ALL SELECT dataset_id, 'failure review is not passed' FROM e WHERE f > 60"""
+CATALOG = f"""
+items AS (SELECT p_partkey AS data_id, p_type || '-' || p_size AS name, CAST(1 AS BIGINT) AS version,
+  CAST(floor(p_retailprice) AS BIGINT) * p_size AS n_rows, CAST(p_size % 7 + 1 AS BIGINT) AS n_classes, CAST(p_size + 5 AS BIGINT) AS n_min_class,
+  CAST((p_size + 5) * (length(p_type) % 9 + 1) AS BIGINT) AS n_majority, CAST(greatest(1, p_size * 3 - 1) AS BIGINT) AS d_raw,
+  CAST(p_size % 3 AS BIGINT) AS n_numeric, CAST(greatest(0, length(p_brand) - p_size % 2 - 7 - 1) AS BIGINT) AS n_symbolic
+  FROM part WHERE p_size <> 13),
+typed AS (SELECT *, CASE WHEN n_numeric > 0 AND n_symbolic > 0 THEN 'mixed' WHEN n_numeric > 0 THEN 'numeric'
+  ELSE 'categorical-only' END AS feature_type, {BAND.format("(n_majority / n_min_class)")} AS band FROM items),
+catalog AS (SELECT * FROM typed WHERE data_id NOT IN ({", ".join(map(str, rules.EXCLUDED_IDS))}) AND n_classes >= 3
+  AND n_min_class >= 10 AND n_rows BETWEEN 100 AND 100000 AND d_raw BETWEEN 1 AND 1000 AND feature_type <> 'categorical-only')"""
+ORACLE["src_catalog"] = f"WITH {CATALOG} SELECT * FROM catalog"
+ORACLE["sel_dedupe"] = f"""
+WITH {CATALOG} SELECT data_id, name FROM (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY data_id) AS r FROM catalog)
+WHERE r = 1"""
+
 # ---- preparation -------------------------------------------------------------------------------
 ORACLE["prep_label_encode"] = """
 SELECT doc_id, source, lang, dense_rank() OVER (PARTITION BY source ORDER BY lang) - 1 AS y FROM documents
@@ -221,6 +258,20 @@ WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2),
 w AS (SELECT source, lang, sum(n) OVER (PARTITION BY source) / (count(*) OVER (PARTITION BY source) * n) AS weight FROM c)
 SELECT doc_id, source, lang, {r6("weight", "weight")} FROM documents JOIN w USING (source, lang)"""
 
+ORACLE["prep_code_to_label"] = f"""
+WITH {ORDERS},
+a AS (SELECT fold, list(o_orderstatus ORDER BY o_orderstatus) AS vocab FROM (SELECT DISTINCT fold, o_orderstatus FROM u WHERE NOT is_test) GROUP BY 1)
+SELECT u.fold, u.o_orderstatus AS before, coalesce(a.vocab[list_position(a.vocab, u.o_orderstatus) + 1], '__MISSING__') AS label, count(*) AS n
+FROM u JOIN a USING (fold) GROUP BY ALL"""
+ORACLE["prep_feature_assembly"] = f"""
+WITH {ORDERS}, med AS (SELECT fold, quantile_cont(price, 0.5) AS med FROM u WHERE NOT is_test GROUP BY 1),
+f1 AS (SELECT u.fold, is_test, coalesce(price, med) AS v, coalesce(status, (SELECT mode FROM (SELECT fold, status AS mode,
+  row_number() OVER (PARTITION BY fold ORDER BY count(*) DESC, status) AS r FROM u WHERE NOT is_test AND status IS NOT NULL GROUP BY fold, status) m
+  WHERE m.fold = u.fold AND r = 1)) AS c FROM u JOIN med USING (fold)),
+sc AS (SELECT fold, avg(v) AS a, stddev_pop(v) AS s FROM f1 WHERE NOT is_test GROUP BY 1)
+SELECT fold, is_test, count(*) AS n, CAST(3 AS BIGINT) AS width, {r6("min((v - a) / s)", "low")}, {r6("max((v - a) / s)", "high")},
+  {r6("count(*) FILTER (c = 'F')", "first")}, {r6("count(*) FILTER (c = 'O')", "second")} FROM f1 JOIN sc USING (fold) GROUP BY 1, 2"""
+
 # ---- resampling --------------------------------------------------------------------------------
 PAIRS = """
 pairs AS (SELECT a.id, a.y, b.id AS nb_id, b.y AS ny, list_distance(a.x, b.x) AS d FROM train a JOIN train b ON a.id <> b.id),
@@ -429,6 +480,22 @@ r AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY round(score, 12) D
 SELECT {FOLD}, [0.0::DOUBLE, o1, o2] AS offsets, {r6("score", "score")}, 'VALID' AS status, CAST(NULL AS VARCHAR) AS reason
 FROM r WHERE r = 1"""
 
+ORACLE["met_cost"] = f"""
+SELECT l_returnflag, {r6("sum(l_quantity)", "wall_seconds")}, {r6("sum(l_quantity) FILTER (l_linestatus = 'F')", "fit_seconds")},
+  {r6("sum(l_quantity) FILTER (l_linestatus <> 'F')", "predict_seconds")} FROM lineitem GROUP BY 1"""
+ORACLE["tune_inner_score"] = f"""
+WITH {PREDICTIONS}, long AS (SELECT l_linenumber AS trial, CASE WHEN fold < 2 THEN 0 WHEN fold < 4 THEN 1 ELSE 2 END AS g, y, c,
+  CASE c WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END AS p FROM predictions, (SELECT unnest([0, 1, 2]) AS c)),
+steps AS (SELECT trial, g, c, p, count(*) AS n, count(*) FILTER (y = c) AS tp FROM long GROUP BY ALL),
+curve AS (SELECT *, sum(tp) OVER w / sum(n) OVER w AS pr FROM steps WINDOW w AS (PARTITION BY trial, g, c ORDER BY p DESC)),
+ap AS (SELECT trial, g, c, sum(tp * pr) / sum(tp) AS ap FROM curve GROUP BY ALL),
+m AS (SELECT trial, g, avg(ap) AS m FROM ap GROUP BY ALL)
+SELECT CAST(trial AS BIGINT) AS trial, {r6("CASE WHEN count(m) = 3 THEN avg(m) END", "score")} FROM m GROUP BY 1"""
+ORACLE["tune_oof"] = """
+WITH c AS (SELECT o_orderpriority, o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n FROM orders)
+SELECT o_orderpriority, count(*) FILTER (n = 0) AS missing, count(*) FILTER (n > 1) AS doubled FROM c GROUP BY 1
+HAVING count(*) FILTER (n = 0) > 0 OR count(*) FILTER (n > 1) > 0"""
+
 # ---- accounting --------------------------------------------------------------------------------
 KEYS = "dataset, CAST(seed AS BIGINT) AS seed, CAST(fold AS BIGINT) AS fold, classifier, condition"
 GRID = f"""
@@ -490,6 +557,36 @@ SELECT dataset, count(*) FILTER (status = 'VALID') AS valid_cells, count(*) FILT
   {r6("sum(fit_predict_seconds) FILTER (status = 'VALID')", "wall_seconds")}, CAST(NULL AS DOUBLE) AS peak_mb,
   sum(fit_predict_seconds) FILTER (status = 'VALID') <= 10000 AS within_budget, count(*) = 405 AS complete
 FROM records GROUP BY 1"""
+RAW = f"""{RECORDS}, raw AS (SELECT dataset, CASE WHEN status = 'FAILED' THEN 'x1' ELSE CAST(seed AS VARCHAR) END AS seed,
+  CAST(fold AS BIGINT) AS fold, classifier, condition, seed AS s, status FROM records)"""
+ORACLE["acc_key_types"] = f"""
+WITH {RAW} SELECT dataset, seed, fold, classifier, condition, 'seed is not an integer' AS problem FROM raw WHERE status = 'FAILED'"""
+ORACLE["acc_json_array"] = f"""
+WITH {RAW} SELECT dataset, seed, fold, classifier, condition, CASE WHEN s = 1 THEN 'empty list' ELSE 'invalid JSON' END AS problem
+FROM raw WHERE s = 1 OR (s = 2 AND fold = 0)"""
+ORACLE["acc_status_values"] = f"WITH {RAW} SELECT status, count(*) AS n FROM raw WHERE status <> 'VALID' GROUP BY 1"
+ORACLE["acc_failure_record"] = f"""
+WITH {RECORDS} SELECT dataset AS dataset_id, CAST(fold AS BIGINT) AS outer_fold, CAST(seed AS BIGINT) AS outer_seed, classifier, condition,
+  feature_type, 'outer_fit_predict' AS stage, 'ValueError' AS exception_type, error AS reason, 'APPLICABLE' AS applicability,
+  0.0::DOUBLE AS wall_seconds, 'failed' AS resource_status, CAST(0 AS BIGINT) AS retry_count, CAST(1 AS BIGINT) AS worker_count,
+  false AS timeout, '' AS config_sha256, '{rules.FAILED}' AS status FROM records WHERE status = 'FAILED'"""
+ORACLE["acc_plan"] = f"""
+WITH {RECORDS}, {REGISTRY}, {PROBLEMS},
+b AS (SELECT list(DISTINCT problem ORDER BY problem) AS blockers FROM problems),
+d AS (SELECT count(DISTINCT dataset) AS n FROM records)
+SELECT n AS dataset_count, n * 495 AS expected_cells, CAST(5 AS BIGINT) AS folds, CAST(20 AS BIGINT) AS trials, blockers,
+  CASE WHEN len(blockers) = 0 THEN 'READY' ELSE 'BLOCKED' END AS status FROM d, b"""
+ORACLE["acc_gate_totals"] = f"""
+WITH {RECORDS}, {GRID}
+SELECT 'aggregate valid_cells differs from the dataset sum' AS problem
+UNION ALL SELECT 'outputs do not cover the grid' FROM validated HAVING count(*) FILTER (state IN ('valid', 'failed')) <> count(*) FILTER (state <> 'extra')"""
+ORACLE["acc_marker_stale"] = f"""
+WITH {RECORDS}, {GRID}, f AS (SELECT dataset FROM validated GROUP BY 1 HAVING count(*) FILTER (state = 'failed') > 20)
+SELECT dataset, 'complete marker is not complete' AS problem FROM f
+UNION ALL SELECT DISTINCT dataset, 'stale config_sha256' FROM records WHERE feature_type = 'mixed'"""
+ORACLE["shard_validate"] = """
+SELECT 's' || s_suppkey || ' is not locked' AS problem FROM supplier WHERE NOT s_acctbal > 0
+UNION ALL SELECT DISTINCT 's' || s_suppkey || ' is not locked' FROM supplier WHERE s_acctbal IS NULL"""
 ORACLE["shard_plan"] = """
 WITH i AS (SELECT DISTINCT 's' || s_suppkey AS dataset FROM supplier),
 d AS (SELECT dataset, (row_number() OVER (ORDER BY dataset) - 1) % 4 AS s FROM i)
@@ -574,6 +671,24 @@ FROM (SELECT *, count(*) OVER (PARTITION BY family, classifier, metric, dataset)
 ORACLE["st_baseline_deltas"] = f"""
 WITH {DELTAS} SELECT family, classifier, metric, dataset, condition, {r6("raw_mean", "raw_mean")},
   {r6("alternative_mean", "alternative_mean")}, {r6("delta", "delta")} FROM deltas"""
+CLASS_DELTAS = f"""{CLASS_MEANS}, families(family, feature_type, classifier, condition, position, size) AS (VALUES {FAMILY_ROWS}),
+fam AS (SELECT f.family, c.* FROM class_means c JOIN families f USING (feature_type, classifier, condition)),
+d AS (SELECT a.family, a.classifier, a.dataset, a.condition, a.class_index, r.recall AS raw_recall, a.recall AS alternative_recall,
+  a.recall - r.recall AS delta FROM fam a JOIN fam r
+  ON r.family = a.family AND r.classifier = a.classifier AND r.dataset = a.dataset AND r.class_index = a.class_index
+  AND r.condition = 'raw' WHERE a.condition <> 'raw')"""
+ORACLE["st_class_deltas"] = f"""
+WITH {CLASS_DELTAS} SELECT family, classifier, dataset, condition, class_index, {r6("raw_recall", "raw_recall")},
+  {r6("alternative_recall", "alternative_recall")}, {r6("delta", "delta")} FROM d"""
+ORACLE["st_complete_gate"] = f"""
+WITH {CELLS}, n AS (SELECT count(DISTINCT dataset) AS n FROM cells WHERE feature_type = 'numeric'),
+k AS (SELECT classifier, count(*) AS k, n FROM cells, n WHERE feature_type = 'numeric' AND condition IN ({listed(rules.POSTHOC_CONDITIONS)}) GROUP BY 1, 3)
+SELECT classifier, 'incomplete post hoc blocks' AS problem FROM k WHERE k <> n * 8
+UNION ALL SELECT classifier, 'expected 9 retained numeric datasets' FROM k WHERE n <> 9"""
+ORACLE["st_moderators"] = f"""
+WITH {REGISTRY} SELECT dataset_id, CAST(n AS VARCHAR) AS n_rows, CAST(n_classes AS VARCHAR) AS n_classes, CAST(n_min AS VARCHAR) AS n_min_class,
+  CAST(CAST(ir AS DOUBLE) AS VARCHAR) AS ir_majority_minority, feature_type FROM registry
+WHERE dataset_id IN (SELECT p_brand FROM part WHERE p_retailprice > 1500)"""
 ORACLE["st_class_summary"] = f"""
 WITH {CLASS_MEANS}, families(family, feature_type, classifier, condition, position, size) AS (VALUES {FAMILY_ROWS}),
 fam AS (SELECT f.family, c.* FROM class_means c JOIN families f USING (feature_type, classifier, condition)),
@@ -835,6 +950,10 @@ SELECT page_id, p.url AS path, coalesce(m.h, sha256(p.url)) AS sha256 FROM pages
 ORACLE["prov_set_digest"] = """
 SELECT count(*) AS paths, sha256(string_agg(p, chr(0) ORDER BY p)) AS digest
 FROM (SELECT DISTINCT concat_ws('/', source, lang) AS p FROM documents)"""
+ORACLE["prov_member_digest"] = """
+WITH m AS (SELECT url || '#' || page_id AS name, html, length(html) AS n FROM pages)
+SELECT name, CASE WHEN n % 5 = 0 THEN 'present but not listed' ELSE 'digest mismatch' END AS problem FROM m
+WHERE n % 5 = 0 OR (n % 2 = 1 AND sha256(html) <> sha256(upper(html)))"""
 ORACLE["prov_path_rules"] = r"""
 WITH p AS (SELECT regexp_replace(url, '^[a-z]+://[^/]*/?', '') AS path FROM pages),
 u AS (SELECT path, CASE WHEN path = '' THEN 'empty' WHEN contains(path, '\') THEN 'backslash' WHEN starts_with(path, '/') THEN 'absolute'

@@ -22,6 +22,7 @@ from classtilt.operators import train as fit
 from classtilt.operators import tune
 from classtilt.operators.knn import rs_knn
 from classtilt.plans import views
+from classtilt.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -162,6 +163,9 @@ def registry(spark, sf):
         F.lit("part").alias("source"),
         F.concat(F.lit("part:"), F.col("p_brand")).alias("source_id"),
         F.concat(F.lit("v"), n.cast("string"), F.lit(" table")).alias("source_version"),
+        F.when(n % 4 == 0, "").otherwise("table://part").alias("source_url"),
+        F.lit("open").alias("license_or_terms"),
+        F.lit("p_type").alias("target_column"),
         F.sha2("p_brand", 256).alias("raw_sha256"),
         F.lit("single-label-classification").alias("task_type"),
         n.cast("string").alias("n_rows"),
@@ -223,6 +227,93 @@ def aud_applicability_parse(spark, sf):
     return aud.aud_applicability_parse(registry(spark, sf), "applicable_families")
 
 
+@query
+def aud_eligible_provenance(spark, sf):
+    return aud.aud_eligible_provenance(registry(spark, sf))
+
+
+@query
+def aud_scope_summary(spark, sf):
+    """Blockers come from the provenance rules; the matrix is shown as its number of entries."""
+
+    reg = registry(spark, sf)
+    row = aud.aud_scope_summary(reg, aud.aud_eligible_provenance(reg), aud.aud_applicability_type(reg))
+    return row.select("dataset_ids", "dataset_count", "applicable_families", F.size("applicability_matrix").alias("matrix_rows"), "blockers", "status")
+
+
+@query
+def aud_pilot_evidence(spark, sf):
+    """Evidence is what the records say, except that one class of datasets reports one valid cell too many."""
+
+    rec = views.records(spark, sf)
+    evidence = rec.groupBy(F.col("dataset").alias("dataset_id"), "feature_type").agg(
+        F.count("*").alias("expected_cells"),
+        F.count_if(F.col("status") == "VALID").alias("valid_cells"),
+        F.count_if(F.col("status") == "FAILED").alias("failure_cells"),
+        F.sum("fit_predict_seconds").alias("wall_clock_seconds"),
+    )
+    evidence = evidence.select(
+        "dataset_id",
+        "expected_cells",
+        (F.col("valid_cells") + F.when(F.col("feature_type") == "mixed", 1).otherwise(0)).alias("valid_cells"),
+        "failure_cells",
+        "wall_clock_seconds",
+        F.lit(25_000.0).alias("runtime_budget_seconds"),
+        F.lit(100.0).alias("peak_mb"),
+        F.lit("passed").alias("deterministic_replay"),
+        F.when(F.col("failure_cells") > 60, "pending").otherwise("passed").alias("failure_review"),
+        F.lit("complete").alias("output_completeness"),
+    )
+    return aud.aud_pilot_evidence(evidence, rec.filter("status = 'VALID'"), rec.filter("status = 'FAILED'"), 405)
+
+
+def catalog_items(spark, sf):
+    """One catalogue item per part, as JSON text; names repeat and some items lack a quality."""
+
+    part = t(spark, sf, "part")
+    size = F.col("p_size")
+    values = {
+        "NumberOfInstances": F.floor(F.col("p_retailprice")) * size,
+        "NumberOfClasses": size % 7 + 1,
+        "MinorityClassSize": size + 5,
+        "MajorityClassSize": (size + 5) * (F.length("p_type") % 9 + 1),
+        "NumberOfFeatures": size * 3,
+        "NumberOfNumericFeatures": size % 3,
+        "NumberOfSymbolicFeatures": F.length("p_brand") - size % 2 - 7,
+    }
+    quality = F.array_compact(
+        F.array(
+            *[
+                F.when(F.lit(name != "NumberOfFeatures") | (size != 13), F.struct(F.lit(name).alias("name"), v.cast("string").alias("value")))
+                for name, v in values.items()
+            ]
+        )
+    )
+    name = F.concat_ws("-", F.col("p_type"), size.cast("string"))
+    return part.select(
+        F.to_json(F.struct(F.col("p_partkey").alias("did"), name.alias("name"), F.lit(1).alias("version"), quality.alias("quality"))).alias("item")
+    )
+
+
+@query
+def src_catalog(spark, sf):
+    return readers.src_catalog(catalog_items(spark, sf))
+
+
+@query
+def sel_dedupe(spark, sf):
+    return aud.sel_dedupe(readers.src_catalog(catalog_items(spark, sf))).select("data_id", "name")
+
+
+@query
+def sel_quota(spark, sf):
+    """Small quotas over the bands that this catalogue has."""
+
+    catalog = readers.src_catalog(catalog_items(spark, sf))
+    chosen = aud.sel_quota(catalog, [11, 23], [185], {"numeric": 6, "mixed": 6}, {"mild_ir_2_to_5": 5, "moderate_ir_5_to_20": 5}, 20)
+    return chosen.select("data_id", "name", "feature_type", "band")
+
+
 # ---- preparation -------------------------------------------------------------------------------
 
 
@@ -307,6 +398,34 @@ def prep_native_vocab(spark, sf):
     return rows.groupBy("fold", "is_test", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def prep_code_to_label(spark, sf):
+    """Codes moved up by 0.6 round to the next one; the last code and above become the sentinel."""
+
+    folds = order_folds(spark, sf)
+    coded, _ = prep.prep_ordinal(folds, ["o_orderstatus"])
+    _, vocab = prep.prep_native_vocab(folds, ["o_orderstatus"])
+    moved = coded.withColumn("before", F.col("o_orderstatus")).withColumn("o_orderstatus_code", F.col("o_orderstatus_code") + 0.6)
+    named = prep.prep_code_to_label(moved, ["o_orderstatus"], vocab)
+    return named.groupBy("fold", "before", F.col("o_orderstatus").alias("label")).agg(F.count("*").alias("n"))
+
+
+@query
+def prep_feature_assembly(spark, sf):
+    folds = order_folds(spark, sf).select("o_orderkey", "fold", "price", "status", "o_orderpriority")
+    layout = prep.prep_layout(folds.drop("o_orderkey", "fold").schema, "o_orderpriority")
+    rows = prep.prep_feature_assembly(folds, layout)
+    x = F.col("x")
+    return rows.groupBy("fold", "is_test").agg(
+        F.count("*").alias("n"),
+        F.max(F.size("x")).alias("width"),
+        F.min(x[0]).alias("low"),
+        F.max(x[0]).alias("high"),
+        F.sum(x[1]).alias("first"),
+        F.sum(x[2]).alias("second"),
+    )
+
+
 @query
 def prep_class_weight(spark, sf):
     docs = prep.prep_class_weight(t(spark, sf, "documents"), ["source"], "lang")
@@ -504,6 +623,38 @@ def thr_fit(spark, sf):
     return thr.thr_fit(views.predictions(spark, sf), ["fold"], 3)
 
 
+@query
+def met_cost(spark, sf):
+    """Line items as timings: finished lines are fits, open ones predictions."""
+
+    timings = t(spark, sf, "lineitem").select(
+        "l_returnflag",
+        F.when(F.col("l_linestatus") == "F", "fit").otherwise("predict").alias("stage"),
+        F.col("l_quantity").alias("seconds"),
+    )
+    return met.met_cost(timings, ["l_returnflag"])
+
+
+def trial_predictions(spark, sf):
+    inner = F.when(F.col("fold") < 2, 0).when(F.col("fold") < 4, 1).otherwise(2)
+    return views.predictions(spark, sf).withColumn("trial", F.col("l_linenumber")).withColumn("inner_fold", inner)
+
+
+@query
+def tune_inner_score(spark, sf):
+    return tune.tune_inner_score(trial_predictions(spark, sf), [])
+
+
+@query
+def tune_oof(spark, sf):
+    """Order lines against the orders: an order without lines is missing, one with several is doubled."""
+
+    pred = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"))
+    rows = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
+    keyed = pred.join(rows, "id")
+    return tune.tune_oof(keyed, rows, ["o_orderpriority"])[1]
+
+
 # ---- accounting --------------------------------------------------------------------------------
 
 
@@ -569,6 +720,109 @@ def acc_run_evidence(spark, sf):
     return acc.acc_run_evidence(views.results(spark, sf), views.failures(spark, sf), 10_000.0, 405)
 
 
+def raw_records(spark, sf):
+    """Records as text files hold them: seeds as text, recalls as JSON, with damage that depends on the cell."""
+
+    rec = views.records(spark, sf)
+    recalls = F.when(F.col("seed") == 1, "[]").when((F.col("seed") == 2) & (F.col("fold") == 0), "oops").otherwise(F.to_json("per_class_recall"))
+    seed = F.when(F.col("status") == "FAILED", "x1").otherwise(F.col("seed").cast("string"))
+    return rec.select("dataset", seed.alias("seed"), "fold", "classifier", "condition", recalls.alias("recalls"), "status")
+
+
+@query
+def acc_key_types(spark, sf):
+    return acc.acc_key_types(raw_records(spark, sf))
+
+
+@query
+def acc_json_array(spark, sf):
+    return acc.acc_json_array(raw_records(spark, sf), "recalls")
+
+
+@query
+def acc_status_values(spark, sf):
+    return acc.acc_status_values(raw_records(spark, sf), ["VALID"])
+
+
+@query
+def acc_failure_record(spark, sf):
+    failed = views.failures(spark, sf).select(
+        F.col("dataset").alias("dataset_id"),
+        F.col("fold").alias("outer_fold"),
+        F.col("seed").alias("outer_seed"),
+        "classifier",
+        "condition",
+        "feature_type",
+        "error",
+    )
+    return acc.acc_failure_record(failed, "outer_fit_predict", "ValueError", F.col("error"))
+
+
+@query
+def acc_plan(spark, sf):
+    rec = views.records(spark, sf)
+    problems = aud.aud_eligible_provenance(registry(spark, sf)).select("problem").distinct()
+    return acc.acc_plan(acc.acc_expected(rec, acc.v1_dims()), problems)
+
+
+@query
+def acc_gate_totals(spark, sf):
+    """The aggregate claims one valid cell more than the datasets have."""
+
+    counts = acc.acc_counts(_validated(spark, sf))
+    claim = counts.agg(
+        F.sum("expected_cells").alias("expected_cells"), (F.sum("valid_cells") + 1).alias("valid_cells"), F.sum("failure_cells").alias("failure_cells")
+    ).withColumn("dataset", F.lit("all"))
+    return acc.acc_gate_totals(counts, claim)
+
+
+@query
+def acc_marker_stale(spark, sf):
+    """Markers written from the counts; mixed datasets were marked before their configuration changed."""
+
+    rec = views.records(spark, sf)
+    counts = acc.acc_counts(_validated(spark, sf))
+    kinds = rec.select("dataset", "feature_type").distinct()
+    specs = kinds.select("dataset", F.lit("r").alias("raw_sha256"), F.lit("c2").alias("config_sha256"), F.lit("g").alias("registry_sha256"))
+    markers = counts.join(kinds, "dataset").select(
+        "dataset",
+        F.when(F.col("failure_cells") > 20, "partial").otherwise("complete").alias("status"),
+        F.lit("r").alias("raw_sha256"),
+        F.when(F.col("feature_type") == "mixed", "c1").otherwise("c2").alias("config_sha256"),
+        F.lit("g").alias("registry_sha256"),
+        "expected_cells",
+        "valid_cells",
+        "failure_cells",
+    )
+    return acc.acc_marker_stale(markers, specs, counts)
+
+
+@query
+def acc_table_rules(spark, sf):
+    """Every rule of the derived tables; a sound run has no violations."""
+
+    c = cell(spark, sf)
+    marked = acc.acc_failure_category(views.failures(spark, sf), rules.unsupported_table(spark))
+    tables = {
+        "cell_means": c,
+        "class_means": st.st_class_means(views.results(spark, sf)),
+        "baseline_deltas": st.st_baseline_deltas(c),
+        "friedman_tests": rt.st_friedman(c),
+        "nemenyi_pvalues": rt.st_nemenyi(rt.st_mean_ranks(c), rt.st_friedman(c)),
+        "wilcoxon_effects": rt.st_comparisons(c, 50),
+        "failure_accounting": acc.acc_failure_summary(views.results(spark, sf), marked),
+    }
+    return acc.acc_table_rules(tables, acc.analysis_rules())
+
+
+@query
+def shard_validate(spark, sf):
+    """A plan over all suppliers, checked against the suppliers of positive balance only."""
+
+    supplier = t(spark, sf, "supplier").withColumn("dataset", F.concat(F.lit("s"), F.col("s_suppkey").cast("string")))
+    return acc.shard_validate(acc.shard_plan(supplier, 4, 495), supplier.filter("s_acctbal > 0"), 495)
+
+
 @query
 def shard_plan(spark, sf):
     ids = t(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("dataset"))
@@ -617,6 +871,24 @@ def st_baseline_deltas(spark, sf):
     return st.st_baseline_deltas(cell(spark, sf))
 
 
+@query
+def st_class_deltas(spark, sf):
+    return st.st_class_deltas(st.st_class_means(views.results(spark, sf)))
+
+
+@query
+def st_complete_gate(spark, sf):
+    return rt.st_complete_gate(cell(spark, sf))
+
+
+@query
+def st_moderators(spark, sf):
+    """Attributes of the brands that have at least one expensive part."""
+
+    scored = t(spark, sf, "part").filter("p_retailprice > 1500").select(F.col("p_brand").alias("dataset"))
+    return st.st_moderators(registry(spark, sf), scored)
+
+
 @query
 def st_class_summary(spark, sf):
     return st.st_class_summary(st.st_class_deltas(st.st_class_means(views.results(spark, sf))))
@@ -823,6 +1095,18 @@ def prov_set_digest(spark, sf):
     return prov.prov_set_digest(files, "path")
 
 
+@query
+def prov_member_digest(spark, sf):
+    """Pages as members; the list was taken before pages of odd length changed and knows only part of them."""
+
+    pages = t(spark, sf, "pages").select(F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("name"), "html")
+    members = pages.select("name", F.sha2("html", 256).alias("sha256"))
+    listed = pages.filter(F.length("html") % 5 != 0).select(
+        "name", F.upper(F.sha2(F.when(F.length("html") % 2 == 1, F.upper("html")).otherwise(F.col("html")), 256)).alias("sha256")
+    )
+    return prov.prov_member_digest(members, listed)
+
+
 def page_paths(spark, sf):
     return t(spark, sf, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://[^/]*/?", "").alias("path"))
 
