@@ -688,7 +688,7 @@ UNION ALL SELECT classifier, 'expected 9 retained numeric datasets' FROM k WHERE
 ORACLE["st_moderators"] = f"""
 WITH {REGISTRY} SELECT dataset_id, CAST(n AS VARCHAR) AS n_rows, CAST(n_classes AS VARCHAR) AS n_classes, CAST(n_min AS VARCHAR) AS n_min_class,
   CAST(CAST(ir AS DOUBLE) AS VARCHAR) AS ir_majority_minority, feature_type FROM registry
-WHERE dataset_id IN (SELECT p_brand FROM part WHERE p_retailprice > 1500)"""
+WHERE dataset_id IN (SELECT p_brand FROM part WHERE p_size = 13 AND p_type = 'PROMO')"""
 ORACLE["st_class_summary"] = f"""
 WITH {CLASS_MEANS}, families(family, feature_type, classifier, condition, position, size) AS (VALUES {FAMILY_ROWS}),
 fam AS (SELECT f.family, c.* FROM class_means c JOIN families f USING (feature_type, classifier, condition)),

@@ -310,7 +310,7 @@ def sel_quota(spark, sf):
     """Small quotas over the bands that this catalogue has."""
 
     catalog = readers.src_catalog(catalog_items(spark, sf))
-    chosen = aud.sel_quota(catalog, [11, 23], [185], {"numeric": 6, "mixed": 6}, {"mild_ir_2_to_5": 5, "moderate_ir_5_to_20": 5}, 20)
+    chosen = aud.sel_quota(catalog, [11, 23], [185], {"numeric": 6, "mixed": 6}, {"moderate_ir_5_to_20": 8}, 20)
     return chosen.select("data_id", "name", "feature_type", "band")
 
 
@@ -883,9 +883,9 @@ def st_complete_gate(spark, sf):
 
 @query
 def st_moderators(spark, sf):
-    """Attributes of the brands that have at least one expensive part."""
+    """Attributes of the brands that have a promotional part of one size."""
 
-    scored = t(spark, sf, "part").filter("p_retailprice > 1500").select(F.col("p_brand").alias("dataset"))
+    scored = t(spark, sf, "part").filter("p_size = 13 and p_type = 'PROMO'").select(F.col("p_brand").alias("dataset"))
     return st.st_moderators(registry(spark, sf), scored)
 
 

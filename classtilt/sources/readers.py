@@ -82,7 +82,9 @@ def src_catalog(df: DataFrame, column: str = "item") -> DataFrame:
             F.map_filter(m, lambda k, v: k != q["name"]), F.create_map(q["name"], q["value"].try_cast("double"))
         ),
     )
-    wide = item.withColumn("_q", latest)
+    wide = item.withColumn("_q", latest).filter(
+        F.forall(rules.strings(rules.CATALOG_QUALITIES), lambda n: F.try_element_at("_q", n).isNotNull())
+    )
     value = lambda name: F.try_element_at("_q", F.lit(name)).cast("bigint")
     rows, classes, smallest, largest, features, numeric, symbolic = (value(n) for n in rules.CATALOG_QUALITIES)
     flat = wide.select(
@@ -96,7 +98,7 @@ def src_catalog(df: DataFrame, column: str = "item") -> DataFrame:
         F.greatest(F.lit(1), features - 1).alias("d_raw"),
         numeric.alias("n_numeric"),
         F.greatest(F.lit(0), symbolic - 1).alias("n_symbolic"),
-    ).na.drop()
+    )
     kind = (
         F.when((F.col("n_numeric") > 0) & (F.col("n_symbolic") > 0), "mixed")
         .when(F.col("n_numeric") > 0, "numeric")
