@@ -408,7 +408,10 @@ def acc_table_digest(df: DataFrame) -> DataFrame:
 
 
 def shard_plan(ids: DataFrame, n: int, cells_per_dataset: int) -> DataFrame:
-    """Sorted dataset ids dealt round robin: ``DF[shard_id, dataset_ids, expected_cells]``."""
+    """Sorted dataset ids dealt round robin: ``DF[shard_id, dataset_ids, expected_cells]``.
+
+    The ids are one row per dataset of a registry (tens of rows), reduced before they are ordered.
+    """
 
     order = Window.orderBy("dataset")
     dealt = (

@@ -585,10 +585,10 @@ WITH {RECORDS}, {GRID}, f AS (SELECT dataset FROM validated GROUP BY 1 HAVING co
 SELECT dataset, 'complete marker is not complete' AS problem FROM f
 UNION ALL SELECT DISTINCT dataset, 'stale config_sha256' FROM records WHERE feature_type = 'mixed'"""
 ORACLE["shard_validate"] = """
-SELECT 's' || s_suppkey || ' is not locked' AS problem FROM supplier WHERE NOT s_acctbal > 0
-UNION ALL SELECT DISTINCT 's' || s_suppkey || ' is not locked' FROM supplier WHERE s_acctbal IS NULL"""
+SELECT p_brand || ' is not locked' AS problem FROM part GROUP BY p_brand
+HAVING count(*) FILTER (p_size = 13 AND p_type = 'PROMO') = 0"""
 ORACLE["shard_plan"] = """
-WITH i AS (SELECT DISTINCT 's' || s_suppkey AS dataset FROM supplier),
+WITH i AS (SELECT DISTINCT p_brand AS dataset FROM part),
 d AS (SELECT dataset, (row_number() OVER (ORDER BY dataset) - 1) % 4 AS s FROM i)
 SELECT 'shard-' || lpad(CAST(s + 1 AS VARCHAR), 2, '0') AS shard_id, list(dataset ORDER BY dataset) AS dataset_ids,
   count(*) * 495 AS expected_cells FROM d GROUP BY s"""

@@ -817,16 +817,15 @@ def acc_table_rules(spark, sf):
 
 @query
 def shard_validate(spark, sf):
-    """A plan over all suppliers, checked against the suppliers of positive balance only."""
+    """A plan over all brands, checked against the brands that have a promotional part of one size."""
 
-    supplier = t(spark, sf, "supplier").withColumn("dataset", F.concat(F.lit("s"), F.col("s_suppkey").cast("string")))
-    return acc.shard_validate(acc.shard_plan(supplier, 4, 495), supplier.filter("s_acctbal > 0"), 495)
+    part = t(spark, sf, "part").withColumnRenamed("p_brand", "dataset")
+    return acc.shard_validate(acc.shard_plan(part, 4, 495), part.filter("p_size = 13 and p_type = 'PROMO'"), 495)
 
 
 @query
 def shard_plan(spark, sf):
-    ids = t(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("dataset"))
-    return acc.shard_plan(ids, 4, 495)
+    return acc.shard_plan(t(spark, sf, "part").select(F.col("p_brand").alias("dataset")), 4, 495)
 
 
 # ---- cells and statistics ----------------------------------------------------------------------
@@ -1194,7 +1193,11 @@ def grid_run(spark, sf):
         for condition in ("raw", "random_under", "smotenc")
     ]
     params = {"logistic_regression": {"maxIter": 10, "regParam": 0.01}, "random_forest": {"numTrees": 10}}
-    good, bad = fit.grid_run(_fit_rows(spark, sf).persist(), cells, 10, params)
+    folds = _fit_rows(spark, sf).persist()
+    try:
+        good, bad = fit.grid_run(folds, cells, 10, params)
+    finally:
+        folds.unpersist()
     keys = [*rules.CELL_KEYS]
     return good.select(*keys, "macro_f1_argmax", F.lit(None).cast("string").alias("error")).unionByName(
         bad.select(*keys, F.lit(None).cast("double").alias("macro_f1_argmax"), "error")
