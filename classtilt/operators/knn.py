@@ -42,7 +42,7 @@ def rs_knn(
     id: str = "id",
     y: str = "y",
     penalty: str | None = None,
-    cell_rows: int = 1024,
+    cell_rows: int | None = None,
     block_rows: int = 8192,
     max_pivots: int = 1024,
     ask: DataFrame | None = None,
@@ -85,7 +85,10 @@ def rs_knn(
 
     # 2. pivots: hash-chosen vectors, about one for every ``cell_rows``, at least one and a bounded number per group.
     chosen = Window.partitionBy(*groups).orderBy("_h", "vid")
-    share = f"{min(2**32 // cell_rows, 2**32 - 1):08x}"
+    # Distances prune well in few dimensions, so cells are small there; in many they only add copies of rows.
+    sizes = (cell_rows, cell_rows) if cell_rows else (1024, 8192)
+    low, high = (f"{min(2**32 // n, 2**32 - 1):08x}" for n in sizes)
+    share = F.when(F.size("x") <= 3, low).otherwise(high)
     pivots = (
         distinct.withColumn("_h", order_hash("pivot", F.col("vid")))
         .withColumn("_r", F.row_number().over(chosen))

@@ -171,7 +171,7 @@ def st_nemenyi(ranks: DataFrame, friedman: DataFrame, alpha: float = 0.05) -> Da
         F.col("_b.condition").alias("b"),
         q.alias("_q"),
         "k",
-    ).select(*GROUP, "a", "b", fn_range_sf(F.col("_q"), F.col("k").cast("double")).alias("p"))
+    ).repartition(*GROUP, "a", "b").select(*GROUP, "a", "b", fn_range_sf(F.col("_q"), F.col("k").cast("double")).alias("p"))
 
 
 def _signed(delta: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -309,7 +309,7 @@ def st_bootstrap_ci(delta: DataFrame, n: int = 10_000, seed: int = 0, keys: Sequ
     """
 
     blocks = delta.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dataset", "delta"))).alias("_d"))
-    runs = explode_counts(blocks.withColumn("_runs", F.lit(n).cast("bigint")), "_runs", "r")
+    runs = explode_counts(blocks.withColumn("_runs", F.lit(n).cast("bigint")), "_runs", "r", 1000)
     size = F.size("_d")
     pick = lambda s: F.element_at("_d", (hash_key(seed, F.col("r"), s) % size + 1).cast("int"))["delta"]
     mean = F.aggregate(F.sequence(F.lit(1), size), F.lit(0.0), lambda a, s: a + pick(s)) / size
@@ -333,7 +333,7 @@ def _permutation(blocks: DataFrame, n: int, seed: int, keys: Sequence[str]) -> D
         .join(observed, list(keys))
         .withColumn("_runs", F.lit(n).cast("bigint"))
     )
-    runs = explode_counts(rows, "_runs", "r")
+    runs = explode_counts(rows, "_runs", "r", 250)
 
     def shuffled(block):
         keyed = F.transform(

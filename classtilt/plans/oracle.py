@@ -185,7 +185,7 @@ CATALOG = f"""
 items AS (SELECT p_partkey AS data_id, p_type || '-' || p_size AS name, CAST(1 AS BIGINT) AS version,
   CAST(floor(p_retailprice) AS BIGINT) * p_size AS n_rows, CAST(p_size % 7 + 1 AS BIGINT) AS n_classes, CAST(p_size + 5 AS BIGINT) AS n_min_class,
   CAST((p_size + 5) * (length(p_type) % 9 + 1) AS BIGINT) AS n_majority, CAST(greatest(1, p_size * 3 - 1) AS BIGINT) AS d_raw,
-  CAST(p_size % 3 AS BIGINT) AS n_numeric, CAST(greatest(0, length(p_brand) - p_size % 2 - 7 - 1) AS BIGINT) AS n_symbolic
+  CAST(p_size % 3 AS BIGINT) AS n_numeric, CAST(greatest(0, length(p_brand) - p_size % 2 - 6 - 1) AS BIGINT) AS n_symbolic
   FROM part WHERE p_size <> 13),
 typed AS (SELECT *, CASE WHEN n_numeric > 0 AND n_symbolic > 0 THEN 'mixed' WHEN n_numeric > 0 THEN 'numeric'
   ELSE 'categorical-only' END AS feature_type, {BAND.format("(n_majority / n_min_class)")} AS band FROM items),
@@ -833,6 +833,16 @@ s AS (SELECT *, unnest(range(1, len(d) + 1)) AS s FROM r),
 m AS (SELECT {PAIR_KEYS}, r, avg(d[{draw("'0'", "r", "s")} % len(d) + 1]) AS m FROM s GROUP BY {PAIR_KEYS}, r)
 SELECT {PAIR_KEYS}, {r6("quantile_cont(m, 0.025)", "bootstrap_low")}, {r6("quantile_cont(m, 0.975)", "bootstrap_high")} FROM m GROUP BY ALL"""
 
+ORACLE["st_comparisons"] = f"""
+SELECT e.*, b.* EXCLUDE ({PAIR_KEYS}), w.* EXCLUDE ({PAIR_KEYS}), h.holm_p_value, h.holm_family_size, r.rank_biserial,
+  coalesce(c.wilcoxon_calibration, 'not_run_below_three_pairs') AS wilcoxon_calibration,
+  coalesce(c.wilcoxon_effective_n, 0) AS wilcoxon_effective_n, c.wilcoxon_min_attainable_p,
+  CASE WHEN e.n_pairs = 0 THEN 'not_available' WHEN e.n_pairs < 3 THEN 'descriptive_only_below_minimum_three_blocks'
+    ELSE 'paired_dataset_block_percentile_interval' END AS bootstrap_interpretation
+FROM ({ORACLE["st_effects"]}) e LEFT JOIN ({ORACLE["st_bootstrap_ci"]}) b USING ({PAIR_KEYS})
+LEFT JOIN ({ORACLE["st_wilcoxon"]}) w USING ({PAIR_KEYS}) LEFT JOIN ({ORACLE["st_holm"]}) h USING ({PAIR_KEYS})
+LEFT JOIN ({ORACLE["st_rank_biserial"]}) r USING ({PAIR_KEYS}) LEFT JOIN ({ORACLE["st_wilcoxon_calibration"]}) c USING ({PAIR_KEYS})"""
+
 
 def permutation(ranked: str, stat: str, seed: int) -> str:
     return f"""

@@ -279,7 +279,7 @@ def catalog_items(spark, sf):
         "MajorityClassSize": (size + 5) * (F.length("p_type") % 9 + 1),
         "NumberOfFeatures": size * 3,
         "NumberOfNumericFeatures": size % 3,
-        "NumberOfSymbolicFeatures": F.length("p_brand") - size % 2 - 7,
+        "NumberOfSymbolicFeatures": F.length("p_brand") - size % 2 - 6,
     }
     quality = F.array_compact(
         F.array(
@@ -1002,7 +1002,7 @@ def st_reduced_pairwise(spark, sf):
 
 @query
 def st_comparisons(spark, sf):
-    return rt.st_comparisons(cell(spark, sf), 200)
+    return rt.st_comparisons(cell(spark, sf), 500)
 
 
 def contrast_records(spark, sf):
@@ -1152,7 +1152,7 @@ def fit_forest(spark, sf):
 @query
 def fit_boosted(spark, sf):
     rows = _fit_rows(spark, sf)
-    return _scores(fit.fit_boosted(rows.filter("fold <> 0"), {"maxIter": 2, "maxDepth": 3}), rows)
+    return _scores(fit.fit_boosted(rows.filter("fold <> 0"), {"maxIter": 2, "maxDepth": 2}), rows)
 
 
 @query
