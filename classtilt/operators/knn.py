@@ -34,6 +34,12 @@ def distance(x, y, cats=None, other_cats=None, penalty=None) -> Column:
     return F.sqrt(square)
 
 
+def _attach(df: DataFrame, small: DataFrame, groups: Sequence[str], column: str) -> DataFrame:
+    """Adds a per-group value; without groups it is a scalar subquery, so no cartesian plan can arise."""
+
+    return df.join(small, list(groups)) if groups else df.withColumn(column, small.select(column).scalar())
+
+
 def rs_knn(
     train: DataFrame,
     keys: Sequence[str],
@@ -58,9 +64,6 @@ def rs_knn(
     groups = [*keys, *([y] if within_class else [])]
     features = ["x", "cats", penalty] if mixed else ["x"]
     rows = train.select(*groups, F.col(id).alias("id"), *features)
-    if not groups:
-        groups = ["_all"]
-        rows = rows.withColumn("_all", F.lit(0))
 
     # 1. distinct vectors; the row_number filter is applied before the shuffle, so copies never pile up.
     copies = Window.partitionBy(*groups, *features).orderBy("id")
@@ -75,7 +78,7 @@ def rs_knn(
     if ask is None:
         distinct = distinct.withColumn("_asked", F.lit(True))
     else:
-        on = [*[g for g in groups if g != "_all"], "id"]
+        on = [*groups, "id"]
         asking = rows.join(ask.select(*on[:-1], F.col(id).alias("id")).distinct(), on, "left_semi")
         flagged = asking.select(*groups, *features).distinct().withColumn("_asked", F.lit(True))
         distinct = distinct.join(flagged, [*groups, *features], "left").na.fill(False, ["_asked"])
@@ -102,7 +105,7 @@ def rs_knn(
     else:
         gaps = F.transform("_pivots", lambda p: distance(F.col("x"), p["x"]))
     placed = (
-        distinct.join(pivots, groups)
+        _attach(distinct, pivots, groups, "_pivots")
         .withColumn("_gaps", gaps)
         .drop("_pivots")
         .withColumn("_near", F.array_min("_gaps"))
@@ -172,7 +175,7 @@ def rs_knn(
         )
 
     paired = (
-        placed.join(plan, groups)
+        _attach(placed, plan, groups, "_cells")
         .withColumn("_spread", spread)
         .withColumn(
             "_cells",
@@ -205,12 +208,11 @@ def rs_knn(
     )
     by_vector = named.select(*groups, *features, "vid").join(lists, [*groups, "vid"]).drop("vid")
     others = F.slice(F.filter("_list", lambda c: c["nb_id"] != F.col("id")), 1, k)
-    out = [c for c in groups if c != "_all"]
     return (
         asking.join(by_vector, [*groups, *features])
-        .select(*out, "id", F.posexplode(others).alias("rank", "_c"))
+        .select(*groups, "id", F.posexplode(others).alias("rank", "_c"))
         .select(
-            *out,
+            *groups,
             F.col("id").alias(id),
             F.col("_c.nb_id").alias("nb_id"),
             (F.col("rank") + 1).alias("rank"),

@@ -164,7 +164,7 @@ def run_cell(folds: DataFrame, classes: int, params: dict, cell: dict) -> DataFr
             fit = {"logistic_regression": fit_logistic, "random_forest": fit_forest, "xgboost": fit_boosted}[classifier]
             model = fit(rows, settings, weight)
         pred = fit_predict_proba(model, test)
-        bundle = met_bundle(pred.withColumn("_cell", F.lit(0)), ["_cell"], classes).drop("_cell")
+        bundle = met_bundle(pred, ["fold"], classes).drop("fold")
         values = bundle.first()
     finally:
         rows.unpersist()

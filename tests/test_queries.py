@@ -36,7 +36,7 @@ def test_only_needed_columns_are_read(spark):
     assert schemas and all("l_shipdate" not in s for s in schemas)
 
 
-@pytest.mark.parametrize("name", ["rs_knn_in_class", "acc_expected", "st_coverage_grid", "st_posterior", "thr_fit"])
+@pytest.mark.parametrize("name", ["rs_knn_in_class", "rs_knn_all_rows", "rs_tomek", "st_friedman_permutation", "prep_split_check", "aud_scope_summary", "met_bundle", "acc_expected", "st_coverage_grid", "st_posterior", "thr_fit"])
 def test_no_cartesian_plans(spark, name):
     plan = plan_of(entry.queries()[name](spark, SF))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
