@@ -41,45 +41,95 @@ def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return codes[own], sizes
 
 
-def _count(order: int, keyed: bool):
-    """Distinct n-grams of (block,) language and text with counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            groups: dict[tuple, list[bytes]] = {}
-            keys = zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns - 1)), strict=True)
-            for key, text in zip(keys, batch.column(batch.num_columns - 1).cast(pa.large_binary()), strict=True):
-                groups.setdefault(key, []).append(text.as_py() or b"")
-            for key, texts in groups.items():
-                for part in blocks(iter(texts), 1 << 23):
-                    codes, counts = np.unique(_grams(part, order)[0], return_counts=True)
-                    columns = [pa.array([v] * len(codes), batch.schema.field(c).type) for c, v in enumerate(key)]
-                    columns.append(pa.array(codes))
-                    if not keyed:
-                        columns.append(pa.array(counts.astype(np.int64)))
-                    yield pa.record_batch(columns, names=[f"c{i}" for i in range(len(columns))])
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, doc_id, lang, text) to (block, payload): the rows of a block in one compressed Arrow stream."""
+
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        held = batch.column(0).to_numpy()
+        order = np.argsort(held, kind="stable")
+        edges = np.flatnonzero(np.diff(held[order])) + 1
+        keys, payloads = [], []
+        for rows in np.split(order, edges) if len(order) else []:
+            part = batch.select([1, 2, 3]).take(pa.array(rows))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=options) as stream:
+                stream.write_batch(part)
+            keys.append(int(held[rows[0]]))
+            payloads.append(sink.getvalue().to_pybytes())
+        yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(payloads, pa.binary())], ["block", "payload"])
+
+
+def _unpacked(packed: pa.Table) -> Iterator[tuple[int | None, str, bytes]]:
+    for payload in packed.column("payload"):
+        part = pa.ipc.open_stream(payload.as_buffer()).read_all()
+        texts = part.column("text").combine_chunks().cast(pa.large_binary())
+        for doc_id, lang, text in zip(part.column("doc_id").to_pylist(), part.column("lang").to_pylist(), texts, strict=True):
+            yield doc_id, lang, text.as_py()
+
+
+def _count(order: int):
+    """Distinct n-grams of a block by language, each with its count in the block's trusted texts."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        trusted = set(right.column("_trusted").to_pylist())
+        groups: dict[tuple[str, bool], list[bytes]] = {}
+        block = left.column("block")[0].as_py() if left.num_rows else None
+        for doc_id, lang, text in _unpacked(left):
+            groups.setdefault((lang, doc_id in trusted), []).append(text)
+        found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for (lang, sure), texts in groups.items():
+            for part in blocks(iter(texts), 1 << 23):
+                codes, counts = np.unique(_grams(part, order)[0], return_counts=True)
+                found.setdefault(lang, []).append((codes, counts * sure))
+        langs, codes, counts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lang, parts in found.items():
+            own, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+            codes.append(own)
+            counts.append(np.bincount(at, np.concatenate([n for _, n in parts]), len(own)).astype(np.int64))
+            langs += [lang] * len(own)
+        return pa.table(
+            {
+                "block": pa.array([block] * len(langs), pa.int64()),
+                "lang": pa.array(langs, pa.string()),
+                "code": np.concatenate(codes),
+                "n": np.concatenate(counts),
+            }
+        )
 
     return run
 
 
 def _score(order: int):
+    """Log probability of every text of a block, from the answers to what the block has asked."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        langs, asked, value = (right.column(c).to_pandas().to_numpy() for c in ("lang", "code", "logp"))
+        langs = right.column("lang").to_pandas().to_numpy()
+        asked, value = right.column("code").to_numpy(), right.column("logp").to_numpy()
         known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for lang in set(langs.tolist()):
             own = langs == lang
             at = np.argsort(asked[own])
             known[lang] = asked[own][at], value[own][at]
-        ids, names = left.column("doc_id"), left.column("lang").to_pylist()
-        sums, sizes = np.zeros(len(names)), np.zeros(len(names), np.int64)
-        for i, (lang, text) in enumerate(zip(names, left.column("text").combine_chunks().cast(pa.large_binary()), strict=True)):
-            codes, size = _grams([text.as_py() or b""], order)
-            sizes[i] = size[0]
-            if len(codes):
-                codes, counts = np.unique(codes, return_counts=True)
+        ids, names, sizes, sums = [], [], [], []
+        for doc_id, lang, text in _unpacked(left):
+            ids.append(doc_id)
+            names.append(lang)
+            sizes.append(len(text))
+            total = 0.0
+            if text:
+                codes, counts = np.unique(_grams([text], order)[0], return_counts=True)
                 sorted_codes, logs = known[lang]
-                sums[i] = float((logs[np.searchsorted(sorted_codes, codes)] * counts).sum())
-        return pa.table({"doc_id": ids, "lang": left.column("lang"), "trusted": left.column("trusted"), "n_bytes": sizes, "log_prob": sums})
+                total = float((logs[np.searchsorted(sorted_codes, codes)] * counts).sum())
+            sums.append(total)
+        return pa.table(
+            {
+                "doc_id": pa.array(ids, pa.int64()),
+                "lang": pa.array(names, pa.string()),
+                "n_bytes": pa.array(sizes, pa.int64()),
+                "log_prob": pa.array(sums, pa.float64()),
+            }
+        )
 
     return run
 
@@ -114,15 +164,14 @@ def _level(counts: DataFrame) -> DataFrame:
     return rows.join(contexts, ["lang", "ctx"]).select("lang", "code", "ctx", (own / F.col("total")).alias("share"), "gamma")
 
 
-def train(trusted: DataFrame, order: int = 4) -> list[DataFrame]:
-    """Tables (lang, code, p) and (lang, ctx, gamma) by order, from ``trusted`` (lang, text): [(p, gamma), ...] flattened.
+def train(counts: DataFrame, order: int = 4) -> list[DataFrame]:
+    """Tables (lang, code, p) and (lang, ctx, gamma) of each order, from order 1 up: [p1, gamma1, p2, gamma2, ...].
 
-    Highest order: raw counts. Lower orders: the number of distinct bytes before the n-gram. Each table is written to the
-    checkpoint folder; its size follows the distinct n-grams of the trusted text.
+    ``counts`` has (lang, code, n), one row per distinct n-gram of the highest order. That order uses its counts; lower orders
+    use the number of distinct bytes before the n-gram. Each table is written to the checkpoint folder; its size
+    follows the distinct n-grams of the trusted text.
     """
 
-    counted = trusted.mapInArrow(_count(order, False), "lang string, code long, n long")
-    counts = cut(counted.groupBy("lang", "code").agg(F.sum("n").alias("n")))
     levels = [counts]
     for k in range(order - 1, 0, -1):
         upper = levels[-1].select("lang", F.col("code").bitwiseAND(_mask(k)).alias("code"))
@@ -177,29 +226,32 @@ def quality_classifier(
     language is a language of its own. Repeated rows are judged one by one; other columns are ignored.
     """
 
-    named = trusted.select(F.col(id_col).alias("_trusted")).filter("_trusted is not null").distinct()
+    def block(key: Column) -> Column:
+        return F.floor(key / rows_per_block).cast("long")
+
+    named = trusted.select(F.col(id_col).cast("long").alias("_trusted")).filter("_trusted is not null").distinct()
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), whole(F.col(text_col)).alias("text")
-    )
-    # Ids of trusted rows only: texts are not dealt for this join where Spark finds the ids small.
-    marked = rows.join(named, rows["doc_id"] == named["_trusted"], "left").select(
-        "doc_id", "lang", "text", F.col("_trusted").isNotNull().alias("trusted")
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(F.col(lang_col), F.lit("")).alias("lang"),
+        whole(F.col(text_col)).alias("text"),
     )
-    tables = train(marked.filter("trusted").select("lang", "text"), order)
-    block = F.floor(F.coalesce("doc_id", F.xxhash64("text")) / rows_per_block)
+    rows = rows.select(block(F.coalesce("doc_id", F.xxhash64("text"))).alias("block"), "doc_id", "lang", "text")
+    packed = rows.mapInArrow(_packed, "block long, payload binary").groupBy("block")
+    sure = named.select(block(F.col("_trusted")).alias("block"), "_trusted").groupBy("block")
     asked = cut(
-        rows.select(block.alias("block"), "lang", "text")
-        .mapInArrow(_count(order, True), "block long, lang string, code long")
-        .distinct()
+        packed.cogroup(sure).applyInArrow(_count(order), "block long, lang string, code long, n long")
+    )
+    total = asked.groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    tables = train(cut(total.filter("n > 0")), order)
+    answers = asked.select("block", "lang", "code").join(
+        probabilities(total.select("lang", "code"), tables, order), ["lang", "code"]
     )
-    answers = probabilities(asked.select("lang", "code").distinct(), tables, order)
-    answers = asked.join(answers, ["lang", "code"])
-    out = "doc_id long, lang string, trusted boolean, n_bytes long, log_prob double"
-    scored = (
-        marked.withColumn("block", block).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(order), out)
+    scored = packed.cogroup(answers.groupBy("block")).applyInArrow(
+        _score(order), "doc_id long, lang string, n_bytes long, log_prob double"
     )
-    scored = cut(
-        scored.withColumn("perplexity", F.exp(-F.col("log_prob") / F.greatest("n_bytes", F.lit(1))))
+    scored = cut(scored.withColumn("perplexity", F.exp(-F.col("log_prob") / F.greatest("n_bytes", F.lit(1)))))
+    scored = scored.join(named, scored["doc_id"] == named["_trusted"], "left").withColumn(
+        "trusted", F.col("_trusted").isNotNull()
     )
     limits = scored.filter("trusted").groupBy("lang").agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(10000)).alias("threshold"))
     return scored.join(limits, "lang", "left").select(

@@ -87,6 +87,9 @@ def _features(docs: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         "n_distinct_words",
         repeated.cast("long").alias("n_repeat_words"),
+        # A filter on what follows must not be pushed below: it would take the expressions above with it, into each other's
+        # lambdas, where they would run once per word. Spark pushes nothing through a row number.
+        F.monotonically_increasing_id().alias("_tick"),
     )
 
 
@@ -185,7 +188,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
 
     features = cut(_features(docs, text_col, [F.col(id_col).alias("doc_id")]))
-    return _judged(features, features, rounds)
+    return _judged(features, features, rounds).drop("_tick")
 
 
 def filter_quality(docs: DataFrame, text_col: str = "text", rounds: int = 50) -> DataFrame:
@@ -193,4 +196,4 @@ def filter_quality(docs: DataFrame, text_col: str = "text", rounds: int = 50) ->
 
     counted = _features(docs, text_col, [])
     packed = _features(docs, text_col, [F.struct(*docs.columns).alias("_row")])
-    return _judged(packed, counted, rounds).filter("kept").select("_row.*")
+    return _judged(packed, counted, rounds).filter("kept and _tick >= 0").select("_row.*")

@@ -49,7 +49,7 @@ def _closing(role: Column) -> Column:
 def reply_paths(messages: DataFrame, paths_per_tree: int | None = 1) -> DataFrame:
     """Chosen root-to-leaf paths of reply trees: path_id (the leaf), tree_id, rank, turn, msg_id.
 
-    ``messages`` has msg_id (long, unique), parent_id (null at a root), tree_id and score (null: 0). A parent that is not
+    ``messages`` has msg_id (unique, of any type with an order), parent_id (null at a root), tree_id and score (null: 0). A parent that is not
     there makes a root. Branches are ranked in their tree by the sum of the scores on the path, then by the smaller leaf; the
     best ``paths_per_tree`` are chosen, all if None. Messages on a cycle of parents, or below one, have no root and
     lie on no path. Rows that repeat a msg_id count once (the smallest parent, tree and score), null msg_ids not at all.
@@ -172,9 +172,17 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 def messages_of_turns(conversations: DataFrame) -> DataFrame:
     """Linear conversations as reply trees: each row replies to the row before it by (turn, role, text).
 
-    Rows of a null conv_id form one conversation. msg_id is a number within the conversation's own range of a hash-free
-    key: it is built from row numbers, so repeated rows stay apart.
+    Returns msg_id and parent_id (structs of conv_id and row number), tree_id (conv_id), role, text and score 0. Rows that
+    repeat a turn stay apart; rows with a null conv_id form one conversation.
     """
 
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    return conversations.select("conv_id", "turn", "role", "text").withColumn("n", F.row_number().over(order))
+    rows = conversations.select("conv_id", "turn", "role", "text").withColumn("_n", F.row_number().over(order).cast("long"))
+    return rows.select(
+        F.struct("conv_id", F.col("_n").alias("n")).alias("msg_id"),
+        F.when(F.col("_n") > 1, F.struct("conv_id", (F.col("_n") - 1).alias("n"))).alias("parent_id"),
+        F.col("conv_id").alias("tree_id"),
+        "role",
+        "text",
+        F.lit(0.0).alias("score"),
+    )
