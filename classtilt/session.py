@@ -18,6 +18,7 @@ def local_session(app: str = "classtilt", cpus: int | str = "*", partitions: int
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("CLASSTILT_DRIVER_MEMORY", "8g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -26,16 +27,30 @@ def local_session(app: str = "classtilt", cpus: int | str = "*", partitions: int
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. A private folder is set only
-    when the session has none, which is the case in local tests.
+    Without that setting a temporary folder is made in local mode, where all tasks run on this machine; on a cluster that
+    would lose data, so it is an error there.
     """
 
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            named = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder at once and drop its lineage.
+
+    Spark removes the files when the DataFrame is no longer referenced if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on, as it is in :func:`local_session`.
+    """
+
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
