@@ -247,24 +247,21 @@ def replace_entities(docs: DataFrame, key: str = "surrogates", id_col: str = "do
             counts.append(len(spans))
         return pd.DataFrame({"text": out, "n": counts})
 
-    joined = with_signs.withColumns({"_id": F.col(id_col).cast("string"), "_hash": F.xxhash64(text)})
-    joined = joined.join(
-        maps.select(F.col("_id").alias("_mid"), F.col("_hash").alias("_mhash"), "_map"),
-        F.col("_id").eqNullSafe(F.col("_mid")) & (F.col("_hash") == F.col("_mhash")),
-        "left",
+    # Rows travel as one struct, so their columns cannot clash with the map's.
+    joined = with_signs.select(
+        F.struct(*docs.columns).alias("row"), text.alias("old"), F.col(id_col).cast("string").alias("id"), F.xxhash64(text).alias("hash")
     )
-    changed = joined.withColumn("_new", rewritten(text, F.col("_map")))
-
-    def finished(rows: DataFrame, new: Column, n: Column) -> DataFrame:
-        columns = []
-        for c in docs.columns:
-            if c == text_col:
-                columns.append(new.alias(c))
-            elif c == "n_chars":
-                columns.append(F.when(n > 0, F.char_length(new)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c))
-            else:
-                columns.append(F.col(c))
-        return rows.select(*columns, n.alias("n_entities"))
-
-    plain = finished(docs.filter(~signed), text, F.lit(0).cast("long"))
-    return plain.unionByName(finished(changed, F.col("_new.text"), F.col("_new.n")))
+    joined = joined.join(maps, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
+    changed = joined.select("row", rewritten("old", "_map").alias("new"))
+
+    def column(name: str) -> Column:
+        old = F.col("row").getField(name)
+        if name == text_col:
+            return F.col("new.text").alias(name)
+        if name == "n_chars":
+            kind = docs.schema[name].dataType
+            return F.when(F.col("new.n") > 0, F.char_length("new.text")).otherwise(old).cast(kind).alias(name)
+        return old.alias(name)
+
+    changed = changed.select(*[column(c) for c in docs.columns], F.col("new.n").alias("n_entities"))
+    return docs.filter(~signed).withColumn("n_entities", F.lit(0).cast("long")).unionByName(changed)
