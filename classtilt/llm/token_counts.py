@@ -29,7 +29,7 @@ ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
-BLOCK = 1 << 22  # bytes of text that run side by side
+BLOCK = 1 << 21  # bytes of text that run side by side
 
 
 def byte_letters() -> dict[str, int]:
