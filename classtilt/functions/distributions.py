@@ -21,35 +21,47 @@ def _series(first: Column, ratio, terms: Column) -> Column:
         term = acc["t"] * ratio(n.cast("double"))
         return F.struct(term.alias("t"), (acc["s"] + term).alias("s"))
 
-    return F.aggregate(F.sequence(F.lit(1), terms.cast("int")), start, step, lambda acc: acc["s"])
+    numbers = F.when(terms >= 1, F.sequence(F.lit(1), F.greatest(terms.cast("int"), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(numbers, start, step, lambda acc: acc["s"])
+
+
+def _norm_tail(z: Column) -> Column:
+    """P(standard normal > z) for z of 2.5 and more: Laplace's continued fraction, from its far end inwards."""
+
+    density = F.exp(-z * z / _d(2)) / _d(math.sqrt(2 * math.pi))
+    fraction = F.aggregate(F.sequence(F.lit(120), F.lit(1), F.lit(-1)), z, lambda acc, i: z + i.cast("double") / acc)
+    return density / fraction
+
+
+def _norm_middle(z: Column) -> Column:
+    first = z * F.exp(-z * z / _d(2)) / _d(math.sqrt(2 * math.pi))
+    return _series(first, lambda n: z * z / (_d(2) * n + _d(1)), F.lit(60))
 
 
 def fn_chi2_sf(x: Column, df: Column) -> Column:
-    """P(chi-square with ``df`` degrees of freedom > x)."""
+    """P(chi-square with ``df`` degrees of freedom > x), for whole ``df``: the finite sum of the upper tail.
+
+    Nothing is subtracted from one, so small tails keep their digits.
+    """
 
-    half = df / _d(2)
-    whole = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(half)).cast("int")), _d(0), lambda a, i: a + F.log(i * _d(1))
-    )
-    odd = _d(0.5 * math.log(math.pi)) + F.aggregate(
-        F.sequence(F.lit(0), F.floor(half).cast("int")), _d(0), lambda a, i: a + F.log(i + _d(0.5))
-    )
-    log_gamma = F.when(df % 2 == 0, F.when(half >= 1, whole).otherwise(_d(0))).otherwise(odd)
     y = x / _d(2)
-    first = F.exp(half * F.log(y) - y - log_gamma)
-    lower = _series(first, lambda n: y / (half + n), F.lit(300) + F.ceil(y * 3))
-    return F.when(x.isNull() | df.isNull(), F.lit(None)).when(x <= 0, _d(1)).otherwise(
-        F.least(_d(1), F.greatest(_d(0), _d(1) - lower))
-    )
+    half = F.floor(df / _d(2)).cast("int")
+    even = df % 2 == 0
+    # Terms y^a / gamma(a + 1) for a = 0, 1, .. (even) or 1/2, 3/2, .. (odd), each from the one before, times exp(-y).
+    first = F.when(even, F.exp(-y)).otherwise(F.exp(-y) * F.sqrt(y) / _d(math.sqrt(math.pi) / 2))
+    step = F.when(even, _d(0)).otherwise(_d(0.5))
+    total = F.when(half < 1, _d(0)).otherwise(_series(first, lambda n: y / (n + step), F.greatest(half - 1, F.lit(0))))
+    root = F.sqrt(F.greatest(x, _d(0)))
+    two_sided = _d(2) * F.when(root >= 2.5, _norm_tail(F.greatest(root, _d(2.5)))).otherwise(_d(0.5) - _norm_middle(root))
+    upper = F.when(even, total).otherwise(total + two_sided)
+    return F.when(x.isNull() | df.isNull(), F.lit(None)).when(x <= 0, _d(1)).otherwise(F.least(_d(1), upper))
 
 
 def fn_norm_cdf(z: Column) -> Column:
-    """Standard normal distribution function."""
+    """Standard normal distribution function; both tails keep their digits on the lower side."""
 
-    first = z * F.exp(-z * z / _d(2)) / _d(math.sqrt(2 * math.pi))
-    terms = F.least(F.lit(130), F.ceil(z * z * 1.2).cast("int") + 30)
-    body = _series(first, lambda n: z * z / (_d(2) * n + _d(1)), terms)
-    return F.when(z > 8, _d(1)).when(z < -8, _d(0)).otherwise(_d(0.5) + body)
+    tail = _norm_tail(F.greatest(F.abs(z), _d(2.5)))
+    return F.when(z <= -2.5, tail).when(z >= 2.5, _d(1) - tail).otherwise(_d(0.5) + _norm_middle(z))
 
 
 def fn_range_sf(q: Column, k: Column, step: float = 0.25) -> Column:

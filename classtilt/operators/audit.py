@@ -485,7 +485,7 @@ def sel_quota(
     catalogue is a metadata table (one row per dataset); the chosen set is at most ``target`` rows.
     """
 
-    pool = sel_dedupe(catalog).select("data_id", "name", "feature_type", "band")
+    pool = catalog.select("data_id", "name", "feature_type", "band")
     fixed = [*retained, *reserve]
     chosen = {r["data_id"]: r for r in pool.filter(F.col("data_id").isin(fixed)).collect()}
 
@@ -496,7 +496,8 @@ def sel_quota(
         if chosen:
             names = [r["name"].lower() for r in chosen.values()]
             rest = rest.filter(~F.col("data_id").isin(list(chosen)) & ~F.lower("name").isin(names))
-        return rest.orderBy(*order).limit(n).collect()
+        # Namesakes are dropped among the rows that meet the condition, so one in another band does not shadow them.
+        return sel_dedupe(rest).orderBy(*order).limit(n).collect()
 
     def missing(kind):
         return feature_quotas[kind] - sum(r["feature_type"] == kind for r in chosen.values())

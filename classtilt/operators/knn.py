@@ -92,11 +92,16 @@ def rs_knn(
     sizes = (cell_rows, cell_rows) if cell_rows else (1024, 8192)
     low, high = (f"{min(2**32 // n, 2**32 - 1):08x}" for n in sizes)
     share = F.when(F.size("x") <= 3, low).otherwise(high)
+    # The share is taken before any window, so about one row in ``cell_rows`` is ranked; the first row by hash of each group,
+    # which always is a pivot, comes from a grouped minimum. ``vid`` tells vectors of a group apart.
+    hashed = distinct.withColumn("_h", order_hash("pivot", F.col("vid")))
+    least = hashed.groupBy(*groups).agg(F.min(F.struct("_h", "vid")).alias("_m")).select(*groups, F.col("_m.vid").alias("vid"))
     pivots = (
-        distinct.withColumn("_h", order_hash("pivot", F.col("vid")))
+        hashed.filter(F.col("_h") < share)
+        .unionByName(hashed.join(least, [*groups, "vid"], "left_semi"))
+        .dropDuplicates([*groups, "vid"])
         .withColumn("_r", F.row_number().over(chosen))
         .filter(F.col("_r") <= max_pivots)
-        .filter((F.col("_r") == 1) | (F.col("_h") < share))
         .groupBy(*groups)
         .agg(F.collect_list(F.struct("x", *(["cats"] if mixed else []))).alias("_pivots"))
     )

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,14 +71,32 @@ def txt_redact(df: DataFrame, text: str) -> DataFrame:
 
 
 def txt_json_redact(df: DataFrame, col: str, names: Sequence[str] = rules.REVISION_FIELDS) -> DataFrame:
-    """Sets the listed keys to null at any depth of a JSON text.
+    """Sets the listed keys to null at any depth of a JSON text, whatever their value: scalar, object or array.
 
-    Scalar values are replaced in the text, so nested objects of unknown depth need no schema.
+    All other text stays as it was written. Texts without such a key skip Python; where the value after a key is not
+    JSON, everything after the key is dropped, for a redaction must not leak.
     """
 
-    keys = "|".join(names)
-    pattern = rf'(?i)("(?:{keys})"\s*:\s*)(?:"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false|null)'
-    return df.withColumn(col, F.regexp_replace(col, pattern, "$1null"))
+    key = re.compile(rf'(?i)(?<!\\)"(?:{"|".join(names)})"\s*:\s*')
+
+    @F.pandas_udf("string")
+    def nulled(bodies: pd.Series) -> pd.Series:
+        decoder = json.JSONDecoder(strict=False)
+
+        def one(body: str) -> str:
+            out, at = [], 0
+            while found := key.search(body, at):
+                out += [body[at : found.end()], "null"]
+                try:
+                    at = decoder.raw_decode(body, found.end())[1]
+                except ValueError:
+                    at = len(body)
+            return "".join(out) + body[at:]
+
+        return bodies.map(one, na_action="ignore")
+
+    listed = F.col(col).rlike(rf'(?i)"(?:{"|".join(names)})"\s*:')
+    return df.withColumn(col, F.when(listed, nulled(F.when(listed, F.col(col)))).otherwise(F.col(col)))
 
 
 def txt_hash_rebind(refs: DataFrame, mapping: DataFrame) -> DataFrame:

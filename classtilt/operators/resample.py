@@ -149,13 +149,23 @@ def _interpolate(draws: DataFrame, train: DataFrame, pairs: DataFrame, keys: Seq
     return located.withColumn("x", moved).drop("_to")
 
 
+def _reach(k: int):
+    """Neighbours that a row of a class of ``n_class`` rows can have, ``k`` at most; a class of one row is an error."""
+
+    alone = F.raise_error(F.lit("fewer than two training examples in the smallest targeted class")).cast("bigint")
+    return F.when(F.col("n_class") < 2, alone).otherwise(F.least(F.lit(k), F.col("n_class") - 1))
+
+
 def _draw(base: DataFrame, wanted: DataFrame, keys: Sequence[str], k: int, seed: int, purpose: str) -> DataFrame:
-    """``deficit`` draws per class from the numbered rows ``base``: DF[keys, y, j, base, rank, gap]."""
+    """``deficit`` draws per class from the numbered rows ``base``: DF[keys, y, j, base, rank, gap].
+
+    ``wanted`` has the class size ``n_class``: a class of at most ``k`` rows has fewer neighbours to choose from.
+    """
 
     draws = (
         explode_counts(wanted, "deficit", "j")
         .withColumn("_number", hash_key(*_key(keys, seed, f"{purpose}-base")) % F.col("n") + 1)
-        .withColumn("rank", (hash_key(*_key(keys, seed, f"{purpose}-neighbour")) % k + 1).cast("int"))
+        .withColumn("rank", (hash_key(*_key(keys, seed, f"{purpose}-neighbour")) % _reach(k) + 1).cast("int"))
         .withColumn("gap", fn_hash_uniform(*_key(keys, seed, f"{purpose}-gap")))
     )
     named = base.select(*keys, "y", "_number", F.col("id").alias("base"))
@@ -172,7 +182,7 @@ def _append(train: DataFrame, made: DataFrame, keys: Sequence[str]) -> DataFrame
 def rs_smote(train: DataFrame, keys: Sequence[str], k: int, seed: int) -> DataFrame:
     """SMOTE: a random row of the class moves a random part of the way to one of its ``k`` class neighbours."""
 
-    wanted = class_deficits(train, keys).select(*keys, "y", "n", "deficit")
+    wanted = class_deficits(train, keys).select(*keys, "y", "n", F.col("n").alias("n_class"), "deficit")
     draws = _draw(_numbered(train, keys, seed, "smote"), wanted, keys, k, seed, "smote")
     return _append(train, _interpolate(draws, train, _class_pairs(train, keys, k, draws), keys), keys)
 
@@ -238,11 +248,12 @@ def rs_adasyn(train: DataFrame, keys: Sequence[str], k: int, seed: int):
             F.when(F.col("total") == 0, "RuntimeError").otherwise("ValueError").alias("error_type"),
         )
     )
-    each = plan.select(*keys, "y", F.col("id").alias("base"), "rows")
+    sizes = class_deficits(train, keys).select(*keys, "y", F.col("n").alias("n_class"))
+    each = plan.select(*keys, "y", F.col("id").alias("base"), "rows").join(sizes, [*keys, "y"])
     named = [seed, "adasyn", *[F.col(c) for c in keys], F.col("y"), F.col("base"), F.col("j")]
     draws = (
         explode_counts(each, "rows", "j")
-        .withColumn("rank", (hash_key(*named, "neighbour") % k + 1).cast("int"))
+        .withColumn("rank", (hash_key(*named, "neighbour") % _reach(k) + 1).cast("int"))
         .withColumn("gap", fn_hash_uniform(*named, "gap"))
     )
     made = _interpolate(draws, train, _class_pairs(train, keys, k, draws), keys)
@@ -262,7 +273,7 @@ def rs_borderline(train: DataFrame, keys: Sequence[str], k: int, m: int, seed: i
 
     danger = cut(danger_rows(train, keys, m))
     sizes = danger.groupBy(*keys, "y").agg(F.count(F.lit(1)).alias("n"))
-    wanted = class_deficits(train, keys).select(*keys, "y", "deficit").join(sizes, [*keys, "y"])
+    wanted = class_deficits(train, keys).select(*keys, "y", F.col("n").alias("n_class"), "deficit").join(sizes, [*keys, "y"])
     draws = _draw(_numbered(danger, keys, seed, "borderline"), wanted, keys, k, seed, "borderline")
     return _append(train, _interpolate(draws, train, _class_pairs(train, keys, k, draws), keys), keys)
 
@@ -284,7 +295,7 @@ def rs_smotenc(train: DataFrame, keys: Sequence[str], k: int, seed: int) -> Data
     """SMOTE for mixed rows: categories are voted by the ``k`` neighbours, ties to the smallest value."""
 
     group = [*keys, "y"]
-    wanted = class_deficits(train, keys).select(*group, "n", "deficit")
+    wanted = class_deficits(train, keys).select(*group, "n", F.col("n").alias("n_class"), "deficit")
     draws = _draw(_numbered(train, keys, seed, "smotenc"), wanted, keys, k, seed, "smotenc")
     pairs = cut(_class_pairs(class_penalty(train, keys), keys, k, draws, penalty="penalty"))
     numeric = _interpolate(draws, train, pairs, keys)

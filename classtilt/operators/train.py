@@ -138,7 +138,7 @@ def resample(train: DataFrame, condition: str, k: int = 3, m: int = 10, seed: in
         return rs_smotetomek(train, [], k, seed)
     if condition == "adasyn":
         rows, failures = rs_adasyn(train, [], k, seed)
-        broken = failures.limit(1).collect()
+        broken = failures.orderBy("y").limit(1).collect()
         if broken:
             raise ValueError(broken[0]["error"])
         return rows
@@ -187,7 +187,7 @@ def grid_run(
         if cell["condition"] == "balanced_random_forest" and cell["classifier"] != "random_forest":
             message = rules.FOREST_ONLY_MESSAGE
         if message:
-            failed.append({**cell, "stage": "applicability", "error_type": "ValueError", "error": message, "elapsed_seconds": 0.0})
+            failed.append({**cell, "stage": "applicability", "error_type": "ValueError", "error": message, "elapsed_seconds": 0.0, "retry_count": 0})
         else:
             runnable.append(cell)
 
@@ -198,16 +198,17 @@ def grid_run(
 
     records = []
     with ThreadPoolExecutor(max_workers=pool) as workers:
-        for cell, record, error, _, seconds in workers.map(one, runnable):
+        for cell, record, error, retries, seconds in workers.map(one, runnable):
             if error is None:
-                records.append({**record, "status": rules.VALID})
+                records.append({**record, "status": rules.VALID, "retry_count": retries})
             else:
                 failed.append(
                     {
                         **cell,
                         "stage": "fit_predict",
                         "error_type": type(error).__name__,
-                        "error": str(error)[:500],
+                        "error": str(error),
+                        "retry_count": retries,
                         "elapsed_seconds": seconds,
                     }
                 )
@@ -216,11 +217,11 @@ def grid_run(
         "macro_f1_argmax double, g_mean_argmax double, mcc_argmax double, balanced_accuracy_argmax double, "
         "per_class_recall_argmax array<double>, macro_f1_calibrated double, macro_average_precision double, "
         "per_class_average_precision array<double>, multiclass_brier double, multiclass_log_loss double, "
-        "fit_predict_seconds double, status string"
+        "fit_predict_seconds double, status string, retry_count int"
     )
     return (
         _rows(spark, records, f"{keys}, {metrics}"),
-        _rows(spark, failed, f"{keys}, stage string, error_type string, error string, elapsed_seconds double"),
+        _rows(spark, failed, f"{keys}, stage string, error_type string, error string, elapsed_seconds double, retry_count int"),
     )
 
 

@@ -47,7 +47,7 @@ def tune_trials(space: DataFrame, n: int = rules.TRIALS, seed: int = rules.SEARC
     value = (
         F.when(F.col("kind") == "randint", whole)
         .when(F.col("kind").isin("categorical", "constant"), choice)
-        .otherwise(F.call_function("format_number", number, F.lit("0.000000000000")))
+        .otherwise(number.cast("string"))
     )
     return trials.select(*keys, "classifier", "trial", "param", value.alias("value"))
 
