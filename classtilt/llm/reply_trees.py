@@ -60,33 +60,39 @@ def reply_paths(messages: DataFrame, paths_per_tree: int | None = 1) -> DataFram
     )
     rows = rows.select("msg_id", "_m.parent_id", "_m.tree_id", F.coalesce("_m.score", F.lit(0.0)).cast("double").alias("score"))
     there = rows.select(F.col("msg_id").alias("_p"))
+    # Roots look for themselves, so that their null parents do not meet in one task.
+    named = rows.join(there, F.coalesce("parent_id", "msg_id") == F.col("_p"), "left")
     nodes = cut(
-        rows.join(there, F.col("parent_id") == F.col("_p"), "left").select(
-            "msg_id", "tree_id", F.col("_p").alias("up"), F.lit(1).cast("long").alias("links"), F.col("score").alias("sum")
+        named.select(
+            "msg_id",
+            "tree_id",
+            F.when(F.col("parent_id").isNotNull(), F.col("_p")).alias("up"),
+            F.lit(1).cast("long").alias("links"),
+            F.col("score").alias("sum"),
         )
     )
-    jumps = [nodes]
+    # A round works on the messages that have not reached their root; the others wait in ``done``.
+    jumps, done = [nodes.filter("up is not null")], nodes.filter("up is null")
     most = nodes.count()
-    while jumps[-1].filter("up is not null").limit(1).count():
+    while not jumps[-1].isEmpty():
         if 1 << len(jumps) > 2 * most + 2:
             break  # only cycles are left
         last = jumps[-1]
-        ahead = last.select(
+        ahead = last.unionByName(done).select(
             F.col("msg_id").alias("_id"), F.col("up").alias("_up"), F.col("links").alias("_links"), F.col("sum").alias("_sum")
         )
-        jumps.append(
-            cut(
-                last.join(ahead, last["up"] == ahead["_id"], "left").select(
-                    "msg_id",
-                    "tree_id",
-                    F.col("_up").alias("up"),
-                    (F.col("links") + F.coalesce("_links", F.lit(0))).alias("links"),
-                    (F.col("sum") + F.coalesce("_sum", F.lit(0.0))).alias("sum"),
-                )
+        reached = cut(
+            last.join(ahead, last["up"] == ahead["_id"]).select(
+                "msg_id",
+                "tree_id",
+                F.col("_up").alias("up"),
+                (F.col("links") + F.col("_links")).alias("links"),
+                (F.col("sum") + F.col("_sum")).alias("sum"),
             )
         )
-    # The last table holds, for every message with a root, all links up to it (the root counts as one) and the whole sum.
-    done = jumps[-1].filter("up is null")
+        jumps.append(reached.filter("up is not null"))
+        done = done.unionByName(reached.filter("up is null"))
+    # ``done`` holds, for every message with a root, all links up to it (the root counts as one) and the whole sum.
     parents = nodes.filter("up is not null").select(F.col("up").alias("_p")).distinct()
     leaves = done.join(parents, F.col("msg_id") == F.col("_p"), "left_anti")
     order = Window.partitionBy("tree_id").orderBy(F.desc("sum"), "msg_id")
@@ -96,7 +102,7 @@ def reply_paths(messages: DataFrame, paths_per_tree: int | None = 1) -> DataFram
     walk = leaves.select(F.col("msg_id").alias("path_id"), "tree_id", "rank", "links", "msg_id", F.col("links").alias("turn"))
     # Every ancestor is reached once: its distance in binary says which jumps to take, the longest first.
     for k in reversed(range(len(jumps) - 1)):
-        step = jumps[k].filter("up is not null").select(F.col("msg_id").alias("_id"), F.col("up").alias("_up"))
+        step = jumps[k].select(F.col("msg_id").alias("_id"), F.col("up").alias("_up"))
         up = walk.join(step, walk["msg_id"] == step["_id"]).select(
             "path_id", "tree_id", "rank", "links", F.col("_up").alias("msg_id"), (F.col("turn") - (1 << k)).alias("turn")
         )
