@@ -96,14 +96,16 @@ def exact_dedup(
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows that share id and text, one stays.
 
-    The join is dealt by (digest, id), so a hot text does not meet in one task.
+    The join is dealt by (digest, id), so a hot text does not meet in one task. Both stand in one struct: null ids match
+    each other there, and what is left of repeated rows is found without dealing the texts out again.
     """
 
     norm = F.regexp_replace(whole(F.col(text_col)), SPACE_RUN, " ")
     winners, collided = _winners(_keyed(docs, id_col, text_col, sha256_hex), salts)
-    rows = docs.withColumn("_digest_", sha256_hex(norm))
-    match = (rows["_digest_"] == winners["_digest"]) & rows[id_col].eqNullSafe(winners["_keep"])
+    winners = winners.select("*", F.struct("_digest", "_keep").alias("_stays"))
+    rows = docs.withColumn("_key_", F.struct(sha256_hex(norm).alias("_digest"), F.col(id_col).alias("_keep")))
+    match = rows["_key_"] == winners["_stays"]
     if collided:
         match &= winners["_text"].isNull() | (winners["_text"] == norm)
     kept = rows.join(winners, match, "left_semi")
-    return kept.dropDuplicates([id_col, "_digest_"]).drop("_digest_")
+    return kept.dropDuplicates(["_key_"]).drop("_key_")
