@@ -247,6 +247,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
 
     classes = simhash_classes(docs, id_col, text_col, **options)
-    stays = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stays, docs[id_col].eqNullSafe(stays["_stay"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    stays = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stays = stays.select(F.struct(F.col("doc_id").alias("id")).alias("_stay")).distinct()
+    # In a struct null ids match each other, and repeated ids are found where the join has dealt them.
+    rows = docs.withColumn("_key_", F.struct(F.col(id_col).cast("long").alias("id")))
+    kept = rows.join(stays, rows["_key_"] == stays["_stay"], "left_semi")
+    return kept.dropDuplicates(["_key_"]).drop("_key_")
