@@ -242,8 +242,8 @@ def simhash_classes(
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, all columns: in each component the row with its smallest id.
 
-    Of rows that repeat that id one stays. Rows without an id stay only where their component has no id at all; such
-    rows are one per fingerprint.
+    Ids are taken as unique: of rows that repeat an id one stays, whatever their texts. Rows without an id share the null
+    id in this sense; one of them stays if a component has no id at all, none otherwise. Give such rows ids first.
     """
 
     classes = simhash_classes(docs, id_col, text_col, **options)
