@@ -54,9 +54,9 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
+            texts = batch.column(2).cast(pa.large_binary())
             prints = [fingerprint(t.as_py() or b"", width) for t in texts]
-            yield pa.record_batch([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(prints, pa.int64())], ["doc_id", "mark", "fp"])
 
     return run
 
@@ -223,33 +223,56 @@ def simhash_classes(
     other id is in it. An empty table gives an empty result; other columns are ignored.
     """
 
-    if not 0 <= radius < BLOCKS:
-        raise ValueError(f"radius must be below {BLOCKS}")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = cut(source.mapInArrow(_fingerprints(width), "doc_id long, fp long"))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = components(near_links(distinct.select("fp"), radius, tile))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "least_id", F.coalesce("root", "fp").alias("root")
-    )
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    prints = _prints(docs, id_col, text_col, width)
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    rooted = _rooted(distinct, radius, tile)
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: in each component the row with its smallest id.
+def _prints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """doc_id, mark (a hash of the text as it is, null apart from empty) and fp of every row, written once."""
+
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    return cut(rows.mapInArrow(_fingerprints(width), "doc_id long, mark long, fp long"))
+
+
+def _rooted(distinct: DataFrame, radius: int, tile: int) -> DataFrame:
+    """``distinct`` (fp, least) with the root of each fingerprint's component."""
+
+    if not 0 <= radius < BLOCKS:
+        raise ValueError(f"radius must be below {BLOCKS}")
+    roots = components(near_links(distinct.select("fp"), radius, tile))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root")
+    )
+
+
+def drop_near_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 3,
+    radius: int = 3,
+    tile: int = 4096,
+) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns: of each component the row with its smallest id.
 
-    Ids are taken as unique: of rows that repeat an id one stays, whatever their texts. Rows without an id share the null
-    id in this sense; one of them stays if a component has no id at all, none otherwise. Give such rows ids first.
+    Of rows that repeat that id, or of a component without any id, the row with the least hash of its text stays; rows
+    that share id and text are one row. So every component leaves one row, whatever its ids are.
     """
 
-    classes = simhash_classes(docs, id_col, text_col, **options)
-    stays = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = stays.select(F.struct(F.col("doc_id").alias("id")).alias("_stay")).distinct()
-    # In a struct null ids match each other, and repeated ids are found where the join has dealt them.
-    rows = docs.withColumn("_key_", F.struct(F.col(id_col).cast("long").alias("id")))
+    prints = _prints(docs, id_col, text_col, width)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
+    rooted = _rooted(prints.groupBy("fp").agg(F.min(order).alias("least")), radius, tile)
+    stays = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    stays = stays.select(F.struct(F.col("least.doc_id").alias("id"), F.col("least.mark").alias("mark")).alias("_stay"))
+    # In a struct null ids match each other, and repeated rows are found where the join has dealt them.
+    key = F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("mark"))
+    rows = docs.withColumn("_key_", key)
     kept = rows.join(stays, rows["_key_"] == stays["_stay"], "left_semi")
     return kept.dropDuplicates(["_key_"]).drop("_key_")

@@ -180,6 +180,23 @@ def test_simhash(odd, documents):
     assert kept.columns == documents.columns and 0 < kept.count() <= documents.count()
 
 
+def test_near_copies_leave_one_row_each(odd):
+    """Null and repeated ids included: no component is lost, none leaves two rows."""
+
+    far = [(3, f"{w} is a text of its own " * 3, "en", "s", 1) for w in ("one", "another")] + [(None, "no id, but clean text", None, None, None)]
+    docs = odd.select("doc_id", "text", "fp").unionByName(
+        odd.sparkSession.createDataFrame(far, DOCS).select("doc_id", "text", F.lit("x").alias("fp"))
+    )
+    rows = docs.collect()
+    prints = [brute_print(r.text) for r in rows]
+    least = {}
+    for r, c in zip(rows, brute_classes(prints, list(range(len(rows)))), strict=True):
+        least[c] = min(least.get(c, float("inf")), float("inf") if r.doc_id is None else r.doc_id)
+    kept = simhash.drop_near_copies(docs)
+    got = [float("inf") if r.doc_id is None else r.doc_id for r in kept.collect()]
+    assert kept.columns == docs.columns and sorted(got) == sorted(least.values())
+
+
 @pytest.mark.parametrize("n,flips", [(2, 3), (130, 4), (500, 2), (64, 9)])
 def test_bit_sliced_trees(n, flips):
     draw = random.Random(n)
