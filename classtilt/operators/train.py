@@ -30,6 +30,9 @@ from classtilt.operators.resample import (
     rs_smotetomek,
 )
 
+#: Balanced bootstraps of a balanced forest in the protocol.
+BAGS = 200
+
 
 def _features(df: DataFrame) -> DataFrame:
     return df.withColumn("features", array_to_vector("x")).withColumn("label", F.col("y").cast("double"))
@@ -42,16 +45,16 @@ def fit_logistic(train: DataFrame, params: dict | None = None, weight: str | Non
     return _fit(model, train, params, weight)
 
 
-def fit_forest(train: DataFrame, params: dict | None = None, weight: str | None = None):
+def fit_forest(train: DataFrame, params: dict | None = None, weight: str | None = None, seed: int = 0):
     """Random forest of 200 trees unless ``params`` says otherwise."""
 
-    return _fit(RandomForestClassifier(numTrees=200, seed=0), train, params, weight)
+    return _fit(RandomForestClassifier(numTrees=200, seed=seed), train, params, weight)
 
 
-def fit_boosted(train: DataFrame, params: dict | None = None, weight: str | None = None):
+def fit_boosted(train: DataFrame, params: dict | None = None, weight: str | None = None, seed: int = 0):
     """Boosted trees, one model per class against the rest: the role of a softmax booster, not its numbers."""
 
-    trees = GBTClassifier(seed=0, maxIter=20)
+    trees = GBTClassifier(seed=seed, maxIter=20)
     trees = trees.copy({trees.getParam(k): v for k, v in (params or {}).items()})
     model = OneVsRest(classifier=trees, parallelism=4)
     if weight:
@@ -70,7 +73,7 @@ def fit_balanced_forest(train: DataFrame, bags: int, params: dict | None = None,
     """One forest per balanced bootstrap; their probabilities are averaged."""
 
     bagged = rs_balanced_bootstrap(train, [], bags, seed)
-    return [fit_forest(bagged.filter(F.col("bag") == b), params) for b in range(bags)]
+    return [fit_forest(bagged.filter(F.col("bag") == b), params, seed=seed + b) for b in range(bags)]
 
 
 def fit_predict_proba(model, df: DataFrame) -> DataFrame:
@@ -112,9 +115,16 @@ def grid_retry(run: Callable[[dict], DataFrame], cell: dict, max_retries: int =
     raise AssertionError("unreachable")
 
 
-def grid_resume(cells: DataFrame, markers: DataFrame, key: str = "dataset") -> DataFrame:
-    """Cells of datasets without a valid completion marker; check ``acc_marker_stale`` first."""
+def grid_resume(cells: DataFrame, markers: DataFrame, key: str = "dataset", stale: DataFrame | None = None) -> DataFrame:
+    """Cells of datasets without a valid completion marker.
+
+    ``stale`` are the problems that ``acc_marker_stale`` finds; any of them stops the resumption, as a marker that does
+    not fit its files says nothing about what was done.
+    """
 
+    found = stale.orderBy(key, "problem").limit(5).collect() if stale is not None else []
+    if found:
+        raise ValueError("stale completion markers: " + "; ".join(f"{row[key]}: {row['problem']}" for row in found))
     done = markers.filter(F.col("status") == "complete").select(key)
     return cells.join(done, key, "left_anti")
 
@@ -146,8 +156,15 @@ def resample(train: DataFrame, condition: str, k: int = 3, m: int = 10, seed: in
 
 
 def run_cell(folds: DataFrame, classes: int, params: dict, cell: dict) -> DataFrame:
-    """Fit on the other folds, predict the fold, return its metrics as one row."""
+    """Fit on the other folds, predict the fold, return its metrics as one row.
+
+    ``folds`` may hold many datasets and seeds, each with a split of its own, in columns ``dataset`` and ``seed``. The
+    cell's seed also decides the draws of samplers and trees.
+    """
 
+    for name in ("dataset", "seed"):
+        if name in folds.columns:
+            folds = folds.filter(F.col(name) == F.lit(cell[name])).drop(name)
     train = folds.filter(F.col("fold") != cell["fold"])
     test = folds.filter(F.col("fold") == cell["fold"])
     condition, classifier = cell["condition"], cell["classifier"]
@@ -159,10 +176,12 @@ def run_cell(folds: DataFrame, classes: int, params: dict, cell: dict) -> DataFr
             rows, weight = prep_class_weight(rows, [], "y"), "weight"
         settings = params.get(classifier, {})
         if condition == "balanced_random_forest":
-            model = fit_balanced_forest(rows, params.get("bags", 2), settings, cell["seed"])
+            model = fit_balanced_forest(rows, params.get("bags", BAGS), settings, cell["seed"])
+        elif classifier == "logistic_regression":
+            model = fit_logistic(rows, settings, weight)
         else:
-            fit = {"logistic_regression": fit_logistic, "random_forest": fit_forest, "xgboost": fit_boosted}[classifier]
-            model = fit(rows, settings, weight)
+            fit = {"random_forest": fit_forest, "xgboost": fit_boosted}[classifier]
+            model = fit(rows, settings, weight, cell["seed"])
         pred = fit_predict_proba(model, test)
         bundle = met_bundle(pred, ["fold"], classes).drop("fold")
         values = bundle.first()

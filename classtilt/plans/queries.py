@@ -1184,16 +1184,20 @@ def tune_select(spark, sf):
 
 @query
 def grid_run(spark, sf):
-    """Two folds, two classifiers and three conditions, one of them not applicable to numeric tables."""
+    """All folds of three seeds, each with its own split, two classifiers and three conditions (one not for numeric tables)."""
 
+    seeds = range(3)
     cells = [
-        {"dataset": "embeddings", "seed": 0, "fold": fold, "classifier": classifier, "condition": condition, "feature_type": "numeric"}
-        for fold in (0, 1)
+        {"dataset": "embeddings", "seed": seed, "fold": fold, "classifier": classifier, "condition": condition, "feature_type": "numeric"}
+        for seed in seeds
+        for fold in range(5)
         for classifier in ("logistic_regression", "random_forest")
         for condition in ("raw", "random_under", "smotenc")
     ]
     params = {"logistic_regression": {"maxIter": 10, "regParam": 0.01}, "random_forest": {"numTrees": 10}}
-    folds = _fit_rows(spark, sf).persist()
+    train = views.numeric_train(spark, sf)
+    splits = [prep.prep_kfold(train, [], "id", "y", 5, seed).withColumn("seed", F.lit(seed)) for seed in seeds]
+    folds = fit.union_all(splits).persist()
     try:
         good, bad = fit.grid_run(folds, cells, 10, params)
     finally:
