@@ -182,9 +182,12 @@ def run_cell(folds: DataFrame, classes: int, params: dict, cell: dict) -> DataFr
         else:
             fit = {"random_forest": fit_forest, "xgboost": fit_boosted}[classifier]
             model = fit(rows, settings, weight, cell["seed"])
-        pred = fit_predict_proba(model, test)
-        bundle = met_bundle(pred, ["fold"], classes).drop("fold")
-        values = bundle.first()
+        # The metrics read the predictions several times; without this each reading would run the model again.
+        pred = fit_predict_proba(model, test).persist()
+        try:
+            values = met_bundle(pred, ["fold"], classes).drop("fold").first()
+        finally:
+            pred.unpersist()
     finally:
         rows.unpersist()
     if values is None:

@@ -982,3 +982,89 @@ WITH {RECORDS}, s AS (SELECT dataset, seed, fold, classifier, list_position([{li
 r AS (SELECT *, row_number() OVER (PARTITION BY dataset, seed, fold, classifier ORDER BY score DESC NULLS LAST, trial) AS r FROM s)
 SELECT dataset, CAST(seed AS BIGINT) AS seed, CAST(fold AS BIGINT) AS fold, classifier, CAST(trial AS BIGINT) AS trial, {r6("score", "score")}
 FROM r WHERE r = 1 AND score IS NOT NULL"""
+
+# ---- sources, sinks and operators that other queries use only in part ----------------------------
+ORACLE["src_dataset"] = f"SELECT o_orderkey, o_custkey, o_orderstatus, {r6('o_totalprice', 'o_totalprice')}, o_orderdate, o_orderpriority FROM orders"
+ORACLE["src_overrides"] = """
+SELECT p_partkey AS dataset_id, unnest([p_brand, p_type]) AS "column" FROM part WHERE p_partkey % 3 <> 0"""
+ORACLE["src_manifest"] = """
+SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, count(*) AS n, max(c_name) AS last FROM customer GROUP BY 1"""
+ORACLE["snk_table"] = """
+SELECT o_orderkey, '[' || o_custkey || ',' || o_orderkey || ']' AS pair FROM orders"""
+ORACLE["snk_partitioned"] = """
+SELECT c_custkey, CAST(c_nationkey + CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 100 ELSE 0 END AS BIGINT) AS v,
+  c_mktsegment AS dataset FROM customer"""
+ORACLE["snk_union"] = f"""
+WITH {RECORDS} SELECT dataset, classifier, condition, CAST(seed AS BIGINT) AS seed, CAST(fold AS BIGINT) AS fold,
+  CASE WHEN status = 'VALID' THEN 'results' ELSE 'failures' END AS source, CASE WHEN status = 'FAILED' THEN error END AS error
+FROM records"""
+ORACLE["aud_normalise"] = f"""
+SELECT c_custkey, c_name AS text, CASE c_custkey % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS bool,
+  CASE WHEN c_custkey % 2 = 0 THEN sha256(c_name) END AS hash,
+  {r6("CASE WHEN c_custkey % 3 = 2 THEN c_custkey END", "number")},
+  CASE WHEN c_custkey % 2 = 0 THEN '2021-03-0' || (c_custkey % 9 + 1) || ' 00:00:00' END AS timestamp,
+  'a/b/' || lower(c_name) AS path FROM customer"""
+ORACLE["aud_verify_files"] = """
+WITH m AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 7 <> 0 THEN length(s_name) END AS size,
+    CASE WHEN s_suppkey % 5 <> 0 THEN sha256(s_name) END AS h,
+    CASE WHEN s_suppkey % 3 <> 0 THEN length(s_name) + s_suppkey % 2 END AS found,
+    CASE WHEN s_suppkey % 3 <> 0 THEN sha256(CASE WHEN s_suppkey % 4 = 0 THEN lower(s_name) ELSE s_name END) END AS now
+  FROM supplier)
+SELECT k AS dataset_id, 'invalid SHA-256' AS problem FROM m WHERE h IS NULL
+UNION ALL SELECT k, 'invalid byte size' FROM m WHERE size IS NULL
+UNION ALL SELECT k, 'file is missing' FROM m WHERE found IS NULL
+UNION ALL SELECT k, 'byte size does not match' FROM m WHERE found <> size
+UNION ALL SELECT k, 'SHA-256 does not match' FROM m WHERE now <> h"""
+ORACLE["aud_applicability_type"] = """
+SELECT p_partkey AS dataset_id, 'applicability feature type does not match feature_type' AS problem FROM part
+WHERE p_partkey % 4 = 3 OR p_partkey % 4 <> p_size % 3"""
+ORACLE["prep_drop_unlabelled"] = """
+SELECT o_orderkey, o_orderstatus AS status FROM orders WHERE o_orderstatus <> 'P'"""
+ORACLE["met_argmax"] = f"""
+WITH {PREDICTIONS} SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+  CAST(CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS BIGINT) AS yhat FROM predictions"""
+ORACLE["acc_table_digest"] = """
+WITH h AS (SELECT sha256('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name
+    || '","c_nationkey":' || c_nationkey || '}') AS h FROM customer),
+s AS (SELECT count(*) AS n, """ + ", ".join(
+    f"sum(CAST(CAST('0x' || substr(h, {at}, 13) AS BIGINT) AS HUGEINT)) AS s{at}" for at in (1, 14, 27, 40)
+) + """ FROM h)
+SELECT n AS rows, sha256(concat_ws(':', n, s1, s14, s27, s40)) AS digest FROM s"""
+ORACLE["acc_manifest_frozen"] = """
+WITH a AS (SELECT min(o_orderkey) AS f, max(o_orderkey) AS l, count(*) AS n FROM orders),
+b AS (SELECT min(l_orderkey) AS f, max(l_orderkey) AS l, count(*) AS n FROM lineitem)
+SELECT 'first' AS field FROM a, b WHERE a.f IS DISTINCT FROM b.f
+UNION ALL SELECT 'last' FROM a, b WHERE a.l IS DISTINCT FROM b.l
+UNION ALL SELECT 'n' FROM a, b WHERE a.n IS DISTINCT FROM b.n"""
+ORACLE["grid_resume"] = f"""
+WITH {RECORDS} SELECT dataset, classifier, condition, CAST(seed AS BIGINT) AS seed, CAST(fold AS BIGINT) AS fold FROM records
+WHERE dataset IN (SELECT dataset FROM records WHERE status <> 'VALID' AND condition = 'raw')"""
+ORACLE["fn_avg_rank"] = f"""
+WITH v AS (SELECT c_custkey, c_nationkey, floor(c_acctbal / 1000) AS v FROM customer)
+SELECT a.c_custkey, {r6("count(*) FILTER (WHERE b.v > a.v) + (count(*) FILTER (WHERE b.v = a.v) + 1) / 2", "place")}
+FROM v a JOIN v b USING (c_nationkey) GROUP BY a.c_custkey"""
+ORACLE["fn_hash_uniform"] = f"""
+SELECT o_orderkey, {r6(draw("'7'", "'draw'", "o_orderkey") + " / 4294967296", "u")} FROM orders"""
+ORACLE["fn_signed_rank_null"] = f"""
+WITH n AS (SELECT DISTINCT s_suppkey % 8 + 1 AS n FROM supplier),
+m AS (SELECT n, unnest(range(1 << n)) AS m FROM n),
+w AS (SELECT n, list_sum(list_transform(range(1, n + 1), lambda i: CASE WHEN (m >> (i - 1)) & 1 = 1 THEN i ELSE 0 END)) AS w FROM m),
+c AS (SELECT n, w, count(*) AS c FROM w GROUP BY 1, 2)
+SELECT s_suppkey, CAST(w AS BIGINT) AS w, {r6("c", "patterns")} FROM supplier JOIN c ON c.n = s_suppkey % 8 + 1"""
+
+
+def simpson(of: str, upto: str) -> str:
+    """Integral from 0 to ``upto``: the tails are checked by quadrature, not by the series that Spark sums."""
+
+    weight = "CASE WHEN i = 0 OR i = 800 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    at = f"(i * ({upto}) / 800)"
+    return f"({upto}) / 2400 * list_sum(list_transform(range(801), lambda i: {weight} * {of.format(u=at)}))"
+
+
+# With t = u * u the density has no pole at 0.
+ORACLE["fn_chi2_sf"] = f"""
+WITH r AS (SELECT s_suppkey, s_suppkey % 57 / 2 AS x, s_suppkey % 9 + 1 AS k FROM supplier)
+SELECT s_suppkey, {r6("1 - " + simpson("pow({u}, k - 1) * exp(-{u} * {u} / 2)", "sqrt(x)") + " / (pow(2, k / 2 - 1) * gamma(k / 2))", "p")} FROM r"""
+ORACLE["fn_norm_cdf"] = f"""
+WITH r AS (SELECT s_suppkey, (s_suppkey % 81 - 40) / 8 AS z FROM supplier)
+SELECT s_suppkey, {r6("0.5 + " + simpson("exp(-{u} * {u} / 2)", "z") + " / sqrt(2 * pi())", "p")} FROM r"""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from classtilt import functions as fns
 from classtilt import rules
 from classtilt.operators import accounting as acc
 from classtilt.operators import audit as aud
@@ -22,7 +24,8 @@ from classtilt.operators import train as fit
 from classtilt.operators import tune
 from classtilt.operators.knn import rs_knn
 from classtilt.plans import views
-from classtilt.sources import readers
+from classtilt.session import shared_folder
+from classtilt.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1206,3 +1209,181 @@ def grid_run(spark, sf):
     return good.select(*keys, "macro_f1_argmax", F.lit(None).cast("string").alias("error")).unionByName(
         bad.select(*keys, F.lit(None).cast("double").alias("macro_f1_argmax"), "error")
     )
+
+
+# ---- sources and sinks, read back --------------------------------------------------------------
+
+
+def _new_folder(spark) -> str:
+    return f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+
+
+@query
+def src_dataset(spark, sf):
+    return readers.src_dataset(spark, f"{sf}/orders.parquet", "o_orderpriority")
+
+
+@query
+def src_overrides(spark, sf):
+    lists = F.concat_ws(";", F.col("p_brand"), F.lit("  "), F.concat(F.lit(" "), "p_type"))
+    parts = t(spark, sf, "part").select(
+        F.col("p_partkey").alias("dataset_id"), F.when(F.col("p_partkey") % 3 != 0, lists).alias("categorical_columns")
+    )
+    return readers.src_overrides(parts)
+
+
+@query
+def src_manifest(spark, sf):
+    """One JSON object per nation, written by Spark and read back with its schema."""
+
+    folder = _new_folder(spark)
+    rows = t(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.max("c_name").alias("last"))
+    rows.repartitionByRange(8, "c_nationkey").write.option("lineSep", "\n").json(folder)
+    objects = spark.read.text(folder).select("value")
+    one = f"{folder}-objects"
+    objects.write.option("maxRecordsPerFile", 1).text(one)
+    return readers.src_manifest(spark, one, "c_nationkey int, n bigint, last string")
+
+
+@query
+def snk_table(spark, sf):
+    """CSV has no arrays: they come back as JSON text."""
+
+    folder = _new_folder(spark)
+    rows = t(spark, sf, "orders").select("o_orderkey", F.array("o_custkey", "o_orderkey").alias("pair"))
+    writers.snk_table(rows, folder, "csv")
+    return readers.src_dataset(spark, folder, "pair")
+
+
+@query
+def snk_partitioned(spark, sf):
+    """All market segments, then two of them once more with other values: the rest must stay."""
+
+    folder = _new_folder(spark)
+    rows = t(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("v"), F.col("c_mktsegment").alias("dataset"))
+    writers.snk_partitioned(rows, folder)
+    again = rows.filter(F.col("dataset").isin("BUILDING", "MACHINERY")).withColumn("v", F.col("v") + 100)
+    writers.snk_partitioned(again, folder)
+    return spark.read.parquet(folder).select("c_custkey", "v", F.col("dataset").cast("string").alias("dataset"))
+
+
+@query
+def snk_union(spark, sf):
+    root = _new_folder(spark)
+    writers.snk_partitioned(views.results(spark, sf), f"{root}/results")
+    writers.snk_partitioned(views.failures(spark, sf), f"{root}/failures")
+    return writers.snk_union(spark, root).select("dataset", "classifier", "condition", "seed", "fold", "source", "error")
+
+
+# ---- operators that other queries use only in part ---------------------------------------------
+
+
+@query
+def aud_normalise(spark, sf):
+    key, name = F.col("c_custkey"), F.col("c_name")
+    kind = key % 4
+    cells = t(spark, sf, "customer").select(
+        "c_custkey",
+        F.concat(F.lit(" \t"), name, F.lit("\n ")).alias("text"),
+        F.when(kind == 0, "TRUE").when(kind == 1, " no").when(kind == 2, "1").otherwise("maybe").alias("bool"),
+        F.when(key % 2 == 0, F.upper(F.sha2(name, 256))).otherwise(name).alias("hash"),
+        F.when(key % 3 == 0, name).when(key % 3 == 1, "NaN").otherwise(key.cast("string")).alias("number"),
+        F.when(key % 2 == 0, F.concat(F.lit("2021-03-0"), (key % 9 + 1).cast("string"))).otherwise(name).alias("timestamp"),
+        F.concat(F.lit("A\\B/"), name).alias("path"),
+    )
+    kinds = ("text", "bool", "hash", "number", "timestamp", "path")
+    read = cells.select("c_custkey", *[aud.aud_normalise(k, k).alias(k) for k in kinds])
+    return read.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query
+def aud_verify_files(spark, sf):
+    key, name = F.col("s_suppkey"), F.col("s_name")
+    suppliers = t(spark, sf, "supplier")
+    listed = suppliers.select(
+        key.alias("dataset_id"),
+        name.alias("local_path"),
+        F.when(key % 7 == 0, "many").otherwise(F.length(name).cast("string")).alias("file_size_bytes"),
+        F.when(key % 5 == 0, "none").otherwise(F.sha2(name, 256)).alias("raw_sha256"),
+    )
+    files = suppliers.filter(key % 3 != 0).select(
+        name.alias("path"),
+        (F.length(name) + (key % 2)).cast("bigint").alias("length"),
+        F.sha2(F.when(key % 4 == 0, F.lower(name)).otherwise(name), 256).alias("sha256"),
+    )
+    return aud.aud_verify_files(listed, files)
+
+
+@query
+def aud_applicability_type(spark, sf):
+    families = F.array(*[F.lit(v) for v in ("numeric", "mixed; smotenc", "categorical-only", "numeric;mixed")])
+    kinds = F.array(*[F.lit(v) for v in ("numeric", "mixed", "categorical")])
+    declared = t(spark, sf, "part").select(
+        F.col("p_partkey").alias("dataset_id"),
+        F.get(kinds, (F.col("p_size") % 3).cast("int")).alias("feature_type"),
+        F.get(families, (F.col("p_partkey") % 4).cast("int")).alias("applicable_families"),
+    )
+    return aud.aud_applicability_type(declared)
+
+
+@query
+def prep_drop_unlabelled(spark, sf):
+    rows = t(spark, sf, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("status"))
+    return prep.prep_drop_unlabelled(rows, "status")
+
+
+@query
+def met_argmax(spark, sf):
+    return scored(spark, sf).select("l_orderkey", "l_linenumber", "yhat")
+
+
+@query
+def acc_table_digest(spark, sf):
+    return acc.acc_table_digest(t(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
+
+
+@query
+def acc_manifest_frozen(spark, sf):
+    def one(table, key):
+        return t(spark, sf, table).agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count("*").alias("n"))
+
+    return acc.acc_manifest_frozen(one("orders", "o_orderkey"), one("lineitem", "l_orderkey"), ["first", "last", "n"])
+
+
+@query
+def grid_resume(spark, sf):
+    """A dataset with a failure among its raw cells is not complete."""
+
+    cells = views.records(spark, sf).select(*rules.CELL_KEYS)
+    status = F.when(F.count_if((F.col("status") != rules.VALID) & (F.col("condition") == "raw")) == 0, "complete").otherwise("open")
+    markers = views.records(spark, sf).groupBy("dataset").agg(status.alias("status"))
+    return fit.grid_resume(cells, markers)
+
+
+@query
+def fn_avg_rank(spark, sf):
+    rows = t(spark, sf, "customer").select("c_custkey", "c_nationkey", F.floor(F.col("c_acctbal") / 1000).alias("v"))
+    return rows.select("c_custkey", fns.fn_avg_rank(F.col("v"), ["c_nationkey"], True).alias("place"))
+
+
+@query
+def fn_hash_uniform(spark, sf):
+    return t(spark, sf, "orders").select("o_orderkey", fns.fn_hash_uniform(7, "draw", F.col("o_orderkey")).alias("u"))
+
+
+@query
+def fn_signed_rank_null(spark, sf):
+    rows = t(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % 8 + 1).alias("n"))
+    return rows.select("s_suppkey", F.posexplode(fns.fn_signed_rank_null(F.col("n"))).alias("w", "patterns"))
+
+
+@query
+def fn_chi2_sf(spark, sf):
+    rows = t(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % 57 / 2).alias("x"), (F.col("s_suppkey") % 9 + 1).alias("df"))
+    return rows.select("s_suppkey", fns.fn_chi2_sf(F.col("x"), F.col("df")).alias("p"))
+
+
+@query
+def fn_norm_cdf(spark, sf):
+    rows = t(spark, sf, "supplier").select("s_suppkey", ((F.col("s_suppkey") % 81 - 40) / 8).alias("z"))
+    return rows.select("s_suppkey", fns.fn_norm_cdf(F.col("z")).alias("p"))
