@@ -51,7 +51,7 @@ def _edges_below(low, high, edges, reach: int, width: float):
 def thr_fit(pred: DataFrame, keys: Sequence[str], classes: int, step: float | None = None) -> DataFrame:
     """``DF[keys, offsets, score, status, reason]``: grid of offset vectors, class 0 fixed at 0.
 
-    Best macro-F1 wins, the smallest vector on ties. On an even grid a prediction depends only on between which
+    Best macro-F1 wins; on ties the smallest sum of class number times offset, then the smallest vector. On an even grid a prediction depends only on between which
     two grid steps each ratio of two probabilities falls. Rows are first counted by those few integers, and only
     the counts meet the grid, so the work on the grid does not grow with the rows.
     """
@@ -101,7 +101,10 @@ def thr_fit(pred: DataFrame, keys: Sequence[str], classes: int, step: float | No
     for c in range(classes):
         seen = seen + F.max(F.when(F.col("y") == c, 1).otherwise(0))
     scored = hits.groupBy(*keys, "_vector").agg((score / classes).alias("score"), seen.alias("_seen"))
-    first = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 12)), F.asc("_vector"))
+    pull = F.lit(0)
+    for c in range(1, classes):
+        pull = pull + offset(c) * c
+    first = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 12)), pull.asc(), F.asc("_vector"))
     best = scored.withColumn("_r", F.row_number().over(first)).filter("_r = 1")
     whole = F.col("_seen") == classes
     offsets = F.array(*[offset(c) * F.lit(width) for c in range(classes)])

@@ -476,7 +476,7 @@ per AS (SELECT fold, o1, o2, c, CAST(sum(CASE WHEN y = c AND yhat = c THEN n ELS
   sum(CASE WHEN y = c THEN n ELSE 0 END) + sum(CASE WHEN yhat = c THEN n ELSE 0 END) AS total
   FROM n, (SELECT unnest([0, 1, 2]) AS c) GROUP BY ALL),
 f AS (SELECT fold, o1, o2, {F1_BY} AS score FROM per GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY round(score, 12) DESC, o1, o2) AS r FROM f)
+r AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY round(score, 12) DESC, o1 + 2 * o2, o1, o2) AS r FROM f)
 SELECT {FOLD}, [0.0::DOUBLE, o1, o2] AS offsets, {r6("score", "score")}, 'VALID' AS status, CAST(NULL AS VARCHAR) AS reason
 FROM r WHERE r = 1"""
 
