@@ -42,6 +42,21 @@ def test_every_cell_is_accounted(folds):
     assert good.filter("macro_average_precision is null").count() == 0
 
 
+def test_each_seed_has_its_own_split(folds):
+    """A cell sees the rows of its own dataset and seed only."""
+
+    other = folds.withColumn("seed", F.lit(1)).withColumn("fold", (F.col("fold") + F.col("id").cast("int")) % 2)
+    keyed = folds.withColumn("seed", F.lit(0)).unionByName(other).withColumn("dataset", F.lit("d"))
+    cells = [
+        {"dataset": "d", "seed": s, "fold": 0, "classifier": "random_forest", "condition": "raw", "feature_type": "numeric"} for s in (0, 1, 2)
+    ]
+    good, bad = fit.grid_run(keyed, cells, 3, {"random_forest": {"numTrees": 3}}, pool=1)
+    alone = fit.run_cell(folds, 3, {"random_forest": {"numTrees": 3}}, cells[0])
+    scores = {r["seed"]: r["multiclass_log_loss"] for r in good.collect()}
+    assert scores[0] == pytest.approx(alone["multiclass_log_loss"]) and scores[1] != pytest.approx(scores[0])
+    assert [r["seed"] for r in bad.collect()] == [2]
+
+
 def test_retry_only_for_infrastructure():
     calls = []
 
@@ -57,6 +72,10 @@ def test_resume(spark, rows):
     cells = spark.createDataFrame([("a", 1), ("b", 1)], "dataset string, fold int")
     markers = spark.createDataFrame([("a", "complete"), ("b", "partial")], "dataset string, status string")
     assert rows(fit.grid_resume(cells, markers)) == [("b", 1)]
+    stale = spark.createDataFrame([("a", "stale artifact x")], "dataset string, problem string")
+    assert rows(fit.grid_resume(cells, markers, stale=stale.limit(0))) == [("b", 1)]
+    with pytest.raises(ValueError, match="a: stale artifact x"):
+        fit.grid_resume(cells, markers, stale=stale)
 
 
 def test_trials_stay_in_their_ranges(spark):
