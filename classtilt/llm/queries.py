@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, with production parameters over whole tables, and SQL where it can say the same."""
+"""Registered queries of the thirteen operators, with production parameters over whole tables, and SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from classtilt.llm import (
     exact_dedup,
+    fill_in_middle,
     kneser_ney,
     packing,
+    phrases,
+    posting_lists,
     quality_rules,
     reply_trees,
     sentencepiece_bpe,
@@ -106,6 +109,21 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.piece_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut_texts = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"), unit="line", seed=7)
+    text = fill_in_middle.restored(F.col("output"), F.col("form"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256")]
+    return cut_texts.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_lists.ann_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -119,6 +137,9 @@ QUERIES = {
         op8_pii,
         op9_packing,
         op10_sentencepiece,
+        op11_fill_in_middle,
+        op12_phrases,
+        op13_nearest,
     )
 }
 
@@ -161,4 +182,59 @@ ORACLE = {
                sum(chars)::bigint as formatted_chars
         from e group by conv_id
     """,
+    "op11_fill_in_middle": r"""
+        with d as (
+            select doc_id, coalesce(text, '') as text, '7:' || coalesce(doc_id::varchar, '') as key from documents),
+        l as (
+            select doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') as lines,
+                   [('0x' || substr(sha256(key), 8 * i + 1, 8))::bigint for i in range(4)] as h
+            from d),
+        c as (
+            select *, len(lines) as n, least(h[1] % (len(lines) + 1), h[2] % (len(lines) + 1)) as a,
+                   greatest(h[1] % (len(lines) + 1), h[2] % (len(lines) + 1)) as b,
+                   case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>')
+                        then 'plain' when h[4] % 100 < 50 then 'spm' else 'psm' end as form
+            from l),
+        p as (
+            select doc_id, n, form, text, array_to_string(lines[1:a], '') as prefix,
+                   array_to_string(lines[a + 1:b], '') as middle, array_to_string(lines[b + 1:], '') as suffix
+            from c)
+        select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars,
+               case when form <> 'plain' then length(middle) end as middle_chars,
+               sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+               sha256(text) as restored_sha256
+        from p
+    """,
+    "op12_phrases": r"""
+        with pieces as (
+            select row_number() over () as p, lang, piece
+            from (select coalesce(lang, 'und') as lang,
+                         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents)),
+        w as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from pieces),
+        t as (select lang, sum(len(ws))::bigint as n from w group by lang),
+        f as (
+            select lang, array_to_string(ws[i:i + k - 1], ' ') as phrase, k, count(*) as a
+            from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as i
+                  from (select lang, ws, unnest([1, 2, 3, 4]) as k from w) where len(ws) >= k)
+            group by all having count(*) >= 30),
+        c as (select *, string_split(phrase, ' ') as ws from f where k > 1),
+        cuts as (
+            select c.lang, c.phrase, c.a, j, l.a as l, r.a as r, (2000000::hugeint * c.a) // (l.a + r.a) as score
+            from (select *, unnest(range(1, k)) as j from c) c
+            join f l on l.lang = c.lang and l.phrase = array_to_string(c.ws[1:c.j], ' ')
+            join f r on r.lang = c.lang and r.phrase = array_to_string(c.ws[c.j + 1:], ' ')),
+        s as (select *, row_number() over (partition by lang, phrase order by score, j) as low from cuts),
+        longer as (
+            select lang, array_to_string(ws[i:i + m - 1], ' ') as phrase, max(a) as most
+            from (select *, unnest(range(1, k - m + 2)) as i from (select *, unnest(range(2, k)) as m from c))
+            group by all),
+        kept as (
+            select s.* from s left join longer g using (lang, phrase)
+            where low = 1 and not coalesce(100 * g.most >= 80 * s.a, false))
+        select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank,
+               phrase, a, l, r, n, score::bigint as score
+        from kept join t using (lang) qualify rank <= 2000
+    """,
 }
