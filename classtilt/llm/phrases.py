@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from classtilt.llm.common import whole
@@ -90,7 +90,7 @@ def _counts(bits: int, cap: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, numbers = ["lang", "word", "slot", "n"], pa.int64()
-        pairs = np.zeros(1 << bits, np.uint16)
+        pairs = np.zeros(1 << bits, np.uint8 if cap < 256 else np.uint16)
         for lang, words, codes in _chunks(batches):
             found = np.bincount(codes[codes >= 0], minlength=len(words) - 1)
             word = pa.concat_arrays([words[1:].cast(pa.string()), pa.nulls(1, pa.string())])
@@ -100,8 +100,8 @@ def _counts(bits: int, cap: int):
                 slots = _pair_slots(_hashes(words, lang), codes, bits)
                 slot, m = np.unique(slots[slots >= 0], return_counts=True)
                 pairs[slot] = np.minimum(pairs[slot] + m, cap)
-        for low in range(0, 1 << bits, 1 << 20):
-            slot = np.flatnonzero(pairs[low : low + (1 << 20)])
+        for low in range(0, 1 << bits, 1 << 17):
+            slot = np.flatnonzero(pairs[low : low + (1 << 17)])
             none = pa.nulls(len(slot), pa.string())
             yield pa.record_batch(
                 [none, none, pa.array(slot + low, numbers), pa.array(pairs[low + slot].astype(np.int64), numbers)], names
@@ -192,29 +192,37 @@ def pack(sizes: dict, budget: int) -> dict:
     return groups
 
 
+def _marked(slots: int, found: set) -> Column:
+    """Whether column ``slot`` is one of ``found``: a byte for each slot, in a constant."""
+
+    marks = bytes(slot in found for slot in range(slots))
+    return F.substring(F.lit(marks), (F.col("slot") + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
+
+
 def _dealt(rows: DataFrame, budget: int) -> DataFrame:
     """Suffixes with the depth of the prefix that they are dealt by and its group."""
 
     spark = rows.sparkSession
     slots = 1 << max(12, (4 * rows.count() // budget).bit_length())
-    parts = []
+    parts, table = [], []
     for depth in range(1, DEPTH + 1):
         if depth == DEPTH:
             rows = rows.groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
-        keyed = rows.withColumn("slot", F.pmod(F.xxhash64("lang", *WORDS[:depth]), F.lit(slots)))
+        keyed = rows.withColumn("slot", F.pmod(F.xxhash64("lang", *WORDS[:depth]), F.lit(slots))).withColumn("depth", F.lit(depth))
         sizes = {r.slot: r["count"] for r in keyed.groupBy("slot").count().collect()}  # at most ``slots`` rows
-        heavy = {s: n for s, n in sizes.items() if n > budget} if depth < DEPTH else {}
-        groups = pack({s: n for s, n in sizes.items() if s not in heavy}, budget)
-        table = [(s, g) for s, g in groups.items()] + [(s, None) for s in heavy]
-        keyed = keyed.join(F.broadcast(spark.createDataFrame(table, "slot long, part int")), "slot").withColumn("depth", F.lit(depth))
-        parts.append(keyed.filter("part is not null").select("depth", "part", "lang", *WORDS, "n"))
+        heavy = {s for s, n in sizes.items() if n > budget} if depth < DEPTH else set()
+        table += [(depth, s, g) for s, g in pack({s: n for s, n in sizes.items() if s not in heavy}, budget).items()]
         if not heavy:
+            parts.append(keyed)
             break
-        rows = keyed.filter("part is null").select("lang", *WORDS, "n")
+        divided = _marked(slots, heavy)
+        parts.append(keyed.filter(~divided))
+        rows = keyed.filter(divided).select("lang", *WORDS, "n")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    groups = spark.createDataFrame(table, "depth int, slot long, part int")
+    return out.join(F.broadcast(groups), ["depth", "slot"]).select("depth", "part", "lang", *WORDS, "n")
 
 
 def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = 30, budget: int = 100_000) -> tuple[DataFrame, DataFrame, DataFrame]:
