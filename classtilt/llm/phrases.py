@@ -15,7 +15,7 @@ Nodes above the depth at which a prefix was divided are summed over groups.
 
 from __future__ import annotations
 
-import uuid
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from classtilt.llm.common import whole
-from classtilt.session import cut, shared_folder
+from classtilt.llm.common import stored, whole
+from classtilt.session import cut
 
 DEPTH = 4
 SCALE = 2_000_000
@@ -174,21 +174,18 @@ def _nodes(least: int):
 
 
 def pack(sizes: dict, budget: int) -> dict:
-    """First fit of the largest first: each key's group, no group over the budget but for a key that is larger itself.
+    """Best fit, the largest first: each key's group; no group is over the budget but for a key that is larger itself."""
 
-    Only the last groups are tried, so the work is the number of keys.
-    """
-
-    groups, loads = {}, []
+    groups, rooms, n = {}, [], 0  # rooms: (what is left, group), sorted
     for key, size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
-        for g in range(max(0, len(loads) - 8), len(loads)):
-            if loads[g] + size <= budget:
-                break
+        at = bisect_left(rooms, (size, -1))
+        if at < len(rooms):
+            left, groups[key] = rooms.pop(at)
         else:
-            g = len(loads)
-            loads.append(0)
-        groups[key] = g
-        loads[g] += size
+            left, groups[key] = budget, n
+            n += 1
+        if left > size:
+            insort(rooms, (left - size, groups[key]))
     return groups
 
 
@@ -244,10 +241,8 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     bitmap = np.zeros(1 << bits - 6, np.int64)  # at most 4 MB
     bitmap[block.column("block").to_numpy()] = block.column("bits").to_numpy()
     marked = spark.sparkContext.broadcast(bitmap.view(np.uint8))
-    path = f"{shared_folder(spark)}/suffixes-{uuid.uuid4().hex}"
     schema = "lang string, " + ", ".join(f"{w} string" for w in WORDS) + ", n long"
-    texts.mapInArrow(_suffixes(bits, marked), schema).write.parquet(path)
-    dealt = _dealt(spark.read.schema(schema).parquet(path), budget)
+    dealt = _dealt(stored(texts.mapInArrow(_suffixes(bits, marked), schema), "suffixes"), budget)
     nodes = dealt.groupBy("depth", "part").applyInArrow(_nodes(least), "lang string, phrase string, words int, n long")
     phrases = nodes.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     return totals, words, cut(phrases)
