@@ -12,6 +12,7 @@ prefix changes.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -36,11 +37,23 @@ def merge(symbols: Iterable[bytes], rank: Rank) -> list[bytes]:
     return parts
 
 
+def _packed(tail: bytes, places: Iterable[tuple[int, int, int]]) -> bytes:
+    flat = [x for place in places for x in place]
+    return struct.pack(f"<{len(flat)}i", *flat) + tail + len(flat).to_bytes(2, "little")
+
+
+def _unpacked(key: bytes) -> tuple[bytes, list[tuple[int, int, int]]]:
+    n = int.from_bytes(key[-2:], "little")
+    flat = struct.unpack_from(f"<{n}i", key)
+    return key[4 * n : -2], list(zip(flat[::3], flat[1::3], flat[2::3], strict=True))
+
+
 class PrefixTransducer:
     """``tokens``: bytes to id. ``split``: bytes to the symbols that merging starts from.
 
     Transitions lie in arrays, a row per state and a column per byte that has occurred, and many chunks are run side by
-    side: one step takes the next byte of all chunks that are not at their end.
+    side: one step takes the next byte of all chunks that are not at their end. When what is held exceeds ``room`` bytes
+    (``spines``, at most one entry a token, apart), it is forgotten before the next run.
     """
 
     def __init__(
@@ -49,35 +62,46 @@ class PrefixTransducer:
         rank: Rank,
         split: Callable[[bytes], Iterable[bytes]],
         counting: bool,
-        limit: int = 300_000,
+        room: int = 192 << 20,
     ):
-        self.tokens, self.rank, self.split, self.counting, self.limit = tokens, rank, split, counting, limit
+        self.tokens, self.rank, self.split, self.counting, self.room = tokens, rank, split, counting, room
         self.spelled = {i: t for t, i in tokens.items()}
         self.sizes = np.zeros(max(tokens.values()) + 1, np.int64)
         for t, i in tokens.items():
             self.sizes[i] = len(t)
         self.longer = {t[:k] for t in tokens for k in range(1, len(t))}
-        self.pairs: dict[tuple[int, int], bool] = {}
         self.spines: dict[int, tuple | None] = {}
         self.clear()
 
     def clear(self) -> None:
-        """Forget all states. What is forgotten is compiled again when it is needed."""
+        """Forget all states and pairs. What is forgotten is compiled again when it is needed."""
 
-        # A state: its tail, and (offset in the tail, last token there, relative count) of the places that matter.
-        start = (b"", ((0, START, 0),))
+        # A state: its tail, and (offset in the tail, last token there, relative count) of the places that matter, packed.
+        start = _packed(b"", [(0, START, 0)])
         self.keys, self.states = [start], {start: 0}
+        self.pairs: dict[tuple[int, int], bool] = {}
         self.width = 64
         self.column = np.full(256, -1, np.int32)
         self.hops = np.full(4096 * self.width, -1, np.int32)
         self.last = np.full(4096, NONE, np.int32)
 
+    def held(self) -> int:
+        """About the bytes that states and pairs take: the table, and what Python needs for a key and for a pair."""
+
+        return self.hops.nbytes + 250 * len(self.keys) + 200 * len(self.pairs)
+
     def _grow(self, rows: int, width: int) -> None:
-        hops = np.full((rows, width), -1, np.int32)
-        hops[: len(self.last), : self.width] = self.hops.reshape(-1, self.width)
+        if width == self.width:  # rows are added in place
+            old = len(self.hops)
+            self.hops.resize(rows * width, refcheck=False)
+            self.hops[old:] = -1
+        else:
+            hops = np.full(rows * width, -1, np.int32)
+            hops.reshape(rows, width)[: len(self.last), : self.width] = self.hops.reshape(-1, self.width)
+            self.hops, self.width = hops, width
         last = np.full(rows, NONE, np.int32)
         last[: len(self.last)] = self.last
-        self.hops, self.last, self.width = hops.reshape(-1), last, width
+        self.last = last
 
     def spines_of(self, token: int) -> tuple[list[tuple[bytes, float]], list[tuple[bytes, float]]] | None:
         """How the token's left and right edges grow while its bytes are merged: (part at the edge, rank that made it).
@@ -164,7 +188,7 @@ class PrefixTransducer:
     def compile(self, state: int, byte: int) -> None:
         """Fill in the transition of a state on a byte: the next state and the change of the token count."""
 
-        old_tail, places = self.keys[state]
+        old_tail, places = _unpacked(self.keys[state])
         text = old_tail + bytes((byte,))
         last, count, kept = NONE, 0, []
         for place in places:
@@ -181,13 +205,13 @@ class PrefixTransducer:
         kept = [(at - cut_at, token, n - back) for at, token, n in kept]
         if last != NONE:
             kept.append((len(text) - cut_at, last, 0))
-        key = (text[cut_at:], tuple(kept))
+        key = _packed(text[cut_at:], kept)
         found = self.states.get(key)
         if found is None:
             found = self.states[key] = len(self.keys)
             self.keys.append(key)
             if found >= len(self.last):
-                self._grow(2 * len(self.last), self.width)
+                self._grow(len(self.last) * 5 // 4, self.width)
             self.last[found] = last
         change = count if self.counting else 0
         self.hops[state * self.width + self.column[byte]] = found << 8 | change + 128
@@ -205,7 +229,7 @@ class PrefixTransducer:
         ``lasts`` gets the last token of every prefix, at the prefix's last byte.
         """
 
-        if len(self.keys) > self.limit:
+        if self.held() > self.room:
             self.clear()
         present = np.bincount(data, minlength=256) > 0
         if closing is not None:
