@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from classtilt.llm.common import SPACE_RUN, whole
+from classtilt.llm.common import SPACE_RUN, fresh, whole
 from classtilt.session import cut
 
 DECISION = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
@@ -102,10 +102,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     norm = F.regexp_replace(whole(F.col(text_col)), SPACE_RUN, " ")
     winners, collided = _winners(_keyed(docs, id_col, text_col, sha256_hex), salts)
-    winners = winners.select("*", F.struct("_digest", "_keep").alias("_stays"))
-    rows = docs.withColumn("_key_", F.struct(sha256_hex(norm).alias("_digest"), F.col(id_col).alias("_keep")))
-    match = rows["_key_"] == winners["_stays"]
+    stays, key = fresh(docs, "_stays_"), fresh(docs, "_key_")
+    winners = winners.select("*", F.struct("_digest", "_keep").alias(stays))
+    rows = docs.withColumn(key, F.struct(sha256_hex(norm).alias("_digest"), F.col(id_col).alias("_keep")))
+    match = rows[key] == winners[stays]
     if collided:
         match &= winners["_text"].isNull() | (winners["_text"] == norm)
     kept = rows.join(winners, match, "left_semi")
-    return kept.dropDuplicates(["_key_"]).drop("_key_")
+    return kept.dropDuplicates([key]).drop(key)

@@ -250,29 +250,3 @@ def _rooted(distinct: DataFrame, radius: int, tile: int) -> DataFrame:
     return distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
-
-
-def drop_near_copies(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = 3,
-    radius: int = 3,
-    tile: int = 4096,
-) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: of each component the row with its smallest id.
-
-    Of rows that repeat that id, or of a component without any id, the row with the least hash of its text stays; rows
-    that share id and text are one row. So every component leaves one row, whatever its ids are.
-    """
-
-    prints = _prints(docs, id_col, text_col, width)
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
-    rooted = _rooted(prints.groupBy("fp").agg(F.min(order).alias("least")), radius, tile)
-    stays = rooted.groupBy("root").agg(F.min("least").alias("least"))
-    stays = stays.select(F.struct(F.col("least.doc_id").alias("id"), F.col("least.mark").alias("mark")).alias("_stay"))
-    # In a struct null ids match each other, and repeated rows are found where the join has dealt them.
-    key = F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("mark"))
-    rows = docs.withColumn("_key_", key)
-    kept = rows.join(stays, rows["_key_"] == stays["_stay"], "left_semi")
-    return kept.dropDuplicates(["_key_"]).drop("_key_")
