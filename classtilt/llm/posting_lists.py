@@ -103,9 +103,9 @@ class CentroidGraph:
             open_gaps = np.where(done[live], np.inf, own)
             nearest = open_gaps.argmin(axis=1)
             at = open_gaps[np.arange(len(live)), nearest]
-            bound = reach * own.min(axis=1)
+            bound = np.full(len(live), np.inf)
             if k > beam:
-                bound = np.maximum(bound, np.partition(own, beam - 1, axis=1)[:, beam - 1])
+                bound = np.maximum(reach * own.min(axis=1), np.partition(own, beam - 1, axis=1)[:, beam - 1])
             going = np.isfinite(at) & (at <= bound)
             live, nearest = live[going], nearest[going]
             done[live, nearest] = True

@@ -97,7 +97,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    replaced = surrogates.replace_entities(table(spark, sf_dir, "documents"))
+    replaced = surrogates.replace_entities(table(spark, sf_dir, "documents"), surrogates.surrogate_key(spark))
     return replaced.select("doc_id", "text", "n_entities")
 
 

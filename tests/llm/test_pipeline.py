@@ -5,11 +5,13 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from classtilt.llm import quality_rules, surrogates
-from tests.llm.test_operators import brute_classes, brute_print, normal
+from tests.llm.test_near_copies import brute_kept
+from tests.llm.test_operators import DOCS, ODD, normal
 from tools.check import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -31,8 +33,7 @@ def test_stages(spark, tmp_path):
     for r in kept[0]:
         least[normal(r.text)] = min(least.get(normal(r.text), r.doc_id), r.doc_id)
     assert sorted(r.doc_id for r in kept[1]) == sorted(least.values())
-    ids = [r.doc_id for r in kept[1]]
-    assert {r.doc_id for r in kept[2]} == set(brute_classes([brute_print(r.text) for r in kept[1]], ids))
+    assert {r.doc_id for r in kept[2]} == brute_kept([(r.doc_id, r.text) for r in kept[1]])
     old = {r.doc_id: r.text for r in kept[2]}
     assert {r.doc_id for r in kept[3]} == set(old)
     for r in kept[3]:
@@ -42,7 +43,7 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in kept[4]} == set(old)
 
 
-@pytest.mark.parametrize("name", ["op2_exact_dedup", "op4_url_filters", "op6_chat_format"])
+@pytest.mark.parametrize("name", ["op2_exact_dedup", "op4_url_filters", "op6_chat_format", "op11_fill_in_middle", "op12_phrases"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -56,7 +57,7 @@ def test_query_equals_sql(spark, name):
 
 def test_registered():
     numbers = sorted(int(m[1]) for n in entry.queries() if (m := re.match(r"op(\d+)_", n)))
-    assert numbers == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("name", ["op3_quality_rules", "op4_url_filters"])
@@ -67,3 +68,22 @@ def test_native_plans(spark, name):
 
 def test_digest_is_of_the_normal_text():
     assert hashlib.sha256(normal(" a\n\tb").encode()).hexdigest() == hashlib.sha256(b" a b").hexdigest()
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeats, names that stages use inside; and an empty table."""
+
+    clash = {c: F.lit("x") for c in ("_key_", "_stays_", "_c0", "n_words", "n_entities", "kept")}
+    rows = [(i, t, None, None, None) for i, t in enumerate(ODD)] + [(3, "a", "en", "s", 1), (None, None, None, None, None)]
+    clean = " ".join(f"word{i}" for i in range(40))
+    rows += [(100, clean, "en", "s", 1), (100, clean, "en", "s", 1), (101, clean.replace(" ", "  "), "en", "s", 1)]
+    for name, docs in (("odd", spark.createDataFrame(rows, DOCS)), ("none", spark.createDataFrame([], DOCS))):
+        docs, kept = docs.withColumns(clash), []
+        for stage_name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            assert stage_name == "packing" or out.columns == docs.columns
+            out.write.parquet(f"{tmp_path}/{name}/{stage_name}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}/{stage_name}")
+            kept.append(docs.collect())
+        assert (name == "none") == (not kept[-1])
+        assert [r.doc_id for r in kept[3] if r.text == clean] == ([] if name == "none" else [100])
