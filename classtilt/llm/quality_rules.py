@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from classtilt.llm.common import SPACES, stored, whole, words_of
+from classtilt.llm.common import SPACES, whole, words_of
 from classtilt.session import cut
 
 WINDOW = 5
@@ -194,11 +194,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def filter_quality(docs: DataFrame, text_col: str = "text", rounds: int = 50) -> DataFrame:
     """The rows of ``docs`` that :func:`quality_rules` keeps, unchanged.
 
-    Features are computed once and written beside the rows below the shared folder; nothing is shuffled.
+    Features are computed once and checkpointed beside the rows; nothing is shuffled.
     """
 
-    names = {c: f"_c{i}" for i, (c, kind) in enumerate(docs.dtypes) if kind != "void"}
-    rows = _features(docs, text_col, [F.col(f"`{c}`").alias(name) for c, name in names.items()])
-    rows = stored(rows.drop("_tick"), "features")
-    kept = _judged(rows, rows, rounds).filter("kept")
-    return kept.select(*[F.col(names[c]).alias(c) if c in names else F.lit(None).alias(c) for c in docs.columns])
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    rows = cut(_features(docs, text_col, [F.col(f"`{c}`").alias(name) for c, name in names.items()]).drop("_tick"))
+    return _judged(rows, rows, rounds).filter("kept").select(*[F.col(name).alias(c) for c, name in names.items()])
