@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from classtilt import rules
+from classtilt.functions.distributions import fn_norm_cdf
 
 CONTRAST = ["left_condition", "right_condition", "classifier"]
 
@@ -75,14 +79,18 @@ def st_contrast_table(contrasts: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def st_posterior(
-    blocks: DataFrame, mu_steps: int = 120, scale_steps: int = 16, rho_steps: int = 9, folds: int = 5, width: float = 8.0
+    blocks: DataFrame, tau_steps: int = 64, sigma_steps: int = 32, rho_steps: int = 40, folds: int = 5, bins: int = 50
 ) -> DataFrame:
-    """Grid posterior of the mean difference: ``DF[contrast, n, mu, weight]``, weights sum to 1 per contrast.
-
-    The likelihood of a dataset depends only on the mean of its differences and their sum of squares around it,
-    and those enter through four sums per contrast. A contrast is therefore one row before the grid is unfolded,
-    however many records it has. Scales are spaced relative to the spread seen in the data and weighted by the
-    priors; the mass at the two ends of ``mu`` tells whether the range was wide enough.
+    """Posterior of the mean difference as a mixture of normals: ``DF[contrast, n, i_v, mean, var, weight, edge_tau, edge_sigma]``.
+
+    Priors: mu normal(0, 0.5), tau half-normal(0.5), sigma half-normal(0.25), rho beta(2, 2). A dataset's likelihood depends
+    only on the mean of its differences and their sum of squares around it, and those enter through four sums, so a
+    contrast is one row before nodes are unfolded. Given the other three, mu is integrated in closed form. They are integrated
+    over their whole support by the trapezoid rule: rho on the logit scale; the logarithms of tau and of
+    ``sigma^2 (1 - rho)`` as centre + a sinh(t), which is dense around what the data say and reaches 30 e-folds to
+    either side. mu given the nodes depends on the variance v of a dataset's mean only; nodes are merged, moments kept, where
+    v is within 1 / ``bins`` of a natural logarithm. ``edge_tau`` and ``edge_sigma`` are the mass of a bin's outermost
+    nodes: near 0 unless support is cut, or unless the folds of every dataset agree exactly, when sigma's mass is at 0.
     """
 
     per_dataset = blocks.groupBy(*CONTRAST, "dataset").agg(F.avg("delta").alias("m"), (F.var_pop("delta") * folds).alias("w"))
@@ -95,59 +103,79 @@ def st_posterior(
             F.sum("w").alias("within"),
         )
         .filter(F.col("n") >= rules.MIN_BLOCKS)
-        .withColumn("sd_m", F.greatest(F.sqrt(F.col("between") / (F.col("n") - 1)), F.lit(1e-6)))
-        .withColumn("sd_w", F.greatest(F.sqrt(F.col("within") / (F.col("n") * (folds - 1))), F.lit(1e-6)))
+        .withColumn("a", F.sqrt(F.lit(2.0) / F.col("n")))
+        .withColumn("reach", F.asinh(F.lit(30.0) / F.col("a")))
+        .withColumn("ln_tau", F.ln(F.greatest(F.sqrt(F.col("between") / F.col("n")), F.lit(1e-6))))
+        .withColumn("ln_s", F.ln(F.greatest(F.col("within") / (F.col("n") * (folds - 1)), F.lit(1e-12))))
     )
-    step = lambda name, n: F.explode(F.sequence(F.lit(1), F.lit(n))).alias(name)
-    scales = (
-        sums.select("*", step("i_tau", scale_steps))
-        .select("*", step("i_sigma", scale_steps))
+    step = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n))).alias(name)
+    at = lambda i, n: F.col("reach") * (F.col(i) * (2.0 / n) - 1.0)
+    nodes = (
+        sums.select("*", step("i_tau", tau_steps))
+        .select("*", step("i_sigma", sigma_steps))
         .select("*", step("i_rho", rho_steps))
-        .withColumn("tau", F.col("sd_m") * (F.col("i_tau") - 0.5) * (4.0 / scale_steps))
-        .withColumn("sigma", F.col("sd_w") * (F.lit(0.4) + (F.col("i_sigma") - 0.5) * (2.6 / scale_steps)))
-        .withColumn("rho", (F.col("i_rho") - 0.5) / float(rho_steps))
-        .withColumn(
-            "v", F.col("tau") * F.col("tau") + F.col("sigma") * F.col("sigma") * (1 + F.col("rho") * (folds - 1)) / float(folds)
-        )
-        .withColumn("s", F.col("sigma") * F.col("sigma") * (1 - F.col("rho")))
+        .withColumn("t_tau", at("i_tau", tau_steps))
+        .withColumn("t_s", at("i_sigma", sigma_steps))
+        .withColumn("tau2", F.exp((F.col("ln_tau") + F.col("a") * F.sinh("t_tau")) * 2.0))
+        .withColumn("s", F.exp(F.col("ln_s") + F.col("a") * F.sinh("t_s")))
+        .withColumn("rho", F.lit(1.0) / (F.exp(F.lit(9.0) - F.col("i_rho") * (18.0 / rho_steps)) + 1.0))
+        .withColumn("sigma2", F.col("s") / (F.lit(1.0) - F.col("rho")))
+        .withColumn("v", F.col("tau2") + F.col("sigma2") * (F.col("rho") * (folds - 1) + 1.0) / float(folds))
+        .withColumn("gap", F.col("v") / F.col("n") + 0.25)  # variance of the centre with mu integrated
         .withColumn(
-            "fixed",
-            F.col("n") * -0.5 * F.ln("v")
+            "l",
+            (F.col("n") - 1) * -0.5 * F.ln("v")
+            - F.col("between") * 0.5 / F.col("v")
+            - F.ln("gap") * 0.5
+            - F.col("centre") * F.col("centre") * 0.5 / F.col("gap")
             - F.col("n") * (folds - 1) * 0.5 * F.ln("s")
             - F.col("within") * 0.5 / F.col("s")
-            - F.col("between") * 0.5 / F.col("v")
-            - F.col("tau") * F.col("tau") / (2 * 0.5**2)
-            - F.col("sigma") * F.col("sigma") / (2 * 0.25**2)
-            + F.ln("rho")
-            + F.ln(F.lit(1.0) - F.col("rho")),
+            - F.col("tau2") / (2 * 0.5**2)
+            - F.col("sigma2") / (2 * 0.25**2)
+            + (F.ln("rho") + F.ln(F.lit(1.0) - F.col("rho"))) * 2.0  # prior, and the logit's slope
+            + (F.ln("tau2") + F.ln("sigma2")) * 0.5  # the logarithms' slopes
+            + F.ln(F.cosh("t_tau"))
+            + F.ln(F.cosh("t_s")),
         )
-        .select(*CONTRAST, "n", "centre", "sd_m", "v", "fixed")
+        .withColumn("i_v", F.floor(F.ln("v") * bins).cast("int"))
+        .withColumn("mean", F.col("centre") * 0.25 / F.col("gap"))
+        .withColumn("var", F.col("v") / F.col("n") * 0.25 / F.col("gap"))
     )
-    top = scales.groupBy(*CONTRAST).agg(F.max("fixed").alias("top"))
-    points = (
-        scales.join(top, CONTRAST)
-        .filter(F.col("fixed") > F.col("top") - 60.0)
-        .select("*", F.explode(F.sequence(F.lit(-mu_steps), F.lit(mu_steps))).alias("i_mu"))
-        .withColumn("mu", F.col("centre") + F.col("sd_m") / F.sqrt("n") * (F.col("i_mu") * (width / mu_steps)))
+    binned = [*CONTRAST, "n", "i_v"]
+    local = nodes.withColumn("e", F.exp(F.col("l") - F.max("l").over(Window.partitionBy(*CONTRAST, "i_v"))))
+    outer = lambda i, n: F.sum(F.when(F.col(i).isin(0, n), F.col("e")).otherwise(0.0))
+    parts = local.groupBy(*binned).agg(
+        F.max("l").alias("top"),
+        F.sum("e").alias("e"),
+        F.sum(F.col("e") * F.col("mean")).alias("m1"),
+        F.sum(F.col("e") * (F.col("var") + F.col("mean") * F.col("mean"))).alias("m2"),
+        outer("i_tau", tau_steps).alias("tau_e"),
+        outer("i_sigma", sigma_steps).alias("sigma_e"),
     )
-    gap = F.col("mu") - F.col("centre")
-    density = F.exp(
-        F.col("fixed") - F.col("top") - F.col("n") * 0.5 * gap * gap / F.col("v") - F.col("mu") * F.col("mu") / (2 * 0.5**2)
+    of = Window.partitionBy(*CONTRAST)
+    parts = parts.withColumn("scale", F.exp(F.col("top") - F.max("top").over(of)))
+    whole = F.sum(F.col("e") * F.col("scale")).over(of)
+    mean = F.col("m1") / F.col("e")
+    return parts.select(
+        *binned,
+        mean.alias("mean"),
+        (F.col("m2") / F.col("e") - mean * mean).alias("var"),
+        (F.col("e") * F.col("scale") / whole).alias("weight"),
+        (F.col("tau_e") * F.col("scale") / whole).alias("edge_tau"),
+        (F.col("sigma_e") * F.col("scale") / whole).alias("edge_sigma"),
     )
-    marginal = points.groupBy(*CONTRAST, "n", "i_mu", "mu").agg(F.sum(density).alias("d"))
-    whole = F.sum("d").over(Window.partitionBy(*CONTRAST))
-    return marginal.select(*CONTRAST, "n", "i_mu", "mu", (F.col("d") / whole).alias("weight"))
 
 
 def st_rope(post: DataFrame, low: float = rules.ROPE[0], high: float = rules.ROPE[1]) -> DataFrame:
     """Posterior mass below, inside and above the region; the first largest names the category."""
 
-    inside = (F.col("mu") >= low) & (F.col("mu") <= high)
-    part = lambda c: F.coalesce(F.sum(F.when(c, F.col("weight"))), F.lit(0.0))
+    sd = F.sqrt(F.greatest("var", F.lit(1e-300)))
+    below = fn_norm_cdf((F.lit(low) - F.col("mean")) / sd)
+    above = fn_norm_cdf((F.col("mean") - F.lit(high)) / sd)
     masses = post.groupBy(*CONTRAST).agg(
-        part(F.col("mu") < low).alias("p_practically_worse"),
-        part(inside).alias("p_practically_equivalent"),
-        part(F.col("mu") > high).alias("p_practically_better"),
+        F.sum(below * F.col("weight")).alias("p_practically_worse"),
+        F.sum((F.lit(1.0) - below - above) * F.col("weight")).alias("p_practically_equivalent"),
+        F.sum(above * F.col("weight")).alias("p_practically_better"),
     )
     w, e, b = (F.col(f"p_practically_{k}") for k in ("worse", "equivalent", "better"))
     category = (
@@ -158,18 +186,31 @@ def st_rope(post: DataFrame, low: float = rules.ROPE[0], high: float = rules.ROP
     return masses.withColumn("posterior_category", category)
 
 
+def _roots(frame: pd.DataFrame) -> pd.DataFrame:
+    """One contrast's quantiles by bisection on the mixture's distribution function."""
+
+    mean, sd, weight = frame["mean"].to_numpy(), np.sqrt(frame["var"].to_numpy()), frame["weight"].to_numpy()
+    used = weight > 0
+    mean, sd, weight = mean[used], sd[used], weight[used]
+    out = {c: [frame[c].iloc[0]] for c in CONTRAST}
+    out["posterior_mean_mu"] = [float((mean * weight).sum())]
+    for name, q in (("posterior_median_mu", 0.5), ("credible_low", 0.025), ("credible_high", 0.975)):
+        low, high = float((mean - 40 * sd).min()), float((mean + 40 * sd).max())
+        while high - low > 1e-13 * max(1.0, abs(low)):
+            x = (low + high) / 2
+            upto = sum(w * 0.5 * math.erfc(z) for w, z in zip(weight, (mean - x) / (sd * math.sqrt(2)), strict=True))
+            low, high = (low, x) if upto >= q else (x, high)
+        out[name] = [(low + high) / 2]
+    return pd.DataFrame(out | {c: [float(frame[c].sum())] for c in ("edge_tau", "edge_sigma")})
+
+
 def st_credible(post: DataFrame) -> DataFrame:
-    """Posterior mean, median, 2.5 % and 97.5 % points and the mass at the two ends of the grid."""
+    """Posterior mean, median, 2.5 % and 97.5 % points, and the mass at the ends of tau's and sigma's nodes.
 
-    running = Window.partitionBy(*CONTRAST).orderBy("mu").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = post.withColumn("_c", F.sum("weight").over(running)).withColumn(
-        "_end", F.max(F.abs("i_mu")).over(Window.partitionBy(*CONTRAST))
-    )
-    at = lambda q: F.min(F.when(F.col("_c") >= q, F.col("mu")))
-    return upto.groupBy(*CONTRAST).agg(
-        F.sum(F.col("mu") * F.col("weight")).alias("posterior_mean_mu"),
-        at(0.5).alias("posterior_median_mu"),
-        at(0.025).alias("credible_low"),
-        at(0.975).alias("credible_high"),
-        F.sum(F.when(F.abs("i_mu") == F.col("_end"), F.col("weight"))).alias("edge_mass"),
-    )
+    A contrast is a bounded group: its bins, some thousands at most.
+    """
+
+    points = ("posterior_mean_mu", "posterior_median_mu", "credible_low", "credible_high", "edge_tau", "edge_sigma")
+    schema = ", ".join([f"{c} string" for c in CONTRAST] + [f"{c} double" for c in points])
+    needed = post.select(*CONTRAST, "mean", "var", "weight", "edge_tau", "edge_sigma")
+    return needed.groupBy(*CONTRAST).applyInPandas(_roots, schema)

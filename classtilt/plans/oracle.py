@@ -916,28 +916,43 @@ FROM contrasts LEFT JOIN k USING ({CKEYS})"""
 POSTERIOR = f"""{CONTRASTS},
 pd AS (SELECT {CKEYS}, dataset, avg(delta) AS m, var_pop(delta) * 5 AS w FROM cb GROUP BY ALL),
 ps AS (SELECT {CKEYS}, count(*) AS n, avg(m) AS centre, var_pop(m) * count(*) AS between_ss, sum(w) AS within_ss FROM pd GROUP BY ALL HAVING count(*) >= 3),
-pz AS (SELECT *, greatest(sqrt(between_ss / (n - 1)), 1e-6) AS sd_m, greatest(sqrt(within_ss / (n * 4)), 1e-6) AS sd_w FROM ps),
-pg AS (SELECT pz.*, sd_m * (a - 0.5::DOUBLE) * 0.5::DOUBLE AS tau, sd_w * (0.4::DOUBLE + (b - 0.5::DOUBLE) * (2.6::DOUBLE / 8)) AS sigma,
-  (c - 0.5::DOUBLE) / 5 AS rho FROM pz, (SELECT unnest(range(1, 9)) AS a), (SELECT unnest(range(1, 9)) AS b), (SELECT unnest(range(1, 6)) AS c)),
-pv AS (SELECT *, tau * tau + sigma * sigma * (1 + rho * 4) / 5 AS v, sigma * sigma * (1 - rho) AS s FROM pg),
-pm AS (SELECT *, centre + sd_m / sqrt(n) * (i * 0.2::DOUBLE) AS mu FROM pv, (SELECT unnest(range(-40, 41)) AS i)),
-pl AS (SELECT *, -0.5 * n * ln(v) - 2 * n * ln(s) - 0.5 * within_ss / s - 0.5 * (between_ss + n * (mu - centre) * (mu - centre)) / v
-  - mu * mu / 0.5 - tau * tau / 0.5 - sigma * sigma / 0.125 + ln(rho) + ln(1 - rho) AS l FROM pm),
-pt AS (SELECT {CKEYS}, max(l) AS top FROM pl GROUP BY ALL),
-pw AS (SELECT {CKEYS}, n, i, mu, sum(exp(l - top)) AS d FROM pl JOIN pt USING ({CKEYS}) GROUP BY ALL),
-post AS (SELECT *, d / sum(d) OVER (PARTITION BY {CKEYS}) AS weight FROM pw)"""
-ORACLE["st_posterior"] = f"WITH {POSTERIOR} SELECT {CKEYS}, n, i AS i_mu, {r6('weight', 'weight')} FROM post"
+pz AS (SELECT *, sqrt(2.0::DOUBLE / n) AS a, asinh(30.0::DOUBLE / sqrt(2.0::DOUBLE / n)) AS reach,
+  ln(greatest(sqrt(between_ss / n), 1e-6)) AS ln_tau, ln(greatest(within_ss / (n * 4), 1e-12)) AS ln_s FROM ps),
+pg AS (SELECT pz.*, i, j, reach * (i * (2.0::DOUBLE / 64) - 1) AS t_tau, reach * (j * (2.0::DOUBLE / 32) - 1) AS t_s,
+  1.0::DOUBLE / (exp(9.0::DOUBLE - k * (18.0::DOUBLE / 40)) + 1) AS rho
+  FROM pz, (SELECT unnest(range(65)) AS i), (SELECT unnest(range(33)) AS j), (SELECT unnest(range(41)) AS k)),
+pu AS (SELECT *, exp((ln_tau + a * sinh(t_tau)) * 2) AS tau2, exp(ln_s + a * sinh(t_s)) AS s FROM pg),
+pv AS (SELECT *, s / (1 - rho) AS sigma2, tau2 + s / (1 - rho) * (rho * 4 + 1) / 5 AS v FROM pu),
+pl AS (SELECT *, centre * 0.25::DOUBLE / (v / n + 0.25::DOUBLE) AS mu1, v / n * 0.25::DOUBLE / (v / n + 0.25::DOUBLE) AS var1, CAST(floor(ln(v) * 50) AS BIGINT) AS i_v,
+  -0.5::DOUBLE * (n - 1) * ln(v) - 0.5::DOUBLE * between_ss / v - 0.5::DOUBLE * ln(v / n + 0.25::DOUBLE)
+  - 0.5::DOUBLE * centre * centre / (v / n + 0.25::DOUBLE) - 2.0::DOUBLE * n * ln(s) - 0.5::DOUBLE * within_ss / s - tau2 / 0.5::DOUBLE
+  - sigma2 / 0.125::DOUBLE + 2 * (ln(rho) + ln(1 - rho)) + 0.5::DOUBLE * (ln(tau2) + ln(sigma2)) + ln(cosh(t_tau)) + ln(cosh(t_s)) AS l FROM pv),
+pe AS (SELECT *, exp(l - max(l) OVER (PARTITION BY {CKEYS}, i_v)) AS e FROM pl),
+pw AS (SELECT {CKEYS}, n, i_v, max(l) AS top, sum(e) AS e, sum(e * mu1) / sum(e) AS mean,
+  sum(e * (var1 + mu1 * mu1)) / sum(e) - (sum(e * mu1) / sum(e)) * (sum(e * mu1) / sum(e)) AS var,
+  coalesce(sum(e) FILTER (i IN (0, 64)), 0) AS tau_e, coalesce(sum(e) FILTER (j IN (0, 32)), 0) AS sigma_e FROM pe GROUP BY ALL),
+px AS (SELECT *, exp(top - max(top) OVER (PARTITION BY {CKEYS})) AS scale FROM pw),
+post AS (SELECT *, e * scale / sum(e * scale) OVER (PARTITION BY {CKEYS}) AS weight, tau_e * scale / sum(e * scale) OVER (PARTITION BY {CKEYS}) AS edge_tau,
+  sigma_e * scale / sum(e * scale) OVER (PARTITION BY {CKEYS}) AS edge_sigma FROM px)"""
+ORACLE["st_posterior"] = f"""WITH {POSTERIOR} SELECT {CKEYS}, n, i_v, {r6("mean", "mean")}, {r6("var", "var")}, {r6("weight", "weight")},
+  {r6("edge_tau", "edge_tau")}, {r6("edge_sigma", "edge_sigma")} FROM post"""
+
+
+def upper_tail(z: str) -> str:
+    """P(standard normal > z) in SQL: a Taylor series about 0 up to 7 deviations."""
+
+    series = f"""list_sum(list_transform(range(120), lambda k: exp((2 * k + 1) * ln(greatest(abs({z}), 1e-300)) - (k + 1) * ln(2)
+      - lgamma(k + 1.5) + 0.5::DOUBLE * ln(pi()))))"""
+    return f"CASE WHEN {z} > 7 THEN 0 WHEN {z} < -7 THEN 1 ELSE 0.5::DOUBLE - sign({z}) * exp(-0.5::DOUBLE * {z} * {z}) / sqrt(2 * pi()) * {series} END"
+
+
 ORACLE["st_rope"] = f"""
-WITH {POSTERIOR}, m AS (SELECT {CKEYS}, coalesce(sum(weight) FILTER (mu < -0.01), 0) AS w,
-  coalesce(sum(weight) FILTER (mu BETWEEN -0.01 AND 0.01), 0) AS e, coalesce(sum(weight) FILTER (mu > 0.01), 0) AS b FROM post GROUP BY ALL)
+WITH {POSTERIOR}, z AS (SELECT {CKEYS}, weight, (mean + 0.01::DOUBLE) / sqrt(var) AS z1, (0.01::DOUBLE - mean) / sqrt(var) AS z2 FROM post WHERE weight > 1e-12),
+m AS (SELECT {CKEYS}, sum(weight * ({upper_tail("z1")})) AS w, sum(weight * ({upper_tail("z2")})) AS b, sum(weight) AS total FROM z GROUP BY ALL),
+q AS (SELECT *, total - w - b AS e FROM m)
 SELECT {CKEYS}, {r6("w", "p_practically_worse")}, {r6("e", "p_practically_equivalent")}, {r6("b", "p_practically_better")},
   CASE WHEN w >= e AND w >= b THEN 'practically_worse' WHEN e >= b THEN 'practically_equivalent' ELSE 'practically_better' END AS posterior_category
-FROM m"""
-ORACLE["st_credible"] = f"""
-WITH {POSTERIOR}, c AS (SELECT *, sum(weight) OVER (PARTITION BY {CKEYS} ORDER BY mu ROWS UNBOUNDED PRECEDING) AS c FROM post)
-SELECT {CKEYS}, {r6("sum(mu * weight)", "posterior_mean_mu")}, {r6("min(mu) FILTER (c >= 0.5)", "posterior_median_mu")},
-  {r6("min(mu) FILTER (c >= 0.025)", "credible_low")}, {r6("min(mu) FILTER (c >= 0.975)", "credible_high")},
-  {r6("sum(weight) FILTER (abs(i) = 40)", "edge_mass")} FROM c GROUP BY {CKEYS}"""
+FROM q"""
 
 # ---- text and provenance -----------------------------------------------------------------------
 EMAIL, REVISION, LOCAL = (p.replace("'", "''") for p in (rules.EMAIL, rules.REVISION, rules.LOCAL_PATH))

@@ -1031,12 +1031,12 @@ def st_contrast_table(spark, sf):
 
 
 def posterior(spark, sf):
-    return con.st_posterior(contrast_blocks(spark, sf)[1], mu_steps=40, scale_steps=8, rho_steps=5)
+    return con.st_posterior(contrast_blocks(spark, sf)[1])
 
 
 @query
 def st_posterior(spark, sf):
-    return posterior(spark, sf).drop("mu")
+    return posterior(spark, sf)
 
 
 @query
