@@ -626,6 +626,18 @@ def thr_fit(spark, sf):
     return thr.thr_fit(views.predictions(spark, sf), ["fold"], 3)
 
 
+@query
+def thr_fit_ten_classes(spark, sf):
+    """Ten classes: the squares of a vector's first ten components as their shares, its id's last digit as the true one."""
+
+    rows = t(spark, sf, "embeddings").filter("embedding is not null")
+    squares = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * x.cast("double"))
+    total = F.aggregate("q", F.lit(0.0), lambda a, x: a + x)
+    rows = rows.select((F.col("vec_id") % 10).alias("y"), squares.alias("q"))
+    pred = rows.withColumn("p", F.transform("q", lambda x: F.try_divide(x, total))).withColumn("part", F.lit(0))
+    return thr.thr_fit(pred.select("part", "y", "p"), ["part"], 10)
+
+
 @query
 def met_cost(spark, sf):
     """Line items as timings: finished lines are fits, open ones predictions."""

@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -88,7 +90,7 @@ def test_threshold_fit_equals_brute_force(spark):
     p[10:14] = [[0.0, 0.5, 0.5], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0], [0.5, 0.0, 0.5]]
     pred = predictions(spark, [(int(a), [float(v) for v in b]) for a, b in zip(y, p)])
     best = None
-    levels = thr.offset_levels(3, 0.5)
+    levels = [i * 0.5 for i in range(-4, 5)]
     for a in levels:
         for b in levels:
             hat = (p / np.exp([0.0, a, b])).argmax(1)
@@ -100,6 +102,33 @@ def test_threshold_fit_equals_brute_force(spark):
     assert got["score"] == pytest.approx(best[1]) and got["offsets"] == best[2]
 
 
+@pytest.mark.parametrize("classes,levels", [(4, 17), (6, 5)])
+def test_threshold_fit_with_any_number_of_classes(spark, classes, levels):
+    """At or above the best of a coarser whole grid, never below the argmax; the score is that of the offsets."""
+
+    rng = np.random.default_rng(classes)
+    y = rng.choice(classes, 120, p=np.arange(1, classes + 1) / np.arange(1, classes + 1).sum())
+    y[:classes] = range(classes)
+    p = rng.dirichlet(np.arange(classes, 0, -1), 120) + 0.25 * np.eye(classes)[y]
+    p /= p.sum(axis=1, keepdims=True)
+
+    def f1(o):
+        hat = (p / np.exp(o)).argmax(1)
+        return np.mean([2 * ((y == c) & (hat == c)).sum() / max(1, (y == c).sum() + (hat == c).sum()) for c in range(classes)])
+
+    got = thr.thr_fit(predictions(spark, [(int(a), [float(v) for v in b]) for a, b in zip(y, p)]), ["cell"], classes).first()
+    assert got["offsets"][0] == 0 and got["score"] == pytest.approx(f1(got["offsets"])) and got["score"] > f1(np.zeros(classes))
+    if levels:
+        grid = np.linspace(-2, 2, levels)
+        best = max(f1((0.0, *o)) for o in itertools.product(grid, repeat=classes - 1))
+        assert got["score"] >= best - 1e-12
+
+
+def test_threshold_fit_without_keys(spark):
+    pred = predictions(spark, [(0, [0.7, 0.3]), (1, [0.4, 0.6]), (1, [0.6, 0.4])])
+    assert thr.thr_fit(pred, [], 2).first()["score"] == 1.0
+
+
 def test_bundle_and_cost(spark):
     pred = predictions(spark, [(0, [0.7, 0.3]), (1, [0.4, 0.6]), (1, [0.6, 0.4])])
     row = met.met_bundle(pred, ["cell"], 2).first()
