@@ -422,7 +422,7 @@ def shard_plan(ids: DataFrame, n: int, cells_per_dataset: int) -> DataFrame:
         .agg(F.array_sort(F.collect_list("dataset")).alias("dataset_ids"))
     )
     return dealt.select(
-        F.concat(F.lit("shard-"), F.lpad((F.col("_s") + 1).cast("string"), 2, "0")).alias("shard_id"),
+        F.format_string("shard-%02d", F.col("_s") + 1).alias("shard_id"),
         "dataset_ids",
         (F.size("dataset_ids") * cells_per_dataset).cast("bigint").alias("expected_cells"),
     )
@@ -431,10 +431,10 @@ def shard_plan(ids: DataFrame, n: int, cells_per_dataset: int) -> DataFrame:
 def shard_validate(plan: DataFrame, ids: DataFrame, cells_per_dataset: int) -> DataFrame:
     """``DF[problem]``: coverage exactly once, consecutive shard ids, sorted members, cell counts."""
 
-    place = F.row_number().over(Window.orderBy("shard_id"))
-    shard_problems = plan.withColumn(
-        "_want", F.concat(F.lit("shard-"), F.lpad(place.cast("string"), 2, "0"))
-    ).select(
+    # By number, so shard-100 follows shard-99; ids without a number come last.
+    number = F.expr("try_cast(substring_index(shard_id, '-', -1) AS bigint)")
+    place = F.row_number().over(Window.orderBy(number.asc_nulls_last(), "shard_id"))
+    shard_problems = plan.withColumn("_want", F.format_string("shard-%02d", place)).select(
         F.explode(
             F.array_compact(
                 F.array(

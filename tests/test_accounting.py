@@ -139,3 +139,10 @@ def test_failure_record_schema(spark):
     cells = spark.createDataFrame([("d", 0, 1, "xgboost", "raw", "numeric")], "dataset_id string, outer_fold int, outer_seed int, classifier string, condition string, feature_type string")
     row = acc.acc_failure_record(cells, "applicability", "ValueError", "no", applicable=False).first()
     assert row["status"] == rules.FAILED and row["resource_status"] == "not_started" and len(row) == 17
+
+
+def test_more_than_a_hundred_shards(spark):
+    ids = spark.createDataFrame([(f"d{i:03d}",) for i in range(240)], "dataset string")
+    plan = acc.shard_plan(ids, 120, 275)
+    assert plan.select("shard_id").distinct().count() == 120 and acc.shard_validate(plan, ids, 275).count() == 0
+    assert [r.problem for r in acc.shard_validate(plan.filter("shard_id <> 'shard-119'"), ids, 275).filter("problem like 'shard%'").collect()] == ["shard-120 is not consecutive"]
