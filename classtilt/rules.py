@@ -88,6 +88,9 @@ UNSUPPORTED_MESSAGES = {
     ("mixed", "borderline_smote"): "borderline_smote is not valid for mixed data in Stage 0",
 }
 FOREST_ONLY_MESSAGE = "Balanced Random Forest is an RF-only comparator"
+SMOTENC_MESSAGE = "SMOTENC requires mixed features"
+NUMERIC_ONLY_CONDITIONS = ("smote", "adasyn", "borderline_smote")
+NUMERIC_ONLY_MESSAGE = "is numeric-only in the frozen matrix"
 NO_SAMPLES_MESSAGE = "No samples will be generated with the provided ratio settings."
 NO_BORDER_MESSAGE = "ADASYN is not suited for this specific dataset"
 
