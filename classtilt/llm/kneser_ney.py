@@ -4,8 +4,13 @@ An n-gram is the last ``order`` bytes of UTF-8 text packed into a long (start of
 a context is a shift, a suffix is a mask, and every count is a plain grouping. Counts, contexts and probabilities are
 tables sharded by (language, n-gram) and joined; none is broadcast or collected.
 
-Scoring: texts are dealt to blocks of neighbouring ids. A block asks once for each distinct n-gram in it, the asked
-n-grams are joined with the sharded tables, backing off where one is unseen, and the answers return to the block.
+No text is judged by a model that has seen it: texts fall into folds by a hash of the text, so copies share a fold, and
+the model of a fold is trained on the trusted texts of the other folds. All texts of a fold, trusted or not, are scored by
+that model, so the perplexities of trusted texts, which give the thresholds, are those of unseen text.
+
+Scoring: texts are dealt to blocks of one fold and neighbouring ids. A block asks once for each distinct n-gram in it, the
+asked n-grams are joined with the sharded tables, backing off where one is unseen, and the answers return to the block.
+A text's perplexity is an average that a short bad passage hardly moves; the worst window of the text is the second score.
 """
 
 from __future__ import annotations
@@ -44,7 +49,7 @@ def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (block, doc_id, lang, text) to (block, payload): the rows of a block in one compressed Arrow stream."""
 
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
     for batch in batches:
         held = batch.column(0).to_numpy()
         order = np.argsort(held, kind="stable")
@@ -100,8 +105,8 @@ def _count(order: int):
     return run
 
 
-def _score(order: int):
-    """Log probability of every text of a block, from the answers to what the block has asked."""
+def _score(order: int, window: int):
+    """Log probability of every text of a block and of its least likely window, from the answers to what the block has asked."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         langs = right.column("lang").to_pandas().to_numpy()
@@ -111,23 +116,27 @@ def _score(order: int):
             own = langs == lang
             at = np.argsort(asked[own])
             known[lang] = asked[own][at], value[own][at]
-        ids, names, sizes, sums = [], [], [], []
+        ids, names, sizes, sums, worst = [], [], [], [], []
         for doc_id, lang, text in _unpacked(left):
             ids.append(doc_id)
             names.append(lang)
             sizes.append(len(text))
-            total = 0.0
+            total = lowest = 0.0
             if text:
-                codes, counts = np.unique(_grams([text], order)[0], return_counts=True)
+                codes, at = np.unique(_grams([text], order)[0], return_inverse=True)
                 sorted_codes, logs = known[lang]
-                total = float((logs[np.searchsorted(sorted_codes, codes)] * counts).sum())
+                passed = np.concatenate([[0.0], np.cumsum(logs[np.searchsorted(sorted_codes, codes)][at])])
+                wide = min(window, len(text))
+                total, lowest = float(passed[-1]), float((passed[wide:] - passed[:-wide]).min()) / wide
             sums.append(total)
+            worst.append(lowest)
         return pa.table(
             {
                 "doc_id": pa.array(ids, pa.int64()),
                 "lang": pa.array(names, pa.string()),
                 "n_bytes": pa.array(sizes, pa.int64()),
                 "log_prob": pa.array(sums, pa.float64()),
+                "window_log_prob": pa.array(worst, pa.float64()),
             }
         )
 
@@ -208,26 +217,46 @@ def probabilities(asked: DataFrame, tables: list[DataFrame], order: int = 4) ->
     return out.select("lang", "code", F.log(F.coalesce("p", F.col("weight") / 256)).alias("logp"))
 
 
+def _of_other_folds(counts: DataFrame, folds: int) -> DataFrame:
+    """Counts (lang, code, n) of each fold's model, ``lang`` being the model's name, from trusted counts (lang, fold, code, n)."""
+
+    others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold")) if folds > 1 else F.array(F.lit(0))
+    spread = counts.select("lang", F.explode(others).alias("fold"), "code", "n")
+    return spread.groupBy(_model().alias("lang"), "code").agg(F.sum("n").alias("n"))
+
+
+def _model() -> Column:
+    return F.concat(F.col("fold").cast("string"), F.lit("/"), "lang")
+
+
 def quality_classifier(
     docs: DataFrame,
     trusted: DataFrame,
     quantile: float = 0.995,
     order: int = 4,
     rows_per_block: int = 4096,
+    folds: int = 4,
+    window: int = 64,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, lang, n_bytes, perplexity (per byte), threshold, kept.
-
-    ``trusted`` names the ids whose texts train the model, all of them. A language's threshold is the given quantile of
-    its trusted perplexities (an approximate percentile, to a ten-thousandth); texts above it are not kept. A language without
-    trusted text has no threshold and loses nothing. Null text counts as empty; an empty text has perplexity 1. A null
-    language is a language of its own. Repeated rows are judged one by one; other columns are ignored.
+    """One row per row of ``docs``: doc_id, lang, n_bytes, perplexity (per byte), threshold, window_perplexity,
+    window_threshold, kept.
+
+    ``trusted`` names the ids whose texts train the models, all of them. A text is scored by the model of its fold, trained on
+    the trusted texts of the other ``folds - 1`` folds (``folds=1``: one model of all trusted texts, which has then seen them).
+    ``window_perplexity`` is the highest of any ``window`` bytes in a row (of the whole text if it is shorter). A share of
+    ``1 - quantile`` of a language's trusted texts may be rejected, half of it by either score: both thresholds are that
+    quantile of the trusted texts' scores (an approximate percentile, to a ten-thousandth), and texts above one of them are not kept.
+
+    A language without trusted text has no threshold and loses nothing; where all its trusted texts are in one fold, that fold's
+    model is even (perplexity 256). Null text counts as empty; an empty text has perplexity 1. A null language is a language of
+    its own. Repeated rows are judged one by one; other columns are ignored.
     """
 
-    def block(key: Column) -> Column:
-        return F.floor(key / rows_per_block).cast("long")
+    def stripe(key: Column) -> Column:
+        return F.floor(key / (rows_per_block * folds)).cast("long") * folds
 
     named = trusted.select(F.col(id_col).cast("long").alias("_trusted")).filter("_trusted is not null").distinct()
     rows = docs.select(
@@ -235,30 +264,43 @@ def quality_classifier(
         F.coalesce(F.col(lang_col), F.lit("")).alias("lang"),
         whole(F.col(text_col)).alias("text"),
     )
-    rows = rows.select(block(F.coalesce("doc_id", F.xxhash64("text"))).alias("block"), "doc_id", "lang", "text")
+    block = stripe(F.coalesce("doc_id", F.xxhash64("text"))) + F.pmod(F.xxhash64("text"), F.lit(folds))
+    rows = rows.select(block.alias("block"), "doc_id", "lang", "text")
     packed = rows.mapInArrow(_packed, "block long, payload binary").groupBy("block")
-    sure = named.select(block(F.col("_trusted")).alias("block"), "_trusted").groupBy("block")
+    # An id does not tell its text's fold, so each fold's block of its stripe gets it.
+    each = F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))
+    sure = named.select(stripe(F.col("_trusted")).alias("stripe"), "_trusted", each.alias("fold"))
+    sure = sure.select((F.col("stripe") + F.col("fold")).alias("block"), "_trusted").groupBy("block")
     asked = cut(
         packed.cogroup(sure).applyInArrow(_count(order), "block long, lang string, code long, n long")
-    )
-    total = asked.groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    tables = train(cut(total.filter("n > 0")), order)
-    answers = asked.select("block", "lang", "code").join(
-        probabilities(total.select("lang", "code"), tables, order), ["lang", "code"]
-    )
+    ).withColumn("fold", F.pmod("block", F.lit(folds)))
+    total = cut(asked.groupBy("lang", "fold", "code").agg(F.sum("n").alias("n")))
+    tables = train(cut(_of_other_folds(total.filter("n > 0"), folds)), order)
+    known = probabilities(total.select(_model().alias("lang"), "code"), tables, order).withColumnRenamed("lang", "_model")
+    answers = asked.select("block", "lang", _model().alias("_model"), "code").join(known, ["_model", "code"]).drop("_model")
     scored = packed.cogroup(answers.groupBy("block")).applyInArrow(
-        _score(order), "doc_id long, lang string, n_bytes long, log_prob double"
+        _score(order, window), "doc_id long, lang string, n_bytes long, log_prob double, window_log_prob double"
     )
-    scored = cut(scored.withColumn("perplexity", F.exp(-F.col("log_prob") / F.greatest("n_bytes", F.lit(1)))))
+    per_byte = F.exp(-F.col("log_prob") / F.greatest("n_bytes", F.lit(1)))
+    scored = cut(scored.withColumns({"perplexity": per_byte, "window_perplexity": F.exp(-F.col("window_log_prob"))}))
     scored = scored.join(named, scored["doc_id"] == named["_trusted"], "left").withColumn(
         "trusted", F.col("_trusted").isNotNull()
     )
-    limits = scored.filter("trusted").groupBy("lang").agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(10000)).alias("threshold"))
+
+    def limit(score: str) -> Column:
+        return F.percentile_approx(score, F.lit(1 - (1 - quantile) / 2), F.lit(10000))
+
+    limits = scored.filter("trusted").groupBy("lang").agg(
+        limit("perplexity").alias("threshold"), limit("window_perplexity").alias("window_threshold")
+    )
+    over = (F.col("perplexity") > F.col("threshold")) | (F.col("window_perplexity") > F.col("window_threshold"))
     return scored.join(limits, "lang", "left").select(
         "doc_id",
         F.when(F.col("lang") != "", F.col("lang")).alias("lang"),
         "n_bytes",
         "perplexity",
         "threshold",
-        (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold"))).alias("kept"),
+        "window_perplexity",
+        "window_threshold",
+        (~F.coalesce(over, F.lit(False))).alias("kept"),
     )

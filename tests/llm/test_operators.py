@@ -424,7 +424,7 @@ def test_kneser_ney(spark):
     docs = [*known, (4, "cab dab é", "x"), (5, "", "x"), (6, None, "x"), (7, "abra", None), (7, "abra", None), (None, "bad", "x")]
     df = spark.createDataFrame([(*r, None, 1) for r in docs], DOCS).withColumn("code", F.lit("x"))
     trusted = spark.createDataFrame([(1,), (2,), (2,), (None,)], "doc_id long")
-    got = {(r.doc_id, r.lang): r for r in kneser_ney.quality_classifier(df, trusted, order=3, rows_per_block=2).collect()}
+    got = {(r.doc_id, r.lang): r for r in kneser_ney.quality_classifier(df, trusted, order=3, rows_per_block=2, folds=1).collect()}
     p = brute_kneser_ney([b"abracadabra abba", b"abra cad bab"], 3)
     for i, text in ((1, "abracadabra abba"), (4, "cab dab é"), (None, "bad")):
         data = b"\xff\xff" + text.encode()
