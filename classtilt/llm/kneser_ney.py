@@ -28,6 +28,9 @@ from classtilt.session import cut
 
 START = 255
 
+#: n-grams in one row of the asked table; rows hold arrays because a checkpoint writes every row's header uncompressed.
+CHUNK = 1 << 15
+
 
 def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Packed n-gram that ends at each byte of the texts, and each text's number of bytes."""
@@ -87,18 +90,20 @@ def _count(order: int):
             for part in blocks(iter(texts), 1 << 23):
                 codes, counts = np.unique(_grams(part, order)[0], return_counts=True)
                 found.setdefault(lang, []).append((codes, counts * sure))
-        langs, codes, counts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        langs, codes, counts = [], [], []
         for lang, parts in found.items():
             own, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-            codes.append(own)
-            counts.append(np.bincount(at, np.concatenate([n for _, n in parts]), len(own)).astype(np.int64))
-            langs += [lang] * len(own)
+            n = np.bincount(at, np.concatenate([n for _, n in parts]), len(own)).astype(np.int32)
+            for k in range(0, len(own), CHUNK):
+                langs.append(lang)
+                codes.append(own[k : k + CHUNK])
+                counts.append(n[k : k + CHUNK])
         return pa.table(
             {
                 "block": pa.array([block] * len(langs), pa.int64()),
                 "lang": pa.array(langs, pa.string()),
-                "code": np.concatenate(codes),
-                "n": np.concatenate(counts),
+                "codes": pa.array(codes, pa.list_(pa.int64())),
+                "counts": pa.array(counts, pa.list_(pa.int32())),
             }
         )
 
@@ -174,7 +179,7 @@ def _level(counts: DataFrame) -> DataFrame:
 
 
 def train(counts: DataFrame, order: int = 4) -> list[DataFrame]:
-    """Tables (lang, code, p) and (lang, ctx, gamma) of each order, from order 1 up: [p1, gamma1, p2, gamma2, ...].
+    """A table (lang, ctx, _gamma, _next) of each order, from order 1 up; ``_next`` maps the at most 256 n-grams of a context to p.
 
     ``counts`` has (lang, code, n), one row per distinct n-gram of the highest order. That order uses its counts; lower orders
     use the number of distinct bytes before the n-gram. Each table is written to the checkpoint folder; its size
@@ -196,7 +201,8 @@ def train(counts: DataFrame, order: int = 4) -> list[DataFrame]:
             joined = rows.withColumn("_suffix", F.col("code").bitwiseAND(_mask(k - 1))).join(lower, ["lang", "_suffix"])
             p = joined.select("lang", "code", "ctx", "gamma", (F.col("share") + F.col("gamma") * F.col("_p")).alias("p"))
         below = cut(p)
-        tables += [below.select("lang", "code", "p"), below.select("lang", "ctx", "gamma").distinct()]
+        entries = F.map_from_entries(F.collect_list(F.struct("code", "p")))
+        tables.append(below.groupBy("lang", "ctx").agg(F.max("gamma").alias("_gamma"), entries.alias("_next")))
     return tables
 
 
@@ -205,12 +211,10 @@ def probabilities(asked: DataFrame, tables: list[DataFrame], order: int = 4) ->
 
     out = asked.withColumn("p", F.lit(None).cast("double")).withColumn("weight", F.lit(1.0))
     for k in range(order, 0, -1):
-        p, gamma = tables[2 * k - 2], tables[2 * k - 1]
         here = F.col("code").bitwiseAND(_mask(k))
-        p = p.select("lang", F.col("code").alias("_here"), F.col("p").alias("_p"))
-        gamma = gamma.select("lang", F.col("ctx").alias("_ctx"), F.col("gamma").alias("_gamma"))
-        out = out.withColumn("_here", here).withColumn("_ctx", F.shiftright(here, 8))
-        out = out.join(p, ["lang", "_here"], "left").join(gamma, ["lang", "_ctx"], "left")
+        out = out.withColumns({"_here": here, "_ctx": F.shiftright(here, 8)})
+        out = out.join(tables[k - 1].withColumnRenamed("ctx", "_ctx"), ["lang", "_ctx"], "left")
+        out = out.withColumn("_p", F.try_element_at("_next", "_here"))
         found = F.coalesce("p", F.col("weight") * F.col("_p"))
         weight = F.when(found.isNull(), F.col("weight") * F.coalesce("_gamma", F.lit(1.0))).otherwise(F.col("weight"))
         out = out.select("lang", "code", found.alias("p"), weight.alias("weight"))
@@ -272,9 +276,10 @@ def quality_classifier(
     sure = named.select(stripe(F.col("_trusted")).alias("stripe"), "_trusted", each.alias("fold"))
     sure = sure.select((F.col("stripe") + F.col("fold")).alias("block"), "_trusted").groupBy("block")
     asked = cut(
-        packed.cogroup(sure).applyInArrow(_count(order), "block long, lang string, code long, n long")
-    ).withColumn("fold", F.pmod("block", F.lit(folds)))
-    total = cut(asked.groupBy("lang", "fold", "code").agg(F.sum("n").alias("n")))
+        packed.cogroup(sure).applyInArrow(_count(order), "block long, lang string, codes array<long>, counts array<int>")
+    )
+    asked = asked.select("block", "lang", F.pmod("block", F.lit(folds)).alias("fold"), F.inline(F.arrays_zip(F.col("codes").alias("code"), F.col("counts").alias("n"))))
+    total = asked.groupBy("lang", "fold", "code").agg(F.sum("n").alias("n"))
     tables = train(cut(_of_other_folds(total.filter("n > 0"), folds)), order)
     known = probabilities(total.select(_model().alias("lang"), "code"), tables, order).withColumnRenamed("lang", "_model")
     answers = asked.select("block", "lang", _model().alias("_model"), "code").join(known, ["_model", "code"]).drop("_model")
