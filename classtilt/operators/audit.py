@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from classtilt import rules
 from classtilt.operators.prepare import prep_layout
+from classtilt.session import cut
 
 
 
@@ -485,6 +486,8 @@ def sel_quota(
     catalogue is a metadata table (one row per dataset); the chosen set is at most ``target`` rows.
     """
 
+    # Every step reads the catalogue; it is made once.
+    catalog = cut(catalog)
     pool = catalog.select("data_id", "name", "feature_type", "band")
     fixed = [*retained, *reserve]
     chosen = {r["data_id"]: r for r in pool.filter(F.col("data_id").isin(fixed)).collect()}

@@ -72,21 +72,17 @@ def src_catalog(df: DataFrame, column: str = "item") -> DataFrame:
     """
 
     schema = "did bigint, name string, version bigint, quality array<struct<name: string, value: string>>"
-    item = df.select(F.from_json(column, schema).alias("i")).select("i.*")
-    named = F.filter("quality", lambda q: q["name"].isNotNull() & q["value"].isNotNull())
-    # A repeated quality keeps its last value.
-    latest = F.aggregate(
-        named,
-        F.create_map().cast("map<string,double>"),
-        lambda m, q: F.map_concat(
-            F.map_filter(m, lambda k, v: k != q["name"]), F.create_map(q["name"], q["value"].try_cast("double"))
-        ),
-    )
-    wide = item.withColumn("_q", latest).filter(
-        F.forall(rules.strings(rules.CATALOG_QUALITIES), lambda n: F.try_element_at("_q", n).isNotNull())
-    )
-    value = lambda name: F.try_element_at("_q", F.lit(name)).cast("bigint")
-    rows, classes, smallest, largest, features, numeric, symbolic = (value(n) for n in rules.CATALOG_QUALITIES)
+    # Generators are no projections: what they give is computed once a row, and filters above them do not repeat it.
+    item = df.select(F.inline(F.array(F.from_json(column, schema))))
+
+    def last(name):
+        """The last value of a quality, as a number."""
+        named = F.filter("quality", lambda q: (q["name"] == name) & q["value"].isNotNull())
+        return F.try_element_at(named, F.lit(-1))["value"].try_cast("double")
+
+    latest = F.inline(F.array(F.struct(*[last(n).alias(n) for n in rules.CATALOG_QUALITIES])))
+    wide = item.select("did", "name", "version", latest).dropna(subset=list(rules.CATALOG_QUALITIES))
+    rows, classes, smallest, largest, features, numeric, symbolic = (F.col(n).cast("bigint") for n in rules.CATALOG_QUALITIES)
     flat = wide.select(
         F.col("did").alias("data_id"),
         "name",
