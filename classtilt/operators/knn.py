@@ -4,7 +4,8 @@ Neither all pairs nor a whole class ever meets in one place:
 
 1. equal vectors are collapsed first (a group of copies becomes one vector with its ``k + 1`` smallest ids);
 2. every group is cut into cells around pivot vectors, and the triangle inequality decides which vectors can be
-   neighbours of a cell, so far-away cells are never compared;
+   neighbours of a cell, so far-away cells are never compared. Distances to pivots are found on chunks of a group and never
+   leave their task, as a row's list of them is far longer than the row;
 3. both sides of a cell are cut into blocks of bounded size. A task sees one block pair, keeps the best ``k + 1``
    candidates of each row, and a windowed top-k merges the blocks.
 
@@ -20,7 +21,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from classtilt.functions import order_hash
-from classtilt.operators.tiles import block_join
+from classtilt.operators.tiles import block_join, placing, reaching
+
+#: Rows of a group that a task holds beside the group's pivots.
+CHUNK = 65_536
+WITHIN = "cell int, _cells array<struct<cell int, lefts bigint, rights bigint>>"
 
 
 def distance(x, y, cats=None, other_cats=None, penalty=None) -> Column:
@@ -95,7 +100,8 @@ def rs_knn(
     # The share is taken before any window, so about one row in ``cell_rows`` is ranked; the first row by hash of each group,
     # which always is a pivot, comes from a grouped minimum. ``vid`` tells vectors of a group apart.
     hashed = distinct.withColumn("_h", order_hash("pivot", F.col("vid")))
-    least = hashed.groupBy(*groups).agg(F.min(F.struct("_h", "vid")).alias("_m")).select(*groups, F.col("_m.vid").alias("vid"))
+    lows = hashed.groupBy(*groups).agg(F.min(F.struct("_h", "vid")).alias("_m"), F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).alias("_chunks"))
+    least = lows.select(*groups, F.col("_m.vid").alias("vid"))
     pivots = (
         hashed.filter(F.col("_h") < share)
         .unionByName(hashed.join(least, [*groups, "vid"], "left_semi"))
@@ -105,17 +111,20 @@ def rs_knn(
         .groupBy(*groups)
         .agg(F.collect_list(F.struct("x", *(["cats"] if mixed else []))).alias("_pivots"))
     )
-    if mixed:
-        gaps = F.transform("_pivots", lambda p: distance(F.col("x"), p["x"], F.col("cats"), p["cats"], F.col("penalty")))
-    else:
-        gaps = F.transform("_pivots", lambda p: distance(F.col("x"), p["x"]))
-    placed = (
-        _attach(distinct, pivots, groups, "_pivots")
-        .withColumn("_gaps", gaps)
-        .drop("_pivots")
-        .withColumn("_near", F.array_min("_gaps"))
-        .withColumn("cell", F.array_position("_gaps", F.col("_near")).cast("int"))
-    )
+    # Distances to pivots are found by tasks on chunks of a group, with the group's pivots beside each, and stay there.
+    many = lows.select(*groups, "_chunks")
+    chunk = F.pmod(F.xxhash64("vid", F.lit(23)), F.col("_chunks")).alias("_chunk")
+    chunked = _attach(distinct, many, groups, "_chunks").select(*distinct.columns, chunk)
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_chunks") - 1)).alias("_chunk")
+
+    def beside(small: DataFrame, work, columns: DataFrame, more: str) -> DataFrame:
+        right = _attach(small, many, groups, "_chunks").select(*small.columns, every).toDF(*small.columns, "_chunk")
+        fields = [f"`{n}` {k}" for n, k in columns.dtypes if n != "_chunk"]
+        on = [*groups, "_chunk"]
+        return columns.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(work, ", ".join([*fields, more]))
+
+    shown = chunked.select(*groups, "_chunk", "vid", "_asked", "x", *(["cats", "penalty"] if mixed else []))
+    placed = beside(pivots, placing(mixed), shown, "cell int, _near double, _gaps array<double>")
 
     # 3. reach of a cell: a vector further than this from the pivot is no neighbour of any row of the cell.
     # The k + 1 salted minima belong to k + 1 different vectors, so the largest bounds the k-th neighbour.
@@ -127,7 +136,7 @@ def rs_knn(
             F.max("_near").alias("far"),
             F.count("*").alias("n"),
             F.count_if("_asked").alias("asked"),
-            F.min_by("_gaps", "_near").alias("gaps"),
+            F.max("_gaps").alias("gaps"),
             closest.alias("_closest"),
         )
         .withColumn(
@@ -180,12 +189,8 @@ def rs_knn(
         )
 
     paired = (
-        _attach(placed, plan, groups, "_cells")
+        beside(_attach(pivots, plan, groups, "_cells"), reaching(mixed), chunked, WITHIN)
         .withColumn("_spread", spread)
-        .withColumn(
-            "_cells",
-            F.filter("_cells", lambda c: F.element_at(F.col("_gaps"), c["cell"]) <= c["reach"]),
-        )
         .withColumn("_role", F.explode(F.flatten(F.transform("_cells", roles))))
         .select(
             *groups,

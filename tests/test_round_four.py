@@ -1,9 +1,11 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from classtilt import rules
 from classtilt.operators import audit as aud
+from classtilt.operators import knn
 from classtilt.sources import readers
 
 
@@ -38,3 +40,18 @@ def test_quota_reads_the_catalogue_once(spark):
     looked = catalog.withColumn("data_id", F.udf(look, "bigint")("data_id"))
     chosen = aud.sel_quota(looked, [1], [], {"numeric": 4, "mixed": 4}, {bands[0]: 3}, 12).collect()
     assert len(chosen) == 12 and seen.value == 40
+
+
+def test_pivot_distances_stay_in_their_tasks(spark, monkeypatch):
+    """Chunks of a group of any number give brute force's neighbours; no joined row carries a list of distances."""
+
+    monkeypatch.setattr(knn, "CHUNK", 16)
+    draw = random.Random(3)
+    data = [(i, i % 2, [draw.random() * 9], [draw.choice("ab")], 0.5) for i in range(90)]
+    rows = spark.createDataFrame(data, "id long, y int, x array<double>, cats array<string>, penalty double")
+    near = knn.rs_knn(rows, [], 3, True, penalty="penalty", cell_rows=8, block_rows=8)
+    assert "zip_with" not in near._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["id"], r["rank"]): r["nb_id"] for r in near.collect()}
+    for i, y, x, c, p in data:
+        others = sorted(((x[0] - v[0]) ** 2 + (p * p if c != d else 0), j) for j, z, v, d, _ in data if z == y and j != i)
+        assert [got[i, k] for k in (1, 2, 3)] == [j for _, j in others[:3]]
