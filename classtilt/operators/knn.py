@@ -54,7 +54,7 @@ def rs_knn(
     y: str = "y",
     penalty: str | None = None,
     cell_rows: int | None = None,
-    block_rows: int = 8192,
+    block_rows: int | None = None,
     max_pivots: int = 1024,
     ask: DataFrame | None = None,
 ) -> DataFrame:
@@ -94,7 +94,7 @@ def rs_knn(
     # 2. pivots: hash-chosen vectors, about one for every ``cell_rows``, at least one and a bounded number per group.
     chosen = Window.partitionBy(*groups).orderBy("_h", "vid")
     # Distances prune well in few dimensions, so cells are small there; in many they only add copies of rows.
-    sizes = (cell_rows, cell_rows) if cell_rows else (1024, 8192)
+    sizes = (cell_rows, cell_rows) if cell_rows else (1024, 65_536)
     low, high = (f"{min(2**32 // n, 2**32 - 1):08x}" for n in sizes)
     share = F.when(F.size("x") <= 3, low).otherwise(high)
     # The share is taken before any window, so about one row in ``cell_rows`` is ranked; the first row by hash of each group,
@@ -155,8 +155,13 @@ def rs_knn(
         near = F.filter("_cells", lambda o: F.element_at(o["gaps"], c["cell"]) - o["far"] <= c["reach"])
         return F.aggregate(near, F.lit(0).cast("bigint"), lambda a, o: a + o["n"])
 
+    # Where nothing is pruned, a row is sent once for each block of the other side: large groups get larger blocks, small ones
+    # enough blocks for many tasks.
+    total = F.aggregate("_cells", F.lit(0).cast("bigint"), lambda a, c: a + c["n"])
+    least, most = (F.lit(float(v)) for v in ((block_rows, block_rows) if block_rows else (8192, 65_536)))
+
     def blocks(n):
-        return F.ceil(n / F.lit(float(block_rows)))
+        return F.ceil(n / F.least(most, F.greatest(least, total / 8)))
 
     plan = reach.select(
         *groups,

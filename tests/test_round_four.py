@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from classtilt import rules
 from classtilt.operators import audit as aud
-from classtilt.operators import knn
+from classtilt.operators import knn, tiles
 from classtilt.sources import readers
 
 
@@ -55,3 +55,16 @@ def test_pivot_distances_stay_in_their_tasks(spark, monkeypatch):
     for i, y, x, c, p in data:
         others = sorted(((x[0] - v[0]) ** 2 + (p * p if c != d else 0), j) for j, z, v, d, _ in data if z == y and j != i)
         assert [got[i, k] for k in (1, 2, 3)] == [j for _, j in others[:3]]
+
+
+def test_large_groups_get_large_blocks(spark, monkeypatch):
+    """Slices of the other side merge to brute force's neighbours."""
+
+    monkeypatch.setattr(tiles, "SLICE", 7)
+    draw = random.Random(5)
+    data = [(i, i % 2, [draw.choice([0.0, 1.0, 2.0]) for _ in range(5)]) for i in range(60)]
+    rows = spark.createDataFrame(data, "id long, y int, x array<double>")
+    got = {(r["id"], r["rank"]): r["nb_id"] for r in knn.rs_knn(rows, [], 2, False, block_rows=40).collect()}
+    for i, _, x in data:
+        others = sorted((sum((a - b) ** 2 for a, b in zip(x, v, strict=True)), j) for j, _, v in data if j != i)
+        assert [got[i, k] for k in (1, 2)] == [j for _, j in others[:2]]
