@@ -40,8 +40,12 @@ def _codes(p: np.ndarray, y: np.ndarray, o: np.ndarray, c: int, d: int, step: fl
         own = p[:, [j]] / levels
         return ((own > rest) | ((own == rest) & (j < best)[:, None])).sum(axis=1)
 
+    won_c, won_d = wins(c), wins(d)
     over = (p[:, [d]] > p[:, [c]] * gaps).sum(axis=1)
-    return np.stack([wins(c), wins(d), over, y, best], axis=1)
+    # What no place of the two classes can tell apart gets one code, so far fewer codes are shuffled.
+    over = np.where((won_c == 0) | (won_d == 0), 0, np.clip(over, len(levels) - won_c, won_d + 2 * side))
+    best = np.where((won_c == len(levels)) | (won_d == len(levels)), 0, best)
+    return np.stack([won_c, won_d, over, y, best], axis=1)
 
 
 def _best_of(codes: np.ndarray, n: np.ndarray, o: np.ndarray, c: int, d: int, side: int) -> tuple[float, int, list[int]]:
@@ -92,7 +96,9 @@ def thr_fit(pred: DataFrame, keys: Sequence[str], classes: int, step: float = 0.
     level = F.transform(level, lambda v: F.greatest(F.lit(-side), F.least(F.lit(side), v.cast("int"))))
     half = round(1.0 / step)
     single = [F.array(*[F.lit(way * half if k == c else 0) for k in range(classes)]) for c in range(1, classes) for way in (-1, 1)]
-    starts = F.array(F.array_repeat(F.lit(0), classes), level, *single)
+    # Up to three classes the first move sees the whole grid from any start, so one start is enough.
+    zero = F.array_repeat(F.lit(0), classes)
+    starts = F.array(zero, level, *single) if classes > 3 else F.array(zero)
     state = counts.select(*names, F.forall("counts", lambda n: n > 0).alias("whole"), F.posexplode(starts).alias("start", "o"))
     # Without -score known, every first move is better.
     state = cut(state.withColumn("score", F.lit(-1.0)).withColumn("moving", F.col("whole")))
@@ -124,7 +130,11 @@ def thr_fit(pred: DataFrame, keys: Sequence[str], classes: int, step: float = 0.
         return a.join(b.withColumnsRenamed({n: f"r_{n}" for n in on}), same, how).drop(*[f"r_{n}" for n in on])
 
     while pairs and not (moving := state.filter("moving")).isEmpty():
-        near = by(rows, moving.select(*names, "start", "o"), names).mapInPandas(count, counted)
+        if classes > 3:
+            near = by(rows, moving.select(*names, "start", "o"), names)
+        else:  # one start for all keys: the rows need no join
+            near = rows.withColumn("start", F.lit(0)).withColumn("o", zero)
+        near = near.mapInPandas(count, counted)
         near = near.groupBy(*names, "start", "pair", *code).agg(F.sum("n").alias("n"))
         near = by(near, moving.select(*names, "start", "o"), [*names, "start"])
         moves = near.groupBy(*names, "start", "pair").applyInPandas(move, found)
@@ -133,14 +143,15 @@ def thr_fit(pred: DataFrame, keys: Sequence[str], classes: int, step: float = 0.
         after = by(state, best, [*names, "start"], "left")
         pull = F.aggregate(F.transform("o", lambda v, i: v * i), F.lit(0).cast("long"), lambda t, v: t + v)
         better = F.col("m").isNotNull() & (F.col("m") < F.struct((-F.col("score")).alias("s"), pull.alias("pull"), "o"))
-        state = cut(
-            after.select(
-                *names, "whole", "start",
-                F.when(better, F.col("m.o")).otherwise(F.col("o")).alias("o"),
-                F.when(better, -F.col("m.s")).otherwise(F.col("score")).alias("score"),
-                (better & F.lit(classes > 3)).alias("moving"),
-            )
+        after = after.select(
+            *names, "whole", "start",
+            F.when(better, F.col("m.o")).otherwise(F.col("o")).alias("o"),
+            F.when(better, -F.col("m.s")).otherwise(F.col("score")).alias("score"),
+            (better & F.lit(classes > 3)).alias("moving"),
         )
+        # Starts that have met go on as one; a vector that one of them could not leave is settled.
+        met = after.groupBy(*names, "whole", "o", "score").agg(F.min("start").alias("start"), F.min("moving").alias("moving"))
+        state = cut(met)
     pull = F.aggregate(F.transform("o", lambda v, i: v * i), F.lit(0).cast("long"), lambda t, v: t + v)
     last = state.groupBy(*names, "whole").agg(F.min(F.struct((-F.col("score")).alias("s"), pull.alias("pull"), "o")).alias("m"))
     whole = F.col("whole")
