@@ -2,14 +2,15 @@
 
 An n-gram is the last ``order`` bytes of UTF-8 text packed into a long (start of text: byte 255, which UTF-8 never has), so
 a context is a shift, a suffix is a mask, and every count is a plain grouping. Counts, contexts and probabilities are
-tables sharded by (language, n-gram) and joined; none is broadcast or collected.
+tables sharded by (language, n-gram) and joined; a row has the values of all folds' models. None is collected, and only tables
+with one row per language are broadcast, if they are small.
 
 No text is judged by a model that has seen it: texts fall into folds by a hash of the text, so copies share a fold, and
 the model of a fold is trained on the trusted texts of the other folds. All texts of a fold, trusted or not, are scored by
 that model, so the perplexities of trusted texts, which give the thresholds, are those of unseen text.
 
 Scoring: texts are dealt to blocks of one fold and neighbouring ids. A block asks once for each distinct n-gram in it, the
-asked n-grams are joined with the sharded tables, backing off where one is unseen, and the answers return to the block.
+distinct n-grams of all blocks get their probabilities, backing off where one is unseen, and the answers return to the block.
 A text's perplexity is an average that a short bad passage hardly moves; the worst window of the text is the second score.
 """
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from classtilt.llm.common import whole
+from classtilt.llm.common import stored, whole
 from classtilt.llm.token_counts import blocks
 from classtilt.session import cut
 
@@ -152,85 +153,104 @@ def _mask(order: int) -> Column:
     return F.lit((1 << 8 * order) - 1).cast("long")
 
 
-def _level(counts: DataFrame) -> DataFrame:
-    """Counts (lang, code, n) of one order with context, discounted share and the context's back-off weight."""
+def _small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A table with a row per language, to be joined without dealing the other side by language; a large one is left to Spark."""
 
-    rows = counts.withColumn("ctx", F.shiftright("code", 8))
-    kinds = [F.sum((F.col("n") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]
-    d = counts.groupBy("lang").agg(*kinds)
-    y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(F.lit(0.5))
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df
 
-    def discount(k: int) -> Column:
-        # Counts of counts can be empty on little text: then the usual value of each discount holds.
-        found = k - (k + 1) * y * F.col(f"n{k + 1}") / F.when(F.col(f"n{k}") > 0, F.col(f"n{k}"))
-        return F.least(F.greatest(F.coalesce(found, F.lit(k * 0.5)), F.lit(k * 0.1)), F.lit(k * 0.9))
-
-    d = d.select("lang", *[discount(k).alias(f"d{k}") for k in (1, 2, 3)])
-    contexts = rows.groupBy("lang", "ctx").agg(
-        F.sum("n").alias("total"), *[F.sum((F.col("n") == k).cast("long")).alias(f"m{k}") for k in (1, 2)],
-        F.sum((F.col("n") >= 3).cast("long")).alias("m3"),
-    )
-    contexts = contexts.join(d, "lang").select(
-        "lang", "ctx", "total", "d1", "d2", "d3",
-        ((F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("total")).alias("gamma"),
-    )
-    own = F.col("n") - F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    return rows.join(contexts, ["lang", "ctx"]).select("lang", "code", "ctx", (own / F.col("total")).alias("share"), "gamma")
 
+def _levels(asked: DataFrame, order: int, folds: int) -> list[DataFrame]:
+    """Tables (lang, code, n, asked) of each order, from order 1 up, one row per n-gram that any text has.
 
-def train(counts: DataFrame, order: int = 4) -> list[DataFrame]:
-    """A table (lang, ctx, _gamma, _next) of each order, from order 1 up; ``_next`` maps the at most 256 n-grams of a context to p.
-
-    ``counts`` has (lang, code, n), one row per distinct n-gram of the highest order. That order uses its counts; lower orders
-    use the number of distinct bytes before the n-gram. Each table is written to the checkpoint folder; its size
-    follows the distinct n-grams of the trusted text.
+    ``asked`` has (lang, fold, code, n) with counts in trusted text, and may repeat n-grams. In the tables ``n`` holds a count
+    for each fold's model, which are the trusted texts of the other folds, and ``asked`` says whether the fold has the n-gram. The
+    highest order uses its counts; lower orders use the number of distinct bytes that the model has seen before the n-gram.
     """
 
-    levels = [counts]
+    own = [F.sum(F.when(F.col("fold") == f, F.col("n"))).alias(f"_{f}") for f in range(folds)]
+    total = asked.groupBy("lang", "code").agg(*own)
+    known = [F.coalesce(F.col(f"_{f}"), F.lit(0)) for f in range(folds)]
+    others = [sum((c for g, c in enumerate(known) if g != f or folds == 1), F.lit(0)).cast("long") for f in range(folds)]
+    wanted = F.array(*[F.col(f"_{f}").isNotNull() for f in range(folds)])
+    levels = [stored(total.select("lang", "code", F.array(*others).alias("n"), wanted.alias("asked")), "ngrams")]
     for k in range(order - 1, 0, -1):
-        upper = levels[-1].select("lang", F.col("code").bitwiseAND(_mask(k)).alias("code"))
-        levels.append(upper.groupBy("lang", "code").agg(F.count(F.lit(1)).alias("n")))
-    tables: list[DataFrame] = []
-    below = None
-    for k, level in enumerate(reversed(levels), 1):
-        rows = _level(level)
-        if below is None:
-            p = rows.select("lang", "code", "ctx", "gamma", (F.col("share") + F.col("gamma") / 256).alias("p"))
-        else:
-            lower = below.select("lang", F.col("code").alias("_suffix"), F.col("p").alias("_p"))
-            joined = rows.withColumn("_suffix", F.col("code").bitwiseAND(_mask(k - 1))).join(lower, ["lang", "_suffix"])
-            p = joined.select("lang", "code", "ctx", "gamma", (F.col("share") + F.col("gamma") * F.col("_p")).alias("p"))
-        below = cut(p)
-        entries = F.map_from_entries(F.collect_list(F.struct("code", "p")))
-        tables.append(below.groupBy("lang", "ctx").agg(F.max("gamma").alias("_gamma"), entries.alias("_next")))
-    return tables
+        below = levels[-1].withColumn("code", F.col("code").bitwiseAND(_mask(k))).groupBy("lang", "code").agg(
+            F.array(*[F.count_if(F.col("n")[f] > 0) for f in range(folds)]).alias("n"),
+            F.array(*[F.bool_or(F.col("asked")[f]) for f in range(folds)]).alias("asked"),
+        )
+        levels.append(stored(below, "ngrams"))
+    return levels[::-1]
+
+
+def _discounts(level: DataFrame, folds: int) -> DataFrame:
+    """(lang, d): for each model the discounts of n-grams seen once, twice and more often."""
+
+    kinds = [F.count_if(F.col("n")[f] == k).alias(f"n{k}_{f}") for f in range(folds) for k in (1, 2, 3, 4)]
+
+    def discounts(f: int) -> Column:
+        n = {k: F.col(f"n{k}_{f}") for k in (1, 2, 3, 4)}
+        y = F.when(n[1] > 0, n[1] / (n[1] + 2 * n[2])).otherwise(F.lit(0.5))
 
+        def discount(k: int) -> Column:
+            # Counts of counts can be empty on little text: then the usual value of each discount holds.
+            found = k - (k + 1) * y * n[k + 1] / F.when(n[k] > 0, n[k])
+            return F.least(F.greatest(F.coalesce(found, F.lit(k * 0.5)), F.lit(k * 0.1)), F.lit(k * 0.9))
 
-def probabilities(asked: DataFrame, tables: list[DataFrame], order: int = 4) -> DataFrame:
-    """Distinct n-grams (lang, code) with log probability: the longest seen suffix, times the weights of the contexts above it."""
+        return F.array(*[discount(k) for k in (1, 2, 3)])
 
-    out = asked.withColumn("p", F.lit(None).cast("double")).withColumn("weight", F.lit(1.0))
-    for k in range(order, 0, -1):
-        here = F.col("code").bitwiseAND(_mask(k))
-        out = out.withColumns({"_here": here, "_ctx": F.shiftright(here, 8)})
-        out = out.join(tables[k - 1].withColumnRenamed("ctx", "_ctx"), ["lang", "_ctx"], "left")
-        out = out.withColumn("_p", F.try_element_at("_next", "_here"))
-        found = F.coalesce("p", F.col("weight") * F.col("_p"))
-        weight = F.when(found.isNull(), F.col("weight") * F.coalesce("_gamma", F.lit(1.0))).otherwise(F.col("weight"))
-        out = out.select("lang", "code", found.alias("p"), weight.alias("weight"))
-    return out.select("lang", "code", F.log(F.coalesce("p", F.col("weight") / 256)).alias("logp"))
+    return _small(level.groupBy("lang").agg(*kinds).select("lang", F.array(*[discounts(f) for f in range(folds)]).alias("d")))
 
 
-def _of_other_folds(counts: DataFrame, folds: int) -> DataFrame:
-    """Counts (lang, code, n) of each fold's model, ``lang`` being the model's name, from trusted counts (lang, fold, code, n)."""
+def _contexts(level: DataFrame, k: int, folds: int) -> DataFrame:
+    """One row (lang, mid, ctx) per context of order ``k`` with its at most 256 n-grams, their sum and its back-off weight per
+    model. Rows are dealt by ``mid``, the bytes between the first and the last one, which are the context one order below."""
 
-    others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold")) if folds > 1 else F.array(F.lit(0))
-    spread = counts.select("lang", F.explode(others).alias("fold"), "code", "n")
-    return spread.groupBy(_model().alias("lang"), "code").agg(F.sum("n").alias("n"))
+    rows = level.withColumn("mid", F.shiftright(F.col("code").bitwiseAND(_mask(k - 1)), 8)).repartition("lang", "mid")
+    n = [F.col("n")[f] for f in range(folds)]
+    rows = rows.groupBy("lang", "mid", F.shiftright("code", 8).alias("ctx")).agg(
+        F.collect_list(F.struct(F.col("code").bitwiseAND(F.lit(255)).cast("int").alias("byte"), "n", "asked")).alias("grams"),
+        F.array(*[F.sum(c) for c in n]).alias("total"),
+        *[F.array(*[F.count_if(c == j) for c in n]).alias(f"m{j}") for j in (1, 2)],
+        F.array(*[F.count_if(c >= 3) for c in n]).alias("m3"),
+    )
+    rows = rows.join(_discounts(level, folds), "lang")
+    taken = [sum((F.col("d")[f][j - 1] * F.col(f"m{j}")[f] for j in (2, 3)), F.col("d")[f][0] * F.col("m1")[f]) for f in range(folds)]
+    gamma = [F.when(F.col("total")[f] > 0, taken[f] / F.col("total")[f]) for f in range(folds)]
+    return rows.select("lang", "mid", "ctx", "grams", "total", F.array(*gamma).alias("gamma"), "d")
+
+
+def _interpolated(folds: int, lowest: bool):
+    """From an n-gram of a row of :func:`_contexts` to its last byte and its probability under each model that is asked."""
+
+    def of(g: Column, f: int) -> Column:
+        n, total = g["n"][f], F.col("total")[f]
+        lower = F.lit(1 / 256) if lowest else F.try_element_at("_next", g["byte"])[f]
+        share = F.when(n > 0, (n - F.col("d")[f][F.least(n, F.lit(3)).cast("int") - 1]) / total).otherwise(F.lit(0.0))
+        return F.when(g["asked"][f], F.when(total > 0, share + F.col("gamma")[f] * lower).otherwise(lower))
+
+    return lambda g: F.struct(g["byte"].alias("byte"), F.array(*[of(g, f) for f in range(folds)]).alias("p"))
 
 
-def _model() -> Column:
-    return F.concat(F.col("fold").cast("string"), F.lit("/"), "lang")
+def probabilities(asked: DataFrame, order: int = 4, folds: int = 1) -> DataFrame:
+    """Distinct n-grams (lang, code, p) of ``asked`` (lang, fold, code, n): ``p`` has a probability for each fold's model, null where
+    the fold does not ask for the n-gram.
+
+    An n-gram has its discounted share in its context plus the context's weight times the probability of its suffix, and
+    that of its suffix alone where the model has not seen the context. So every order needs one row per context of the
+    order below, and no n-gram is looked up more than once an order, however many blocks and models ask for it.
+    """
+
+    below = None
+    for k, level in enumerate(_levels(asked, order, folds), 1):
+        rows = _contexts(level, k, folds)
+        if below is not None:
+            rows = rows.join(below, ["lang", "mid"])
+        grams = F.transform("grams", _interpolated(folds, below is None))
+        rows = rows.select("lang", "ctx", grams.alias("grams"))
+        below = rows.select("lang", F.col("ctx").alias("mid"), F.map_from_entries("grams").alias("_next"))
+    rows = rows.select("lang", "ctx", F.inline("grams"))
+    return rows.select("lang", F.shiftleft("ctx", 8).bitwiseOR(F.col("byte").cast("long")).alias("code"), "p")
 
 
 def quality_classifier(
@@ -279,10 +299,9 @@ def quality_classifier(
         packed.cogroup(sure).applyInArrow(_count(order), "block long, lang string, codes array<long>, counts array<int>")
     )
     asked = asked.select("block", "lang", F.pmod("block", F.lit(folds)).alias("fold"), F.inline(F.arrays_zip(F.col("codes").alias("code"), F.col("counts").alias("n"))))
-    total = asked.groupBy("lang", "fold", "code").agg(F.sum("n").alias("n"))
-    tables = train(cut(_of_other_folds(total.filter("n > 0"), folds)), order)
-    known = probabilities(total.select(_model().alias("lang"), "code"), tables, order).withColumnRenamed("lang", "_model")
-    answers = asked.select("block", "lang", _model().alias("_model"), "code").join(known, ["_model", "code"]).drop("_model")
+    known = probabilities(asked.select("lang", "fold", "code", "n"), order, folds)
+    logp = F.log(F.col("p")[F.col("fold").cast("int")]).alias("logp")
+    answers = asked.select("block", "lang", "fold", "code").join(known, ["lang", "code"]).select("block", "lang", "code", logp)
     scored = packed.cogroup(answers.groupBy("block")).applyInArrow(
         _score(order, window), "doc_id long, lang string, n_bytes long, log_prob double, window_log_prob double"
     )
@@ -295,8 +314,10 @@ def quality_classifier(
     def limit(score: str) -> Column:
         return F.percentile_approx(score, F.lit(1 - (1 - quantile) / 2), F.lit(10000))
 
-    limits = scored.filter("trusted").groupBy("lang").agg(
-        limit("perplexity").alias("threshold"), limit("window_perplexity").alias("window_threshold")
+    limits = _small(
+        scored.filter("trusted").groupBy("lang").agg(
+            limit("perplexity").alias("threshold"), limit("window_perplexity").alias("window_threshold")
+        )
     )
     over = (F.col("perplexity") > F.col("threshold")) | (F.col("window_perplexity") > F.col("window_threshold"))
     return scored.join(limits, "lang", "left").select(
