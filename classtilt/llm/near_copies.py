@@ -1,9 +1,15 @@
 """Near copies by word shingles: texts link when the Jaccard similarity of their shingle sets reaches a percentage.
 
-Equal shingle sets are collapsed before anything is compared. A sketch of ``BANDS * ROWS`` minima (a byte of each) makes one
-bucket key per band, so two texts at 80 % share no bucket with probability 1e-7. In a bucket sketches are compared, at
-20 points below the percentage; what is left are candidate components. The shingle sets of those, and no others, are
-dealt out once more by component, and there whole sets decide every link:
+Equal shingle sets are collapsed before anything is compared. Candidates come from two paths:
+
+- SimHash, as in ``simhash.py``, over the set: fingerprints at ``RADIUS`` or fewer differing bits, found by exact buckets of
+  ``BLOCKS`` bit blocks and compared by bit planes. At 80 % two fingerprints differ in about 10 of 64 bits, so no radius that
+  64 bits can be dealt by finds all of those texts;
+- the rest: a sketch of ``BANDS * ROWS`` minima (a byte of each) makes one bucket key per band, so two texts at 80 % share no
+  bucket with probability 1e-7. In a bucket sketches are compared, at 20 points below the percentage.
+
+What is linked by either is a candidate component. The shingle sets of those, and no others, are dealt out once more by
+component, and there whole sets decide every link:
 
 1. each set goes to one tile of its component, beside the set of the component's representative, and is compared with that
    and with the tile; most copies of a text end in one tree here;
@@ -25,11 +31,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from classtilt.llm import simhash
 from classtilt.llm.common import fresh
 from classtilt.llm.components import components
 from classtilt.session import cut
 
 SEED = 42
+RADIUS, BLOCKS = 7, 9
 BANDS, ROWS = 32, 4
 FACTORS = np.random.default_rng(SEED).integers(1 << 63, size=(2, BANDS * ROWS, 1), dtype=np.uint64) * 2 + 1
 #: Most slots of the bitmap that says which rows can be in a component: 8 MB, so it can be broadcast.
@@ -61,13 +69,14 @@ def sketch(hashes: np.ndarray) -> bytes:
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sketches = [], []
+            nodes, prints, sketches = [], [], []
             for text in batch.column(2).cast(pa.large_binary()):
                 own = shingles(text.as_py() or b"", width)
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63))
+                prints.append(simhash.of_hashes(own))
                 sketches.append(sketch(own))
-            columns = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())]
-            yield pa.record_batch(columns, ["doc_id", "mark", "node", "sketch"])
+            columns = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.record_batch(columns, ["doc_id", "mark", "node", "fp", "sketch"])
 
     return run
 
@@ -245,8 +254,19 @@ def set_links(sets: DataFrame, percent: int, tile: int) -> DataFrame:
     return second.unionByName(trees.select(F.col("node").alias("a"), F.col("root").alias("b")))
 
 
+def print_links(nodes: DataFrame, tile: int) -> DataFrame:
+    """Links (a, b) of ``nodes`` (node, fp) whose components are those of all pairs of fingerprints within ``RADIUS``."""
+
+    heads = cut(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    links = simhash.near_links(heads.select("fp"), RADIUS, tile, BLOCKS)
+    for end in ("a", "b"):
+        links = links.join(heads.select(F.col("fp").alias(end), F.col("head").alias(f"_{end}")), end)
+    same = nodes.join(heads, "fp").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    return links.select(F.col("_a").alias("a"), F.col("_b").alias("b")).unionByName(same)
+
+
 def near_links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, tile: int, text_tile: int) -> DataFrame:
-    """Links (a, b) of ``nodes`` (node, sketch, least) whose components are those of all pairs at the percentage.
+    """Links (a, b) of ``nodes`` (node, fp, sketch, least) whose components are those of all pairs at the percentage.
 
     ``docs`` has (_key_, text); ``least`` names a row of it for each node.
     """
@@ -255,7 +275,8 @@ def near_links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, tile
     keys = nodes.select("node", F.explode(F.array(*bands)).alias("key"))
     shared = keys.groupBy("key").count().filter("count > 1")
     rows = keys.join(shared, "key").join(nodes.select("node", "sketch"), "node")
-    close = components(_dealt(rows, "sketch", tile).mapInArrow(_trees(_by_sketch(percent)), "a long, b long"))
+    rest = _dealt(rows, "sketch", tile).mapInArrow(_trees(_by_sketch(percent)), "a long, b long")
+    close = components(print_links(nodes.select("node", "fp"), tile).unionByName(rest))
     sizes = close.groupBy("root").count()
     members = cut(
         close.join(sizes, "root").join(nodes, "node").select(
@@ -288,9 +309,11 @@ def drop_near_copies(
         raise ValueError("percent must be 80 or more: the bands are made for that")
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    prints = cut(rows.mapInArrow(_sketches(width), "doc_id long, mark long, node long, sketch binary"))
+    prints = cut(rows.mapInArrow(_sketches(width), "doc_id long, mark long, node long, fp long, sketch binary"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
-    nodes = cut(prints.groupBy("node").agg(F.min(order).alias("least"), F.min("sketch").alias("sketch")))
+    nodes = cut(
+        prints.groupBy("node").agg(F.min(order).alias("least"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch"))
+    )
     texts = rows.select(_row_key(F.col("doc_id"), F.col("mark")).alias("_key_"), "text")
     roots = components(near_links(texts, nodes, width, percent, tile, text_tile))
     rooted = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))

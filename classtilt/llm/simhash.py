@@ -27,6 +27,17 @@ BLOCKS = 5
 SEED = 42
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes: the bits that are set in over half of them."""
+
+    counts = np.zeros(64, np.int64)
+    for part in range(0, len(hashes), 1 << 16):
+        bits = np.unpackbits(hashes[part : part + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64)
+    set_bits = np.packbits(counts * 2 > len(hashes), bitorder="little")
+    return int(set_bits.view("<i8")[0])
+
+
 def fingerprint(text: bytes, width: int = 3) -> int:
     """64-bit SimHash of the ``width``-word shingles of a UTF-8 text, A-Z in lower case."""
 
@@ -43,12 +54,7 @@ def fingerprint(text: bytes, width: int = 3) -> int:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype="<u8")
-    counts = np.zeros(64, np.int64)
-    for part in range(0, len(hashes), 1 << 16):
-        bits = np.unpackbits(hashes[part : part + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    set_bits = np.packbits(counts * 2 > len(hashes), bitorder="little")
-    return int(set_bits.view("<i8")[0])
+    return of_hashes(hashes)
 
 
 def _fingerprints(width: int):
@@ -184,14 +190,16 @@ def _trees(radius: int, chunk: int = 1 << 16):
     return run
 
 
-def near_links(prints: DataFrame, radius: int, tile: int) -> DataFrame:
-    """Distinct fingerprints ``fp`` to links (a, b) whose components are those of all pairs within the radius."""
+def near_links(prints: DataFrame, radius: int, tile: int, blocks: int = BLOCKS) -> DataFrame:
+    """Distinct fingerprints ``fp`` to links (a, b) whose components are those of all pairs within the radius (7 at most)."""
 
-    widths = [64 * (i + 1) // BLOCKS - 64 * i // BLOCKS for i in range(BLOCKS)]
-    offsets = [64 * i // BLOCKS for i in range(BLOCKS)]
+    if not 0 <= radius < min(blocks, 8):
+        raise ValueError(f"radius must be below {min(blocks, 8)}")
+    widths = [64 * (i + 1) // blocks - 64 * i // blocks for i in range(blocks)]
+    offsets = [64 * i // blocks for i in range(blocks)]
     masks = [((1 << w) - 1) << o for w, o in zip(widths, offsets, strict=True)]
     keys = []
-    for number, picked in enumerate(combinations(range(BLOCKS), BLOCKS - radius)):
+    for number, picked in enumerate(combinations(range(blocks), blocks - radius)):
         mask = sum(masks[i] for i in picked)
         mask -= (1 << 64) * (mask >> 63)
         keys.append(F.xxhash64(F.lit(number), F.col("fp").bitwiseAND(F.lit(mask).cast("long"))))
@@ -244,8 +252,6 @@ def _prints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
 def _rooted(distinct: DataFrame, radius: int, tile: int) -> DataFrame:
     """``distinct`` (fp, least) with the root of each fingerprint's component."""
 
-    if not 0 <= radius < BLOCKS:
-        raise ValueError(f"radius must be below {BLOCKS}")
     roots = components(near_links(distinct.select("fp"), radius, tile))
     return distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
