@@ -132,6 +132,33 @@ def rs_random_under(train: DataFrame, keys: Sequence[str], seed: int) -> DataFra
     return _originals(kept.drop("_number", "n_min"))
 
 
+def rs_under_cuts(folds: DataFrame, parts: Sequence[int], seed: int) -> dict[int, dict]:
+    """Per training part, the place in hash order of the last row of each class that ``rs_random_under`` keeps.
+
+    A part is all folds but one and has that fold's name. One plan numbers ids and classes of all ``parts``; a record per part and
+    class reaches the driver.
+    """
+
+    part = F.explode(F.filter(F.array(*[F.lit(p) for p in parts]), lambda p: p != F.col("fold")))
+    kept = rs_random_under(folds.select("id", "y", F.col("id").alias("_id"), part.alias("_part")), ["_part"], seed)
+    place = F.max(F.struct(order_hash(seed, "under", F.col("_id")).alias("h"), F.col("_id").alias("id")))
+    cuts: dict[int, dict] = {p: {} for p in parts}
+    for r in kept.groupBy("_part", "y").agg(place.alias("last")).collect():
+        cuts[r["_part"]][r["y"]] = tuple(r["last"])
+    return cuts
+
+
+def rs_under_by_cuts(train: DataFrame, cuts: dict, seed: int) -> DataFrame:
+    """The rows that ``rs_random_under`` keeps, by the part's places of ``rs_under_cuts``: a filter."""
+
+    types = dict(train.dtypes)
+    last = F.create_map(*[
+        c for y, (h, id) in cuts.items() for c in (F.lit(y).cast(types["y"]), F.struct(F.lit(h).alias("h"), F.lit(id).cast(types["id"]).alias("id")))
+    ])
+    place = F.struct(order_hash(seed, "under", F.col("id")).alias("h"), F.col("id").alias("id"))
+    return _originals(train.filter(place <= F.try_element_at(last, F.col("y"))))
+
+
 def _interpolate(draws: DataFrame, train: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Synthetic rows from DF[keys, y, j, base, rank, gap]: ``x + gap * (neighbour - x)``."""
 

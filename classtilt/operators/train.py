@@ -1,7 +1,8 @@
 """Distributed fits and the cell grid.
 
-Fits run on ``pyspark.ml``; a cell is one or more Spark jobs. The grid submits a bounded number of cells at once, scores
-all of them together and turns every error of a cell into a failure row.
+Fits run on ``pyspark.ml``; a cell is many short Spark jobs. The grid writes its rows once, samples each training part once for
+all classifiers, submits a bounded number of parts at once, scores all cells together and turns every error of a cell into a
+failure row.
 """
 
 from __future__ import annotations
@@ -29,12 +30,21 @@ from classtilt.operators.resample import (
     rs_smote,
     rs_smoteenn,
     rs_smotetomek,
+    rs_under_by_cuts,
+    rs_under_cuts,
 )
-from classtilt.session import shared_folder
+from classtilt.session import cut, shared_folder
 
 #: Balanced bootstraps of a balanced forest in the protocol.
 BAGS = 200
 
+#: Conditions that leave the training rows as they are.
+UNSAMPLED = ("raw", "class_weighted", "balanced_random_forest")
+
+#: About as many values of ``x`` make one task of a fit. A fit passes over its rows dozens of times, so on small tables its
+#: time is the number of its tasks.
+VALUES_PER_TASK = 1 << 20
+
 
 def _features(df: DataFrame) -> DataFrame:
     return df.withColumn("features", array_to_vector("x")).withColumn("label", F.col("y").cast("double"))
@@ -134,7 +144,7 @@ def grid_resume(cells: DataFrame, markers: DataFrame, key: str = "dataset", stal
 def resample(train: DataFrame, condition: str, k: int = 3, m: int = 10, seed: int = 0) -> DataFrame:
     """Training rows under a condition; ``smoteenn`` and ``smotetomek`` choose their mixed form themselves."""
 
-    if condition in ("raw", "class_weighted", "balanced_random_forest"):
+    if condition in UNSAMPLED:
         return train
     if condition == "random_over":
         return rs_random_over(train, [], seed)
@@ -157,30 +167,60 @@ def resample(train: DataFrame, condition: str, k: int = 3, m: int = 10, seed: in
     raise ValueError(f"unknown condition for numeric rows: {condition}")
 
 
-def _cell_predictions(folds: DataFrame, params: dict, cell: dict) -> DataFrame:
-    """Fit on the other folds and predict the fold: its rows with ``p``, not computed yet."""
+def _place(folds: DataFrame, cell: dict) -> DataFrame:
+    """The rows of the cell's dataset and seed."""
 
+    if "_dataset" in folds.columns:
+        folds = folds.filter(F.col("_dataset") == f"d{cell['dataset']}").drop("_dataset")
     for name in ("dataset", "seed"):
         if name in folds.columns:
             folds = folds.filter(F.col(name) == F.lit(cell[name])).drop(name)
-    train = folds.filter(F.col("fold") != cell["fold"])
-    test = folds.filter(F.col("fold") == cell["fold"])
+    return folds
+
+
+def _sides(folds: DataFrame, cell: dict) -> tuple[DataFrame, DataFrame]:
+    """(training rows, test rows) of a cell."""
+
+    own = _place(folds, cell)
+    return own.filter(F.col("fold") != cell["fold"]).drop("fold"), own.filter(F.col("fold") == cell["fold"])
+
+
+def _training_rows(train: DataFrame, classes: int, cell: dict, values: int | None = None, cuts: dict | None = None) -> DataFrame:
+    """The cell's training rows after sampling, kept until they are unpersisted, in parts by their size and sorted by id.
+
+    ``values`` is the number of values of ``x`` in ``train`` and ``cuts`` has its places of ``rs_under_cuts``, if known. Trees
+    draw rows by their place, so small tables give the same trees however their rows came here. Sampled rows are checkpointed:
+    every pass of a fit carries the plan of its rows.
+    """
+
+    if values is None:
+        values = train.agg(F.sum(F.size("x"))).first()[0] or 0
+    if cell["condition"] == "random_under" and cuts:
+        rows = rs_under_by_cuts(train, cuts, cell["seed"])
+    else:
+        rows = resample(train, cell["condition"], seed=cell["seed"])
+        if cell["condition"] not in UNSAMPLED:
+            rows = cut(rows)
+            if cell["condition"] != "random_under":
+                values *= classes  # at most: every class grows to the largest
+    return rows.coalesce(max(1, -(-values // VALUES_PER_TASK))).sortWithinPartitions("id").persist()
+
+
+def _cell_predictions(rows: DataFrame, test: DataFrame, params: dict, cell: dict) -> DataFrame:
+    """Fit on sampled rows and predict the fold: its rows with ``p``, not computed yet."""
+
     condition, classifier = cell["condition"], cell["classifier"]
-    rows = resample(train.drop("fold"), condition, seed=cell["seed"]).persist()
-    try:
-        weight = None
-        if condition == "class_weighted":
-            rows, weight = prep_class_weight(rows, [], "y"), "weight"
-        settings = params.get(classifier, {})
-        if condition == "balanced_random_forest":
-            model = fit_balanced_forest(rows, params.get("bags", BAGS), settings, cell["seed"])
-        elif classifier == "logistic_regression":
-            model = fit_logistic(rows, settings, weight)
-        else:
-            fit = {"random_forest": fit_forest, "xgboost": fit_boosted}[classifier]
-            model = fit(rows, settings, weight, cell["seed"])
-    finally:
-        rows.unpersist()
+    weight = None
+    if condition == "class_weighted":
+        rows, weight = prep_class_weight(rows, [], "y"), "weight"
+    settings = params.get(classifier, {})
+    if condition == "balanced_random_forest":
+        model = fit_balanced_forest(rows, params.get("bags", BAGS), settings, cell["seed"])
+    elif classifier == "logistic_regression":
+        model = fit_logistic(rows, settings, weight)
+    else:
+        fit = {"random_forest": fit_forest, "xgboost": fit_boosted}[classifier]
+        model = fit(rows, settings, weight, cell["seed"])
     return fit_predict_proba(model, test)
 
 
@@ -192,8 +232,13 @@ def run_cell(folds: DataFrame, classes: int, params: dict, cell: dict) -> dict:
     """
 
     started = time.perf_counter()
-    # The metrics read the predictions several times; without this each reading would run the model again.
-    pred = _cell_predictions(folds, params, cell).persist()
+    train, test = _sides(folds, cell)
+    rows = _training_rows(train, classes, cell)
+    try:
+        # The metrics read the predictions several times; without this each reading would run the model again.
+        pred = _cell_predictions(rows, test, params, cell).persist()
+    finally:
+        rows.unpersist()
     try:
         values = met_bundle(pred, ["fold"], classes).drop("fold").first()
     finally:
@@ -203,14 +248,38 @@ def run_cell(folds: DataFrame, classes: int, params: dict, cell: dict) -> dict:
     return {**cell, **values.asDict(), "fit_predict_seconds": time.perf_counter() - started}
 
 
-def _write_cell(folds: DataFrame, params: dict, cell: dict, path: str) -> dict:
-    """Fit a cell, write the labels and probabilities of its test rows under ``path``; how long it took."""
+def _store(folds: DataFrame, path: str) -> tuple[DataFrame, list]:
+    """(``folds`` written under ``path`` by dataset, seed and fold, the number of values of ``x`` in each of these).
 
-    started = time.perf_counter()
-    pred = _cell_predictions(folds, params, cell).select(F.col("y").cast("int").alias("y"), "p")
+    A cell then reads the files of its own rows only.
+    """
+
+    rows = folds
+    if "dataset" in folds.columns:
+        # As the name of a folder, an empty name would come back as null.
+        rows = folds.withColumn("_dataset", F.concat(F.lit("d"), F.col("dataset").cast("string")))
+    keys = [c for c in ("_dataset", "seed", "fold") if c in rows.columns]
+    sorted_rows = rows.hint("rebalance", *keys).sortWithinPartitions(*keys, "id")
+    # An earlier try may have left a part of the rows.
+    sorted_rows.write.mode("overwrite").partitionBy(*keys).parquet(path)
+    stored = folds.sparkSession.read.schema(rows.schema).parquet(path)
+    named = [c.removeprefix("_") for c in keys]
+    return stored, stored.groupBy(*named).agg(F.sum(F.size("x")).alias("values")).collect()
+
+
+def _values(sizes: list, cell: dict) -> int:
+    """The number of values in the cell's training rows."""
+
+    others = [r.asDict() for r in sizes if r["fold"] != cell["fold"]]
+    return sum(r["values"] or 0 for r in others if all(r[k] == cell[k] for k in r if k in ("dataset", "seed")))
+
+
+def _write_cell(rows: DataFrame, test: DataFrame, params: dict, cell: dict, path: str) -> None:
+    """Fit a cell and write the labels and probabilities of its test rows under ``path``."""
+
+    pred = _cell_predictions(rows, test, params, cell).select(F.col("y").cast("int").alias("y"), "p")
     # An earlier try may have left a part of its rows.
     pred.write.mode("overwrite").parquet(path)
-    return {"fit_predict_seconds": time.perf_counter() - started}
 
 
 def _scores(spark, done: Sequence[int], folder: str, classes: int) -> dict[int, dict]:
@@ -228,8 +297,10 @@ def grid_run(
 ) -> tuple[DataFrame, DataFrame]:
     """(results, failures) for every cell. Only one metrics row per cell reaches the driver.
 
-    Cells are fitted and predicted one by one, ``pool`` at a time, and write their predictions below the shared checkpoint
-    folder; then all cells are scored at once. If that fails, each cell is scored alone, so that an error stays in its cell.
+    ``folds`` is written once below the shared checkpoint folder, and each training part is sampled once for all cells that
+    fit on it. Parts are worked on ``pool`` at a time, the cells of a part one by one; cells write their predictions below the
+    same folder, then all are scored at once. If rows cannot be written or cells not be scored at once, each cell reads its
+    own rows from ``folds`` or is scored alone, so that an error stays in its cell.
     """
 
     spark = folds.sparkSession
@@ -244,31 +315,75 @@ def grid_run(
         else:
             runnable.append(cell)
     folder = f"{shared_folder(spark)}/grid-{uuid.uuid4().hex}"
+    predictions = f"{folder}/predictions"
 
     def fail(cell: dict, error: Exception, retries: int, seconds: float) -> None:
         kind = {"stage": "fit_predict", "error_type": type(error).__name__, "error": str(error)}
         failed.append({**cell, **kind, "retry_count": retries, "elapsed_seconds": seconds})
 
-    def one(numbered):
-        number, cell = numbered
-        started = time.perf_counter()
-        path = f"{folder}/_cell={number}"
-        record, error, retries = grid_retry(lambda c: _write_cell(folds, params or {}, c, path), cell, max_retries)
-        return number, cell, record, error, retries, time.perf_counter() - started
+    parts: dict[tuple, list] = {}
+    for number, cell in enumerate(runnable):
+        sampler = "raw" if cell["condition"] in UNSAMPLED else cell["condition"]
+        parts.setdefault((cell["dataset"], cell["seed"], cell["fold"], sampler), []).append((number, cell))
+    stored = grid_retry(lambda path: _store(folds, path), f"{folder}/rows", max_retries)[0] if parts else None
+    under: dict[tuple, list] = {}
+    for dataset, seed, fold, sampler in parts:
+        if stored is not None and sampler == "random_under":
+            under.setdefault((dataset, seed), []).append(fold)
+
+    def under_cuts(place):
+        """The places where random under-sampling ends in each fold's training part; none if they cannot be found together."""
+
+        cell = dict(zip(("dataset", "seed"), place, strict=True))
+        own = _place(stored[0], cell)
+        found, _, _ = grid_retry(lambda c: rs_under_cuts(own, under[place], c["seed"]), cell, max_retries)
+        return {(*place, fold): cuts for fold, cuts in (found or {}).items()}
+
+    cuts: dict[tuple, dict] = {}
+
+    def part(numbered):
+        """(number, cell, record, error, retries, seconds) of each cell of a training part; sampling counts in every cell."""
+
+        kept, sampling, done = [], 0.0, []
+
+        def run(cell, number):
+            nonlocal sampling
+            source, values = (folds, None) if stored is None else (stored[0], _values(stored[1], cell))
+            train, test = _sides(source, cell)
+            began = time.perf_counter()
+            if not kept:
+                kept.append(_training_rows(train, classes, cell, values, cuts.get((cell["dataset"], cell["seed"], cell["fold"]))))
+                sampling = time.perf_counter() - began
+                began = time.perf_counter()
+            _write_cell(kept[0], test, params or {}, cell, f"{predictions}/_cell={number}")
+            return {"fit_predict_seconds": sampling + time.perf_counter() - began}
+
+        try:
+            for number, cell in numbered:
+                started, before = time.perf_counter(), sampling
+                record, error, retries = grid_retry(lambda c, n=number: run(c, n), cell, max_retries)
+                done.append((number, cell, record, error, retries, before + time.perf_counter() - started))
+        finally:
+            for rows in kept:
+                rows.unpersist()
+        return done
 
     written = {}
     with ThreadPoolExecutor(max_workers=pool) as workers:
-        for number, cell, record, error, retries, seconds in workers.map(one, enumerate(runnable)):
-            if error is None:
-                written[number] = cell, record, retries, seconds
-            else:
-                fail(cell, error, retries, seconds)
-
-    values, error, _ = grid_retry(lambda done: _scores(spark, done, folder, classes), list(written), max_retries)
+        for found in workers.map(under_cuts, under):
+            cuts.update(found)
+        for done in workers.map(part, parts.values()):
+            for number, cell, record, error, retries, seconds in done:
+                if error is None:
+                    written[number] = cell, record, retries, seconds
+                else:
+                    fail(cell, error, retries, seconds)
+
+    values, error, _ = grid_retry(lambda done: _scores(spark, done, predictions, classes), list(written), max_retries)
     records = []
     for number, (cell, record, retries, seconds) in written.items():
         if error is not None:
-            alone, broken, again = grid_retry(lambda done: _scores(spark, done, folder, classes), [number], max_retries)
+            alone, broken, again = grid_retry(lambda done: _scores(spark, done, predictions, classes), [number], max_retries)
             if broken is not None:
                 fail(cell, broken, max(retries, again), seconds)
                 continue
