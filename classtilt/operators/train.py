@@ -41,9 +41,9 @@ BAGS = 200
 #: Conditions that leave the training rows as they are.
 UNSAMPLED = ("raw", "class_weighted", "balanced_random_forest")
 
-#: About as many values of ``x`` make one task of a fit. A fit passes over its rows dozens of times, so on small tables its
-#: time is the number of its tasks.
-VALUES_PER_TASK = 1 << 20
+#: About as many values of ``x`` (32 MB) make one task of a fit. A fit passes over its rows dozens of times, so on small
+#: tables its time is the number of its tasks.
+VALUES_PER_TASK = 1 << 22
 
 
 def _features(df: DataFrame) -> DataFrame:
@@ -299,8 +299,8 @@ def grid_run(
 
     ``folds`` is written once below the shared checkpoint folder, and each training part is sampled once for all cells that
     fit on it. Parts are worked on ``pool`` at a time, the cells of a part one by one; cells write their predictions below the
-    same folder, then all are scored at once. If rows cannot be written or cells not be scored at once, each cell reads its
-    own rows from ``folds`` or is scored alone, so that an error stays in its cell.
+    same folder, then all are scored at once. If the rows cannot be written, each part reads its own from ``folds``; if cells
+    cannot be scored at once, each is scored alone. So an error stays in its cell.
     """
 
     spark = folds.sparkSession
@@ -337,9 +337,7 @@ def grid_run(
         cell = dict(zip(("dataset", "seed"), place, strict=True))
         own = _place(stored[0], cell)
         found, _, _ = grid_retry(lambda c: rs_under_cuts(own, under[place], c["seed"]), cell, max_retries)
-        return {(*place, fold): cuts for fold, cuts in (found or {}).items()}
-
-    cuts: dict[tuple, dict] = {}
+        return found or {}
 
     def part(numbered):
         """(number, cell, record, error, retries, seconds) of each cell of a training part; sampling counts in every cell."""
@@ -352,7 +350,10 @@ def grid_run(
             train, test = _sides(source, cell)
             began = time.perf_counter()
             if not kept:
-                kept.append(_training_rows(train, classes, cell, values, cuts.get((cell["dataset"], cell["seed"], cell["fold"]))))
+                place = cell["dataset"], cell["seed"]
+                under_sampled = cell["condition"] == "random_under" and place in cuts
+                found = cuts[place].result().get(cell["fold"]) if under_sampled else None
+                kept.append(_training_rows(train, classes, cell, values, found))
                 sampling = time.perf_counter() - began
                 began = time.perf_counter()
             _write_cell(kept[0], test, params or {}, cell, f"{predictions}/_cell={number}")
@@ -370,8 +371,8 @@ def grid_run(
 
     written = {}
     with ThreadPoolExecutor(max_workers=pool) as workers:
-        for found in workers.map(under_cuts, under):
-            cuts.update(found)
+        # These come first, so that no part waits for one that has not begun.
+        cuts = {place: workers.submit(under_cuts, place) for place in under}
         for done in workers.map(part, parts.values()):
             for number, cell, record, error, retries, seconds in done:
                 if error is None:
