@@ -173,17 +173,16 @@ def met_ap(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _sound() -> Column:
-    return (F.min("positives") > 0) & (F.min("negatives") > 0)
+def _macro_ap(name: str) -> list[Column]:
+    sound = (F.min("positives") > 0) & (F.min("negatives") > 0)
+    status = F.when(sound, F.lit("VALID")).otherwise(F.lit("NOT APPLICABLE"))
+    return [F.when(sound, F.avg("ap")).alias(name), status.alias("status")]
 
 
 def met_macro_ap(ap: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean AP; null with a reason when a class lacks positives or negatives."""
 
-    return ap.groupBy(*keys).agg(
-        F.when(_sound(), F.avg("ap")).alias("value"),
-        F.when(_sound(), F.lit("VALID")).otherwise(F.lit("NOT APPLICABLE")).alias("status"),
-    )
+    return ap.groupBy(*keys).agg(*_macro_ap("value"))
 
 
 def _row_brier() -> Column:
@@ -243,7 +242,7 @@ def met_bundle(pred: DataFrame, keys: Sequence[str], classes: int, offsets=None)
         scored = margins.groupBy(*keys).agg(*plain).join(calibrated, list(keys))
     # One grouping gives the mean and the classes, so the running sums stand in the plan once.
     curve = met_ap(pred, keys).groupBy(*keys).agg(
-        F.when(_sound(), F.avg("ap")).alias("macro_average_precision"),
+        *_macro_ap("macro_average_precision"),
         F.transform(F.array_sort(F.collect_list(F.struct("class", "ap"))), lambda c: c["ap"]).alias(
             "per_class_average_precision"
         ),

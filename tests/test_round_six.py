@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from classtilt.operators import metrics as met
 from classtilt.operators import prepare as prep
 from classtilt.operators import resample as rs
 from classtilt.operators import train as fit
@@ -69,3 +71,16 @@ def test_rows_that_cannot_be_written(folds, monkeypatch):
 
     monkeypatch.setattr(fit, "_store", broken)
     assert scores(fit.grid_run(named, wanted, 3, PARAMS, pool=1)) == pytest.approx(together)
+
+
+def test_bundle_without_thresholds(spark, rows):
+    pred = spark.createDataFrame([(i % 2, i % 3 % 2, [(i * 7 % 10 + 1) / 12, 1 - (i * 7 % 10 + 1) / 12]) for i in range(24)], "fold int, y int, p array<double>")
+    plain = met.met_bundle(pred, ["fold"], 2)
+    zeros = met.met_bundle(pred, ["fold"], 2, F.array(F.lit(0.0), F.lit(0.0)))
+    assert plain.columns == zeros.columns and rows(plain) == rows(zeros)
+
+    def ranges(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("posexplode(p")
+
+    # The running sums of average precision stand in the plan once.
+    assert ranges(plain) == ranges(met.met_ap(pred, ["fold"])) > 0
